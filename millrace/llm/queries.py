@@ -8,8 +8,8 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import byte_bpe, exact_dedup, simhash
-from millrace.llm.common import table
+from millrace.llm import byte_bpe, exact_dedup, simhash, token_store
+from millrace.llm.common import shared_dir, table
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +24,15 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), Path(path).read_bytes(), pattern)
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("word_bpe_49k.json")) -> DataFrame:
+    return token_store.store_and_check(table(spark, sf_dir, "documents"), Path(path), 1, shared_dir(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_token_store": op10_token_store,
 }
 
 ORACLES: dict[str, str] = {
