@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import byte_bpe, exact_dedup, mixing, sharding, simhash, token_store, topk, toxicity
+from millrace.llm import byte_bpe, exact_dedup, mixing, sharding, simhash, token_store, topk, toxicity, url_filter
 from millrace.llm.common import shared_dir, table
 
 
@@ -43,6 +43,26 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are the pages, fetched on a day of 2024 that page_id decides.
+
+    The list names a third of all patterns in the pages: each is blocked on some day, lifted 60 days later and
+    blocked again after 90 more; one in five of them is allowed 20 days after it was blocked.
+    """
+    start = F.to_date(F.lit("2024-01-01"))
+    day = lambda n: F.date_add(start, n.cast("int"))
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", day(F.coalesce(F.pmod(F.col("page_id") * 37, F.lit(366)), F.lit(0))).alias("fetched"))
+    names = captures.select(F.explode(url_filter.patterns(F.col("url"))).alias("pattern")).distinct()
+    names = names.withColumn("h", F.conv(F.substring(F.md5(F.col("pattern").cast("binary")), 1, 6), 16, 10).cast("long")).filter("h % 3 = 0")
+    first = F.col("h") % 200
+    event = lambda action, at: F.struct(F.lit(action).alias("action"), day(at).alias("dated"))
+    events = F.array(event("block", first), event("remove", first + 60), event("block", first + 150))
+    events = F.when(F.col("h") % 15 == 0, F.array_append(events, event("allow", first + 20))).otherwise(events)
+    entries = names.select("pattern", F.explode(events).alias("e")).select("pattern", "e.action", "e.dated")
+    found = url_filter.evaluate(captures, entries)
+    return found.withColumns({c: F.col(c).cast("string") for c in ("fetched", "since")})
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), Path(path).read_bytes(), pattern)
 
@@ -58,11 +78,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_mixing": op6_mixing,
     "op7_topk": op7_topk,
+    "op8_url_filter": op8_url_filter,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_token_store": op10_token_store,
 }
 
 ORACLES: dict[str, str] = {
+    "op8_url_filter": r"""
+        WITH c AS (SELECT row_number() OVER () AS row, page_id, url, (DATE '2024-01-01' + coalesce(((page_id * 37) % 366 + 366) % 366, 0)::INT) AS fetched,
+                          regexp_replace(regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)', 1), '\.$', '') AS host,
+                          regexp_extract(lower(coalesce(url, '')), '^[^:/?#]*://[^/?#]*/([^/?#]+)', 1) AS segment FROM pages),
+        p AS (SELECT *, CASE WHEN host = '' THEN [] ELSE list_concat(
+                  list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+                  CASE WHEN segment <> '' THEN [host || '/' || segment] ELSE [] END) END AS names FROM c),
+        n AS (SELECT pattern, ('0x' || substr(md5(pattern), 1, 6))::BIGINT AS h FROM (SELECT DISTINCT unnest(names) AS pattern FROM p)),
+        e AS (SELECT pattern, a.action, (DATE '2024-01-01' + a.day::INT) AS dated FROM (
+                  SELECT pattern, unnest([{'action': 'block', 'day': h % 200}, {'action': 'remove', 'day': h % 200 + 60}, {'action': 'block', 'day': h % 200 + 150}]) AS a FROM n WHERE h % 3 = 0
+                  UNION ALL SELECT pattern, {'action': 'allow', 'day': h % 200 + 20} FROM n WHERE h % 15 = 0)),
+        s AS (SELECT pattern, action, dated AS since, lead(dated) OVER (PARTITION BY pattern ORDER BY dated) AS until FROM e),
+        m AS (SELECT p.row, s.pattern, s.action, s.since, row_number() OVER (PARTITION BY p.row ORDER BY length(s.pattern) DESC, s.pattern DESC) AS nth, count(*) OVER (PARTITION BY p.row) AS n
+              FROM (SELECT row, fetched, unnest(list_distinct(names)) AS name FROM p) p JOIN s ON p.name = s.pattern AND s.action <> 'remove' AND p.fetched >= s.since AND (s.until IS NULL OR p.fetched < s.until))
+        SELECT page_id, url, fetched::VARCHAR AS fetched, host, coalesce(n, 0) AS n_active, pattern AS rule, action, since::VARCHAR AS since, coalesce(action = 'block', false) AS blocked
+        FROM p LEFT JOIN m ON p.row = m.row AND nth = 1""",
     "op7_topk": r"""
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
                    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
