@@ -1,8 +1,53 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: toxic documents go, copies and near copies go, sources are mixed, texts are encoded.
 
-STAGES = []
+Each stage takes all that the one before kept, as Parquet, and but for the last returns rows with
+the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from millrace.llm import byte_bpe, exact_dedup, mixing, simhash, toxicity
+from millrace.llm.common import materialise, table
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels, scores below 0.3."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts (white space aside) the one with the smallest doc_id."""
+    return exact_dedup.deduplicate(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by fingerprints at most 4 bits apart the one with the smallest doc_id."""
+    return simhash.keep_representatives(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's budget takes it."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and digest of each document's token ids, and digest of the text they decode to."""
+    ranks = Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes()
+    return byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
+
+
+STAGES = [("toxicity", toxic), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("byte-level BPE", encode)]
+#: A classifier, hashes and a tokenizer can't be said in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded_share, discard, lookup, materialise, partitions, small
+from millrace.llm.common import bounded_share, discard, lookup, materialise, partitions, semi, small
 
 BITS, SEED = 64, 42
 #: Fingerprints of one chunk; a tile holds two chunks at most.
@@ -265,3 +265,15 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     named = materialise(lookup(unique, groups, "root", "members", bounded_share(n)).select("fingerprint", "component_id", "n"), "named")
     return lookup(prints, named, "fingerprint", "n", bounded_share(rows)).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_representatives(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+    """The rows of docs, with all their columns, without those that a smaller doc_id stands for.
+
+    Only the ids of dropped documents travel. Rows without doc_id stay, and so do all rows of a
+    doc_id that repeats and represents a component with one of them.
+    """
+    found = materialise(near_duplicates(docs, radius, width), "components")
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return semi(docs, gone.join(stay, F.col("doc_id") == F.col("_id"), "left_anti"), "doc_id", "left_anti")
