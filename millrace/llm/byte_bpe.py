@@ -26,29 +26,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import Memo
+
 #: White space as the pattern's \s means it: Unicode White_Space (Python's re adds \x1c-\x1f).
 BLANK = r"\t-\r \x85\xa0  -     　"
 #: Stretches that no match of the pattern crosses: a run of other characters with one blank
 #: before it, and what is left of a run of blanks.
 STRETCH = re.compile(rf" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
-#: Stretches of at most this many characters are remembered, up to so many of them a worker.
-MEMO_CHARS, MEMO_ENTRIES = 40, 400_000
-
-
-class _Memo(dict):
-    """The ids of stretches seen before, emptied when full."""
-
-    def __init__(self, enc: Encoder) -> None:
-        super().__init__()
-        self.enc = enc
-
-    def __missing__(self, stretch: str) -> tuple[int, ...]:
-        ids = tuple(chain.from_iterable(self.enc.piece(p.encode()) for p in self.enc.pattern.findall(stretch)))
-        if len(stretch) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[stretch] = ids
-        return ids
+#: Stretches are remembered in two generations of this many.
+GENERATION = 400_000
 
 
 class Encoder:
@@ -70,7 +56,7 @@ class Encoder:
         for b, i in ranks.items():
             self.shorter[i] = next((ranks[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in ranks), -1)
         self.compatible = lru_cache(maxsize=400_000)(self._compatible)
-        self.memo = _Memo(self)
+        self.memo = Memo(self._stretch, GENERATION)
         self.decimal = list(map(str, range(len(self.token))))
 
     def merged(self, piece: bytes) -> list[int]:
@@ -117,6 +103,9 @@ class Encoder:
                 last = ids[-1] if ids else -1
         return ids
 
+    def _stretch(self, stretch: str) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(self.piece(p.encode()) for p in self.pattern.findall(stretch)))
+
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.memo.__getitem__, STRETCH.findall(text))))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,3 +89,26 @@ def squeeze(text: Column) -> Column:
 def bounded_share(n: int, parts: int = 2000, least: int = 200) -> int:
     """A per_key for lookup() that lets at most `parts` keys count as heavy."""
     return max(least, -(-n // parts))
+
+
+class Memo(dict):
+    """memo[key] is make(key), remembered in two generations of bounded size.
+
+    Keys longer than `longest` aren't kept. When the young generation is full it becomes
+    the old one, so that what is in use survives.
+    """
+
+    def __init__(self, make: Callable[[Any], Any], generation: int, longest: int = 40) -> None:
+        super().__init__()
+        self.make, self.generation, self.longest, self.old = make, generation, longest, {}
+
+    def __missing__(self, key: Any) -> Any:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.generation:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value

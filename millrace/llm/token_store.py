@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -30,58 +31,60 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm.common import discard, materialise, partitions
+from millrace.llm.common import Memo, discard, materialise, partitions
 
 #: Ids of the rolling window, mean, least and most ids of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 256, 64, 1024
-#: Words are remembered in two generations of this many.
-GENERATION = 250_000
+#: So many words, and so many pieces of words, are remembered in each of two generations.
+WORDS, PIECES = 450_000, 250_000
 HASH = 16
 #: Blanks beyond ASCII, and controls that Python splits at but the tokenizer may not.
 ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 ASCII_BLANK = re.compile("[\t-\r ]+")
-PIECE = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
+#: Words of printable ASCII without the apostrophe and of the letters of Latin-1, which no
+#: normal form changes, and their pieces.
+PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
+PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies.
+
+    Printable Latin-1 stands for itself, the other bytes for the characters from U+0100 on.
+    """
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class WordEncoder:
     """Encodes texts with a tokenizer whose pieces never cross white space, word by word.
 
-    The ids of a word are remembered. Words of printable ASCII without an apostrophe go to the
-    tokenizer's model piece by piece; all others take its whole path.
+    The ids of a word are remembered. PLAIN words go to the tokenizer's model piece by piece; all
+    others take its whole path.
     """
 
     def __init__(self, definition: str) -> None:
         self.tokenizer = Tokenizer.from_str(definition)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+        self.words, self.pieces = Memo(self._word, WORDS), Memo(self._piece, PIECES)
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tokenize(piece)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        found = self.old.get(word)
-        if found is None:
-            if word.isascii() and word.isprintable() and "'" not in word:
-                ids = [t.id for p in PIECE.findall(word.lower()) for t in self.model.tokenize(p)]
-            else:
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            found = np.array(ids, self.dtype).tobytes()
-        if len(word) <= 40:
-            if len(self.new) >= GENERATION:
-                self.old, self.new = self.new, {}
-            self.new[word] = found
-        return found
+        if PLAIN.fullmatch(word):
+            return b"".join(map(self.pieces.__getitem__, PIECE.findall(word.lower())))
+        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         words = [w for w in ASCII_BLANK.split(text) if w] if ODD_BLANK.search(text) else (text.lower() if text.isascii() else text).split()
-        get, word = self.new.get, self._word
-        out = []
-        for w in words:
-            ids = get(w)
-            if ids is None:
-                ids = word(w)
-                get = self.new.get  # a full generation is replaced
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, words))
 
 
 @lru_cache(maxsize=1)
@@ -253,31 +256,44 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
 
 
-@lru_cache(maxsize=4096)
-def _power(n_bytes: int) -> int:
-    """x to the power 8 * n_bytes modulo the CRC-32 polynomial, bit-reflected."""
-    result, base = 0x80000000, 0x00800000
-    while n_bytes:
-        if n_bytes & 1:
-            result = _times(result, base)
-        base = _times(base, base)
-        n_bytes >>= 1
-    return result
-
-
-def _times(a: int, b: int) -> int:
-    product, bit = 0, 0x80000000
-    while bit:
-        if a & bit:
-            product ^= b
-        bit >>= 1
-        b = (b >> 1) ^ 0xEDB88320 if b & 1 else b >> 1
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of polynomials modulo that of CRC-32, bit-reflected."""
+    product = np.zeros(np.broadcast(a, b).shape, np.uint32)
+    for bit in reversed(range(32)):
+        product ^= np.where(a >> np.uint32(bit) & np.uint32(1), b, np.uint32(0))
+        b = (b >> np.uint32(1)) ^ np.where(b & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
     return product
 
 
-def combine_crc32(first: int, second: int, second_bytes: int) -> int:
-    """CRC-32 of two strings end to end, from theirs."""
-    return _times(_power(second_bytes), first) ^ second
+@lru_cache(maxsize=1)
+def _shifts() -> np.ndarray:
+    """[i, j]: what a CRC-32 is multiplied by when j * 1024^i further ids of 4 bytes follow."""
+    table, step = np.empty((4, 1024), np.uint32), np.uint32(1 << 31 - 8)  # one byte
+    step = _times(_times(step, step), _times(step, step))
+    for row in table:
+        row[0] = 1 << 31
+        power = np.array(step, np.uint32)
+        for bit in range(10):
+            row[1 << bit: 2 << bit] = _times(row[: 1 << bit], power)
+            power = _times(power, power)
+        step = power
+    return table
+
+
+def fold_crc32(crcs: np.ndarray, counts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """CRC-32 of each run offsets[i]:offsets[i + 1] of pieces end to end, from the pieces' CRC-32s
+    and numbers of ids (4 bytes each); up to 2^40 ids a run."""
+    total = np.concatenate([[0], np.cumsum(counts)])
+    run = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    after = total[offsets[1:]][run] - total[1:]
+    part = crcs.astype(np.uint32)
+    for i, table in enumerate(_shifts()):
+        digit = after >> 10 * i & 1023
+        if digit.any():
+            part = _times(table[digit], part)
+    out = np.zeros(len(offsets) - 1, np.uint32)
+    np.bitwise_xor.at(out, run, part)
+    return out.astype(np.int64)
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -297,19 +313,20 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc_id, start, n, root, steps in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "n_tokens", "root", "steps")), strict=True):
-                crc = 0
-                for s in steps:
-                    crc = combine_crc32(crc, s["crc"], 4 * s["n"])
-                if merkle([s["hash"] for s in steps]) != root or sum(s["n"] for s in steps) != n:
+            hashes, crcs, counts = (b.column(c) for c in ("hashes", "crcs", "counts"))
+            ends, n = np.asarray(hashes.offsets), np.asarray(counts.flatten())
+            hashes = hashes.flatten().to_pylist()
+            for i, (doc_id, start, root, total) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "root", "n_tokens")), strict=True)):
+                own = slice(ends[i] - ends[0], ends[i + 1] - ends[0])
+                if merkle(hashes[own]) != root or n[own].sum() != total:
                     raise ValueError(f"document {doc_id} at {start} can't be verified")
-                out.append(crc)
-            yield pa.record_batch([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(out, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            crc = fold_crc32(np.asarray(crcs.flatten()), n, np.asarray(ends) - ends[0])
+            yield pa.record_batch([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     known = _chunks(spark, path).mapInArrow(sums, "hash binary, crc long, n long")
     steps = _steps(spark, path).join(known, "hash").groupBy("start", "doc_id", "n_tokens", "root").agg(
         F.array_sort(F.collect_list(F.struct("pos", "hash", "crc", "n"))).alias("steps"))
+    steps = steps.select("start", "doc_id", "n_tokens", "root", F.col("steps.hash").alias("hashes"), F.col("steps.crc").alias("crcs"), F.col("steps.n").alias("counts"))
     return steps.mapInArrow(fold, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
