@@ -68,7 +68,7 @@ ORACLES: dict[str, str] = {
         SELECT *, greatest(of_others, of_before) >= 0.95 AS is_total FROM x""",
     "running_total_check": """
         WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice::DECIMAL(18,2) AS price FROM lineitem), u AS (SELECT * FROM r UNION ALL SELECT l_orderkey, 99, sum(price)::DECIMAL(18,2) FROM r GROUP BY 1),
-        s AS (SELECT *, (sum(price) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::DECIMAL(28,2) AS b FROM u)
+        s AS (SELECT *, (sum(price) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::DECIMAL(28,2) AS b FROM u)
         SELECT l_orderkey, l_linenumber, price::VARCHAR AS price, b::VARCHAR AS sum_before, coalesce(abs(price - b) <= 0.01, false) AS is_subtotal FROM s""",
     "fill_down": """
         SELECT user_id, event_id, last_value(CASE WHEN event_type = 'signup' THEN 's' || event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS label FROM events""",
@@ -103,9 +103,9 @@ ORACLES: dict[str, str] = {
     "replace_rollup": "SELECT o_orderstatus, count(*) + CASE WHEN o_orderstatus = 'P' THEN 1000 ELSE 0 END AS n FROM orders GROUP BY 1",
     "preview_search_sort": """
         SELECT p_partkey, CASE WHEN p_size % 5 > 0 THEN p_size END AS size, p_type FROM part
-        WHERE contains(lower(concat_ws(chr(31), p_partkey, p_name, p_brand, p_type, p_size, p_retailprice)), 'steel') ORDER BY size DESC NULLS LAST, p_partkey LIMIT 50 OFFSET 10""",
+        WHERE contains(lower(concat_ws(chr(31), p_partkey, p_name, p_brand, p_type, p_size, p_retailprice)), 'gear') ORDER BY size DESC NULLS LAST, p_partkey LIMIT 50 OFFSET 10""",
     "first_samples": """
-        WITH s AS (SELECT user_id, event_type, min(event_id) AS at FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at)::INT AS nth FROM s) SELECT user_id, event_type, nth FROM r WHERE nth <= 3""",
+        WITH s AS (SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first_id)::INT AS nth FROM s) SELECT user_id, event_type, nth FROM r WHERE nth <= 3""",
     "header_names": """
         WITH h AS (SELECT p_partkey, concat(CASE WHEN p_partkey % 4 = 0 THEN '2 ' ELSE ' ' END, p_type, ' (%)') AS header FROM part),
         s AS (SELECT *, trim(regexp_replace(lower(trim(header)), '[^a-z0-9]+', '_', 'g'), '_') AS b, CASE WHEN regexp_matches(b, '^[0-9]') THEN 'col_' || b ELSE b END AS name FROM h), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p_partkey) AS nth FROM s)

@@ -129,7 +129,7 @@ def total_column_detect(spark, sf_dir):
 def running_total_check(spark, sf_dir):
     rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", money(F.col("l_extendedprice")).alias("price"))
     sums = rows.groupBy("l_orderkey").agg(F.sum("price").cast("decimal(18,2)").alias("price")).select("l_orderkey", F.lit(99).alias("l_linenumber"), "price")
-    found = totals.running_check(rows.unionByName(sums), ["l_orderkey"], ["l_linenumber"], "price")
+    found = totals.running_check(rows.unionByName(sums), ["l_orderkey"], ["l_linenumber", "price"], "price")
     return found.select("l_orderkey", "l_linenumber", F.col("price").cast("string").alias("price"), F.col("sum_before").cast("string").alias("sum_before"), "is_subtotal")
 
 
@@ -232,7 +232,7 @@ def preview_search_sort(spark, sf_dir):
     parts = load(spark, sf_dir, "part")
     hit = F.lit(False)
     for c in parts.columns:
-        hit = hit | F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lit("steel")), F.lit(False))
+        hit = hit | F.coalesce(F.contains(F.lower(F.col(c).cast("string")), F.lit("gear")), F.lit(False))
     size = F.when(F.col("p_size") % 5 > 0, F.col("p_size"))
     return parts.filter(hit).select("p_partkey", size.alias("size"), "p_type").orderBy(F.col("size").desc_nulls_last(), "p_partkey").offset(10).limit(50)
 
