@@ -20,7 +20,7 @@ from millrace.llm.common import materialise
 
 ORDERS = (3, 4, 5)
 #: Bounds of the fit: labelled documents and features; a feature stands in so many documents at
-#: least, and its log-count ratio lies so many standard errors from zero.
+#: least, and the signed root of its log-likelihood ratio lies so many standard errors from zero.
 MAX_DOCS, MAX_FEATURES, LEAST_DOCS, LEAST_EVIDENCE = 20_000, 4096, 8, 5.0
 #: Documents are read in blocks of this many bytes, which overlap by the longest n-gram.
 BLOCK = 1 << 22
@@ -140,11 +140,28 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, strength
     return w[:-1] * scale, float(w[-1])
 
 
+def evidence(t: Column, c: Column, toxic: int, clean: int) -> Column:
+    """Log-likelihood ratio of an n-gram in t of the toxic and c of the clean documents against one and the same share.
+
+    The fewer clean documents hold a toxic n-gram, the larger it is; zeros don't weaken it.
+    """
+    term = lambda n: F.when(n > 0, n * F.log(n.cast("double"))).otherwise(0.0)
+    n = F.lit(toxic + clean)
+    return 2 * (term(t) + term(c) + term(toxic - t) + term(clean - c) - term(t + c) - term(n - t - c) - term(F.lit(toxic)) - term(F.lit(clean)) + term(n))
+
+
+def least_evidence(toxic: int, clean: int) -> float:
+    """What a feature's evidence must be: never more than that of LEAST_DOCS toxic documents and no clean one."""
+    term = lambda n: n * np.log(n) if n else 0.0
+    least, n = min(LEAST_DOCS, toxic), toxic + clean
+    return float(min(LEAST_EVIDENCE**2, 2 * (term(toxic - least) - term(n - least) - term(toxic) + term(n)) - 1e-6))
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_DOCS, strength: float = 1e-4) -> Model:
     """Fit on a bounded sample (at most `most` labelled documents).
 
     Tasks count in how many toxic and clean documents each n-gram stands; the MAX_FEATURES
-    n-grams whose counts speak most are kept, and the sample's documents, reduced to
+    n-grams of the largest log-likelihood ratio are kept, and the sample's documents, reduced to
     these, come to the driver: at most MAX_DOCS short lists. Without toxic or without clean
     documents the model is a constant.
     """
@@ -171,9 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_DOCS, strength: floa
     counts = small.mapInArrow(count, "gram long, t long, c long").groupBy("gram").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).filter(F.col("t") + F.col("c") >= LEAST_DOCS)
     t, c = F.col("t") + 0.5, F.col("c") + 0.5
     ratio = F.log(t / (toxic + 1)) - F.log(c / (clean + 1))
-    # how many standard errors the log ratio lies from zero
-    evidence = F.abs(ratio) / F.sqrt(1 / t + 1 / c)
-    kept = counts.select("gram", ratio.alias("ratio"), evidence.alias("evidence")).filter(F.col("evidence") >= LEAST_EVIDENCE).orderBy(F.desc("evidence"), "gram").limit(MAX_FEATURES).toPandas()
+    kept = counts.select("gram", ratio.alias("ratio"), evidence(F.col("t"), F.col("c"), toxic, clean).alias("evidence")).filter(F.col("evidence") >= least_evidence(toxic, clean)).orderBy(F.desc("evidence"), "gram").limit(MAX_FEATURES).toPandas()
     features, ratios = kept["gram"].to_numpy(np.int64), kept["ratio"].to_numpy(float)
     shared = spark.sparkContext.broadcast(features)
 

@@ -74,6 +74,16 @@ def test_toxicity_without_labels_and_with_odd_rows(spark):
     assert toxicity.score(samples.frame(spark, []), model).count() == 0
 
 
+@pytest.mark.parametrize(("toxic", "clean"), [(40, 300), (20, 20)])
+def test_toxic_grams_without_a_clean_document_are_features(spark, toxic, clean):
+    ids = [i for i in range(2 * (toxic + clean)) if zlib.crc32(str(i).encode()) % 4 != 2][: toxic + clean]
+    texts = [f"some words stand here {'zqxj' if n < toxicity.LEAST_DOCS else ''}" for n in range(toxic)] + ["some words stand here"] * clean
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(n < toxic)) for n, i in enumerate(ids)], "doc_id long, toxic int"))
+    assert set(toxicity.present(b"here zqxj")) - set(toxicity.present(b"some words stand here")) <= set(model.features)
+    assert model.score(b"here zqxj", model.table()) >= 0.3
+
+
 def test_mix_meets_its_targets(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").unionByName(samples.frame(spark).select("doc_id", "text", "source"))
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
