@@ -17,6 +17,7 @@ already are dropped at once, the others meet by hash in one exchange.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from array import array
@@ -57,11 +58,18 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def added_mark(content: str) -> tuple[str, str]:
+    """What a text with this added token holds: its longest run without case, and its first word in lower case."""
+    first = ([*content.split(), ""])[0].lower()
+    runs = "".join(c if c.lower() == c.upper() else " " for c in first).split()
+    return max(runs, key=len, default=""), first
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer whose pieces never cross white space, word by word.
 
     The ids of a word are remembered. PLAIN words go to the tokenizer's model piece by piece; all
-    others take its whole path.
+    others take its whole path, and so do whole texts that may hold one of its added tokens.
     """
 
     def __init__(self, definition: str) -> None:
@@ -70,6 +78,7 @@ class WordEncoder:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+        self.added = [added_mark(t["content"]) for t in json.loads(definition).get("added_tokens") or []]
         self.words, self.pieces = Memo(self._word, WORDS), Memo(self._piece, PIECES)
 
     def _piece(self, piece: str) -> bytes:
@@ -80,9 +89,14 @@ class WordEncoder:
     def _word(self, word: str) -> bytes:
         if PLAIN.fullmatch(word):
             return b"".join(map(self.pieces.__getitem__, PIECE.findall(word.lower())))
-        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return self._whole(word)
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if any(mark in text and content in text.lower() for mark, content in self.added):
+            return self._whole(text)
         words = [w for w in ASCII_BLANK.split(text) if w] if ODD_BLANK.search(text) else (text.lower() if text.isascii() else text).split()
         return b"".join(map(self.words.__getitem__, words))
 

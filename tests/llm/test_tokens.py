@@ -76,6 +76,25 @@ def test_store_equals_the_library(spark, sf_dir, tmp_path):
     assert all(ids[i] == a.tolist() for i, a in arrays.items())
 
 
+@pytest.mark.parametrize("text", [
+    "a <|endoftext|> b", "foo<|endoftext|>bar", "<|startoftext|>", "x<|startoftext|>y <|endoftext|><|endoftext|>", "A <|EndOfText|> B", "<|STARTOFTEXT|>",
+    "Straße<|endoftext|>\u00a0日本 x\x85y", "é <|StartOfText|> z", "<|endoftext| >", "\n<|endoftext|>\t ", "<|endoftext|>" * 3])
+def test_added_tokens_are_read_as_the_library_does(text):
+    enc = token_store.word_encoder(Path(WORDS).read_text())
+    assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_in_the_store(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "foo<|endoftext|>bar", "plain words", "<|STARTOFTEXT|> x<|startoftext|>"]
+    found = token_store.store_and_check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Path(WORDS), 1, str(tmp_path / "added"))
+    want, at, tokenizer = [], 0, Tokenizer.from_file(WORDS)
+    for i, t in enumerate(texts):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, found.collect())) == want
+
+
 def test_changed_chunks_are_noticed(spark, tmp_path):
     path, changed = str(tmp_path / "store"), str(tmp_path / "changed")
     token_store.write(spark.createDataFrame([(1, "some words stand here")], "doc_id long, text string"), Path(WORDS).read_text(), 1, path)
