@@ -78,6 +78,7 @@ ORACLES: dict[str, str] = {
     "companion_join_left": f"WITH {_NAMES} SELECT o_orderkey, account, c_mktsegment AS segment FROM o LEFT JOIN b ON lower(trim(buyer)) = lower(trim(account))",
     "companion_join_inner": f"WITH {_NAMES} SELECT o_orderkey, account, c_nationkey AS nation FROM o JOIN b ON lower(trim(buyer)) = lower(trim(account))",
     "companion_join_right": f"WITH {_NAMES} SELECT account, o_orderkey FROM b LEFT JOIN (SELECT * FROM o WHERE o_orderkey % 50 = 0) o ON lower(trim(buyer)) = lower(trim(account))",
+    "companion_join_right_all": f"WITH {_NAMES} SELECT account, o_orderkey FROM b LEFT JOIN o ON lower(trim(buyer)) = lower(trim(account))",
     "join_match_stats": f"WITH {_NAMES} SELECT count(*) AS rows, count(account) AS matched, count(*) - count(account) AS unmatched FROM o LEFT JOIN b ON lower(trim(buyer)) = lower(trim(account))",
     "dup_key_report": "SELECT l_partkey, l_suppkey, count(*) AS times FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY times DESC, 1, 2 LIMIT 20",
     "lookup_resolve": """

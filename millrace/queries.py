@@ -167,6 +167,12 @@ def companion_join_right(spark, sf_dir):
     return out.select("account", F.col("`sales.o_orderkey`").alias("o_orderkey"))
 
 
+def companion_join_right_all(spark, sf_dir):
+    """The right join over every order; companion_join_right takes each fiftieth."""
+    out = joins.companion_join(_named_orders(spark, sf_dir), _messy_names(spark, sf_dir), [("buyer", "account")], "sales", "right")
+    return out.select("account", F.col("`sales.o_orderkey`").alias("o_orderkey"))
+
+
 def join_match_stats(spark, sf_dir):
     out = joins.companion_join(_named_orders(spark, sf_dir), _messy_names(spark, sf_dir), [("buyer", "account")], "brokers")
     return joins.match_stats(out, "brokers.account")
@@ -318,6 +324,6 @@ def row_change_check(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     monthly_rollup, column_profile_lineitem, column_profile_orders, month_stats, date_role_stats, date_ladder, amount_parse, bool_int_parse, invalid_names, invalid_counts, row_hash,
-    unpivot_measures, total_rows_detect, total_column_detect, running_total_check, fill_down, islands, companion_join_left, companion_join_inner, companion_join_right, join_match_stats,
+    unpivot_measures, total_rows_detect, total_column_detect, running_total_check, fill_down, islands, companion_join_left, companion_join_inner, companion_join_right, companion_join_right_all, join_match_stats,
     dup_key_report, lookup_resolve, key_overlap, period_overlap, stack_with_provenance, schema_evolve_append, replace_supersede, replace_month, replace_rollup, preview_search_sort,
     first_samples, role_classify, header_names, pc_pad, name_keys, history_runs, vector_cosine, contracts_rows, empty_columns, null_safe_changes, missing_keys, rows_per_month, row_change_check)}

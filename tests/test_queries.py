@@ -41,3 +41,9 @@ def test_nothing_but_the_contract_imports_the_llm_subpackage():
         for node in ast.walk(ast.parse(file.read_text())):
             names = [a.name for a in node.names] if isinstance(node, ast.Import) else [f"{node.module}.{a.name}" for a in node.names] if isinstance(node, ast.ImportFrom) else []
             assert not any(".llm" in n for n in names), file
+
+
+def test_right_join_meets_every_order(spark, sf_dir):
+    found = core.companion_join_right_all(spark, sf_dir).filter("o_orderkey IS NOT NULL").select("o_orderkey").distinct().count()
+    assert found == core.companion_join_inner(spark, sf_dir).select("o_orderkey").distinct().count()
+    assert found > core.companion_join_right(spark, sf_dir).filter("o_orderkey IS NOT NULL").count()
