@@ -59,6 +59,8 @@ ORACLES: dict[str, str] = {
         SELECT c_custkey, sha256(concat(lower(trim(c_name)), chr(31), coalesce(CASE WHEN c_custkey % 4 > 0 THEN lower(trim(c_mktsegment)) END, ''), chr(31), c_acctbal::DECIMAL(18,2)::DECIMAL(38,6)::VARCHAR)) AS row_hash FROM customer""",
     "unpivot_measures": """
         WITH q AS (SELECT o_orderstatus, 'Quarter ' || quarter(o_orderdate) AS period, sum(o_totalprice::DECIMAL(18,2))::DECIMAL(28,2)::VARCHAR AS value FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1, 2) SELECT * FROM q""",
+    "unpivot_all_years": """
+        SELECT o_orderstatus, year(o_orderdate)::INT AS year, coalesce('Quarter ' || quarter(o_orderdate), 'Undated') AS period, sum(o_totalprice::DECIMAL(18,2))::DECIMAL(28,2)::VARCHAR AS value FROM orders GROUP BY 1, 2, 3 HAVING sum(o_totalprice) IS NOT NULL""",
     "total_rows_detect": f"WITH {_TOTALS} SELECT c_mktsegment, o_orderstatus, n, value::DECIMAL(28,2)::VARCHAR AS value, is_total FROM t",
     "total_column_detect": """
         WITH s AS (SELECT l_suppkey, sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) AS a, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS n, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS r, sum(l_quantity) AS t FROM lineitem GROUP BY 1),
@@ -94,6 +96,7 @@ ORACLES: dict[str, str] = {
         WITH s AS (SELECT o_custkey, o_orderstatus AS id, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders GROUP BY 1, 2)
         SELECT x.o_custkey, x.id, y.id AS other_id, x.a <= y.a AND x.b >= y.b AS covers FROM s x JOIN s y ON x.o_custkey = y.o_custkey AND x.a <= y.b AND y.a <= x.b AND x.id < y.id""",
     "stack_with_provenance": "SELECT year(o_orderdate)::VARCHAR AS source_sheet, o_orderkey, o_totalprice AS value FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1997",
+    "stack_all_years": "SELECT coalesce(year(o_orderdate)::VARCHAR, 'undated') AS source_sheet, o_orderkey, o_totalprice AS value FROM orders",
     "schema_evolve_append": "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderstatus IN ('F', 'O')",
     "replace_supersede": """
         WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 > 0 THEN o_orderstatus END AS load_id FROM orders)

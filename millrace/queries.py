@@ -108,6 +108,13 @@ def unpivot_measures(spark, sf_dir):
     return reshape.melt(rows, ["o_orderstatus"], [f"q{q}" for q in range(1, 5)], "period", labels={f"q{q}": f"Quarter {q}" for q in range(1, 5)}).withColumn("value", F.col("value").cast("string"))
 
 
+def unpivot_all_years(spark, sf_dir):
+    """Quarters per status and year over every order, undated ones too; unpivot_measures takes one year."""
+    quarters, price = {f"q{q}": F.quarter("o_orderdate") == q for q in range(1, 5)} | {"undated": F.quarter("o_orderdate").isNull()}, money(F.col("o_totalprice"))
+    rows = load(spark, sf_dir, "orders").groupBy("o_orderstatus", F.year("o_orderdate").alias("year")).agg(*[F.sum(F.when(held, price)).cast("decimal(28,2)").alias(c) for c, held in quarters.items()])
+    return reshape.melt(rows, ["o_orderstatus", "year"], list(quarters), "period", labels={f"q{q}": f"Quarter {q}" for q in range(1, 5)} | {"undated": "Undated"}).withColumn("value", F.col("value").cast("string"))
+
+
 def _with_totals(spark, sf_dir):
     """Counts by customer segment and order status, with a total row per segment."""
     orders, customers = load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer")
@@ -210,6 +217,14 @@ def stack_with_provenance(spark, sf_dir):
     return reshape.stack({str(y): orders.filter(F.col("year") == y).select("o_orderkey", "value") if y % 2 else orders.filter(F.col("year") == y).select("value", "o_orderkey") for y in (1995, 1996, 1997)})
 
 
+def stack_all_years(spark, sf_dir):
+    """One table per year over every order, undated ones too; stack_with_provenance takes three years."""
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("value"), F.year("o_orderdate").alias("year"))
+    years = sorted((r["year"] for r in orders.select("year").distinct().collect()), key=lambda y: y or 0) or [None]
+    columns = lambda y: ("value", "o_orderkey") if y and y % 2 == 0 else ("o_orderkey", "value")
+    return reshape.stack({str(y or "undated"): orders.filter(F.col("year").eqNullSafe(F.lit(y))).select(*columns(y)) for y in years})
+
+
 def schema_evolve_append(spark, sf_dir):
     orders = load(spark, sf_dir, "orders")
     old = orders.filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus")
@@ -324,6 +339,6 @@ def row_change_check(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     monthly_rollup, column_profile_lineitem, column_profile_orders, month_stats, date_role_stats, date_ladder, amount_parse, bool_int_parse, invalid_names, invalid_counts, row_hash,
-    unpivot_measures, total_rows_detect, total_column_detect, running_total_check, fill_down, islands, companion_join_left, companion_join_inner, companion_join_right, companion_join_right_all, join_match_stats,
-    dup_key_report, lookup_resolve, key_overlap, period_overlap, stack_with_provenance, schema_evolve_append, replace_supersede, replace_month, replace_rollup, preview_search_sort,
+    unpivot_measures, unpivot_all_years, total_rows_detect, total_column_detect, running_total_check, fill_down, islands, companion_join_left, companion_join_inner, companion_join_right, companion_join_right_all, join_match_stats,
+    dup_key_report, lookup_resolve, key_overlap, period_overlap, stack_with_provenance, stack_all_years, schema_evolve_append, replace_supersede, replace_month, replace_rollup, preview_search_sort,
     first_samples, role_classify, header_names, pc_pad, name_keys, history_runs, vector_cosine, contracts_rows, empty_columns, null_safe_changes, missing_keys, rows_per_month, row_change_check)}

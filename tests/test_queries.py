@@ -43,6 +43,20 @@ def test_nothing_but_the_contract_imports_the_llm_subpackage():
             assert not any(".llm" in n for n in names), file
 
 
+def _plain_orders(spark, folder):
+    rows = [(1, 1, "F", "1994-02-03", 1.5), (2, 1, "F", None, 2.25), (3, 2, "O", "2001-12-31", 4.0), (4, 9, "F", "1998-05-06", 8.0)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate string, o_totalprice double")
+    orders.withColumn("o_orderdate", orders.o_orderdate.cast("timestamp")).write.parquet(f"{folder}/orders.parquet")
+
+
+def test_stack_and_unpivot_hold_every_order(spark, tmp_path):
+    _plain_orders(spark, tmp_path)
+    stacked = {(r.source_sheet, r.o_orderkey) for r in core.stack_all_years(spark, str(tmp_path)).collect()}
+    assert stacked == {("1994", 1), ("undated", 2), ("2001", 3), ("1998", 4)}
+    quarters = {(r.o_orderstatus, r.year, r.period, r.value) for r in core.unpivot_all_years(spark, str(tmp_path)).collect()}
+    assert quarters == {("F", 1994, "Quarter 1", "1.50"), ("F", None, "Undated", "2.25"), ("O", 2001, "Quarter 4", "4.00"), ("F", 1998, "Quarter 2", "8.00")}
+
+
 def test_right_join_meets_every_order(spark, sf_dir):
     found = core.companion_join_right_all(spark, sf_dir).filter("o_orderkey IS NOT NULL").select("o_orderkey").distinct().count()
     assert found == core.companion_join_inner(spark, sf_dir).select("o_orderkey").distinct().count()
