@@ -73,7 +73,7 @@ def distinct_values(df: DataFrame, sample: int | None = None) -> DataFrame:
     return values.withColumn("_rank", rank).filter(F.col("_rank") <= sample).drop("_rank")
 
 
-def key_overlap(left: DataFrame, right: DataFrame, sample: int = OVERLAP_SAMPLE) -> DataFrame:
+def key_overlap(left: DataFrame, right: DataFrame, sample: int | None = OVERLAP_SAMPLE) -> DataFrame:
     """Per pair of columns that share values: the share of left's (sampled) distinct values that right holds."""
     l, r = distinct_values(left, sample), distinct_values(right).withColumnRenamed("column_name", "right_column")
     sizes = l.groupBy("column_name").agg(F.count(F.lit(1)).alias("tried"))

@@ -206,6 +206,12 @@ def key_overlap(spark, sf_dir):
     return joins.key_overlap(left, right)
 
 
+def key_overlap_all(spark, sf_dir):
+    """key_overlap with every distinct value tried."""
+    left = load(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber")
+    return joins.key_overlap(left, load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), sample=None)
+
+
 def period_overlap(spark, sf_dir):
     spans = load(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.min(F.to_date("o_orderdate")).alias("start"), F.max(F.to_date("o_orderdate")).alias("end")).withColumnRenamed("o_orderstatus", "id")
     found = joins.overlapping(spans, spans, ["o_custkey"]).filter("id < other_id")
@@ -340,5 +346,5 @@ def row_change_check(spark, sf_dir):
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     monthly_rollup, column_profile_lineitem, column_profile_orders, month_stats, date_role_stats, date_ladder, amount_parse, bool_int_parse, invalid_names, invalid_counts, row_hash,
     unpivot_measures, unpivot_all_years, total_rows_detect, total_column_detect, running_total_check, fill_down, islands, companion_join_left, companion_join_inner, companion_join_right, companion_join_right_all, join_match_stats,
-    dup_key_report, lookup_resolve, key_overlap, period_overlap, stack_with_provenance, stack_all_years, schema_evolve_append, replace_supersede, replace_month, replace_rollup, preview_search_sort,
+    dup_key_report, lookup_resolve, key_overlap, key_overlap_all, period_overlap, stack_with_provenance, stack_all_years, schema_evolve_append, replace_supersede, replace_month, replace_rollup, preview_search_sort,
     first_samples, role_classify, header_names, pc_pad, name_keys, history_runs, vector_cosine, contracts_rows, empty_columns, null_safe_changes, missing_keys, rows_per_month, row_change_check)}

@@ -61,3 +61,9 @@ def test_right_join_meets_every_order(spark, sf_dir):
     found = core.companion_join_right_all(spark, sf_dir).filter("o_orderkey IS NOT NULL").select("o_orderkey").distinct().count()
     assert found == core.companion_join_inner(spark, sf_dir).select("o_orderkey").distinct().count()
     assert found > core.companion_join_right(spark, sf_dir).filter("o_orderkey IS NOT NULL").count()
+
+
+def test_key_overlap_tries_every_value(spark):
+    found = core.key_overlap_all(spark, "/root/testdata/sf0.1")
+    tried = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").select("l_partkey").distinct().count()
+    assert tried > 2000 and {r.tried for r in found.filter("left_column = 'l_partkey'").collect()} == {tried}
