@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 from typing import Any
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts of the operators spell it.
 SPACE = r"[\x20\x09-\x0D]+"
-#: A lookup table with at most this many rows may be broadcast; it is counted first.
-BROADCAST_ROWS = 500_000
+#: A lookup table with at most this many rows and bytes may be broadcast; both are counted first.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +26,15 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new folder below spark.checkpoint.dir, which driver and executors share.
+
+    In local mode, where they are one process, it may be unset; elsewhere that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints"
     return f"{root.rstrip('/')}/millrace-{uuid.uuid4().hex}"
 
 
@@ -45,8 +54,21 @@ def discard(df: DataFrame) -> None:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """df with a broadcast hint if a count finds at most `rows` rows, else None."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else None
+    """df with a broadcast hint if a count finds at most `rows` rows of BROADCAST_BYTES together, else None."""
+    wide = sum((F.octet_length(F.col(f"`{f.name}`").cast("string")) for f in df.schema if f.dataType.typeName() in ("string", "binary", "array")), F.lit(0))
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(F.coalesce(wide, F.lit(0)) + 8 * len(df.columns))).first()
+    return F.broadcast(df) if found[0] <= rows and (found[1] or 0) <= BROADCAST_BYTES else None
+
+
+def unused(taken: list[str], *names: str) -> list[str]:
+    """names, each with underscores in front until no column is called so, whatever the case."""
+    held, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
 
 
 def semi(rows: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:

@@ -1,9 +1,10 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Texts are folded to 32 symbols (letters, blank, digit, other ASCII, other), so that the 3- to
-5-grams index a table directly and no two collide. A feature is the presence of an n-gram, scaled
-by the log of its smoothed share among toxic against clean training documents; a logistic
-regression over the scaled features gives the score.
+Features are the 3- to 5-grams of a text's characters (code points, in lower case, runs of white
+space as one blank), hashed to 22 bits. A feature is the presence of an n-gram, scaled by the log of
+its smoothed share among toxic against clean training documents. A logistic regression over
+all features that the training rows hold, rare ones included, weighs them; its L2 penalty shrinks those that say
+little. Two cross-fitted halves of the training rows calibrate the score.
 """
 
 from __future__ import annotations
@@ -16,72 +17,60 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise
+from millrace.llm.common import discard, materialise
 
 ORDERS = (3, 4, 5)
-#: Bounds of the fit: labelled documents and features; a feature stands in so many documents at
-#: least, and the signed root of its log-likelihood ratio lies so many standard errors from zero.
-MAX_DOCS, MAX_FEATURES, LEAST_DOCS, LEAST_EVIDENCE = 20_000, 4096, 8, 5.0
-#: Documents are read in blocks of this many bytes, which overlap by the longest n-gram.
-BLOCK = 1 << 22
-
-
-def _symbols() -> np.ndarray:
-    fold = np.full(256, 31, np.uint32)
-    fold[:128] = 30
-    for c in range(26):
-        fold[65 + c] = fold[97 + c] = c + 1
-    fold[[9, 10, 11, 12, 13, 32]] = 28
-    fold[48:58] = 29
-    return fold
-
-
-FOLD = _symbols()
-#: First index of each order in the common numbering of n-grams.
-FIRST = {n: sum(32**m for m in ORDERS if m < n) for n in ORDERS}
-SIZE = sum(32**n for n in ORDERS)
-
-
-def grams(text: bytes) -> Iterator[np.ndarray]:
-    """Indices of the n-grams of a text (with a blank on either side), block by block."""
-    data = b" " + text + b" "
-    for at in range(0, len(data), BLOCK):
-        s = FOLD[np.frombuffer(data, np.uint8)[at: at + BLOCK + max(ORDERS) - 1]]
-        for n in ORDERS:
-            if len(s) >= n:
-                code = s[: len(s) - n + 1]
-                for k in range(1, n):
-                    code = (code << np.uint32(5)) | s[k: len(s) - n + 1 + k]
-                yield code + np.uint32(FIRST[n])
-
-
-def present(text: bytes, table: np.ndarray | None = None) -> np.ndarray:
-    """The distinct n-grams of a text; with a table, only the features it numbers (from 1)."""
-    found = []
-    for block in grams(text):
-        if table is not None:
-            block = table[block]
-            block = block[block > 0]
-        found.append(np.unique(block))
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint32)
+#: Bound of the fit: so many labelled documents.
+MAX_DOCS = 5_000
+#: Bits of a hashed n-gram; a model is one number for each, 16 MB.
+BITS = 22
+#: Pseudo-documents behind each ratio, spread over the classes by their size, and the L2 penalty.
+SMOOTHING, STRENGTH = 100.0, 1e-5
+#: Texts are read in blocks of this many characters, which overlap by the longest n-gram.
+BLOCK = 1 << 20
+
+
+def hashed(s: np.ndarray, n: int) -> np.ndarray:
+    """Hashes, of BITS bits, of the n-grams of a sequence of code points."""
+    code = s[: len(s) - n + 1] * np.uint32(0x9E3779B1)
+    for k in range(1, n):
+        code = (code ^ s[k: len(s) - n + 1 + k]) * np.uint32(0x85EBCA6B + 2 * n)
+        code ^= code >> np.uint32(15)
+    return (code * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS)
+
+
+class Reader:
+    """Finds the distinct features of one text after another."""
+
+    def __init__(self) -> None:
+        self.seen, self.last = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, np.int32)
+
+    def present(self, text: str | None) -> np.ndarray:
+        """The distinct hashed n-grams of a text with a blank on either side."""
+        data = np.frombuffer(f" {' '.join((text or '').lower().split())} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+        found = []
+        for at in range(0, len(data), BLOCK):
+            s = data[at: at + BLOCK + max(ORDERS) - 1]
+            grams = np.concatenate([hashed(s, n) for n in ORDERS if len(s) >= n] or [np.empty(0, np.uint32)])
+            order = np.arange(len(grams), dtype=np.int32)
+            self.last[grams] = order  # of equal ones the last stays
+            new = grams[(self.last[grams] == order) & ~self.seen[grams]]
+            self.seen[new] = True
+            found.append(new)
+        out = np.concatenate(found)
+        self.seen[out] = False
+        return out
 
 
 @dataclass(frozen=True)
 class Model:
-    """Features (n-gram indices), their weights and the bias of a fitted classifier."""
+    """Weight of each feature (already scaled by its ratio) and the bias of a fitted classifier."""
 
-    features: np.ndarray
     weights: np.ndarray
     bias: float
 
-    def table(self) -> np.ndarray:
-        """Feature number, from 1, of each n-gram; 0 for those without weight."""
-        table = np.zeros(SIZE, np.uint16)
-        table[self.features] = np.arange(1, len(self.features) + 1)
-        return table
-
-    def score(self, text: bytes, table: np.ndarray) -> float:
-        z = self.bias + float(self.weights[present(text, table).astype(np.int64) - 1].sum())
+    def score(self, text: str | None, reader: Reader) -> float:
+        z = self.bias + float(self.weights[reader.present(text)].sum(dtype=np.float64))
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
@@ -91,148 +80,158 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = MAX_DOCS) -> DataFrame:
-    """text and toxic of at most `most` labelled documents that aren't held out.
+    """text and toxic of at most `most` labels' documents that aren't held out.
 
     The labels of smallest hash are taken, so that the choice is random but fixed. They are few
-    enough to broadcast, and no text is shuffled. Null or repeated labels are left out.
+    enough to broadcast, and no text is shuffled. Null and contradictory labels are left out.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("_low")).filter("toxic = _low")
-    chosen = known.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(most)
+    chosen = known.select(F.col("doc_id").alias("_id"), (F.col("toxic").cast("int") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(most)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
-def _logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, strength: float, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Logistic regression on presence times scale, with L2 penalty but on the bias, by L-BFGS."""
-    size = np.array([len(r) for r in rows])
-    index, doc, n = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), size), len(rows)
-    value = scale[index]
-
-    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = w[-1] + np.bincount(doc, w[index] * value, minlength=n)
-        error = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - y
-        grad = np.append(np.bincount(index, error[doc] * value, minlength=len(scale)) / n + strength * w[:-1], error.mean())
-        return float((np.logaddexp(0, z) - y * z).mean() + strength / 2 * (w[:-1] ** 2).sum()), grad
+def log_ratios(rows: list[np.ndarray], toxic: np.ndarray, size: int, smoothing: float) -> np.ndarray:
+    """Log of each feature's share among toxic documents against its share among clean ones.
 
-    w, pairs = np.zeros(len(scale) + 1), []
-    value_now, grad = loss(w)
-    for _ in range(steps):
-        way, used = grad.copy(), []
-        for s, d, r in reversed(pairs):
-            used.append(r * (s @ way))
-            way -= used[-1] * d
-        if pairs:
-            way *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1])
-        for (s, d, r), a in zip(pairs, reversed(used), strict=True):
-            way += s * (a - r * (d @ way))
-        step, slope = 1.0 if pairs else 1 / max(1.0, float(np.abs(grad).sum())), float(grad @ way)
-        while True:
-            after, value_after, grad_after = w - step * way, *loss(w - step * way)
-            if value_after <= value_now - 1e-4 * step * slope or step < 1e-10:
-                break
-            step /= 2
-        s, d = after - w, grad_after - grad
-        done = value_now - value_after < 1e-9
-        w, value_now, grad = after, value_after, grad_after
-        if done:
-            break
-        if s @ d > 1e-12:
-            pairs = [*pairs[-9:], (s, d, 1 / (s @ d))]
-    return w[:-1] * scale, float(w[-1])
+    `smoothing` pseudo-documents, spread over the classes by their size, pull rare features to zero.
+    """
+    t, c = np.zeros(size), np.zeros(size)
+    for row, y in zip(rows, toxic, strict=True):
+        (t if y else c)[row] += 1
+    n_toxic = toxic.sum()
+    added = smoothing / len(toxic)
+    return np.log((t / n_toxic + added) / (c / (len(toxic) - n_toxic) + added))
 
 
-def evidence(t: Column, c: Column, toxic: int, clean: int) -> Column:
-    """Log-likelihood ratio of an n-gram in t of the toxic and c of the clean documents against one and the same share.
+def logistic(rows: list[np.ndarray], toxic: np.ndarray, scale: np.ndarray, strength: float, epochs: int = 30, tolerance: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights (times scale) and bias of the logistic regression on presence times scale.
 
-    The fewer clean documents hold a toxic n-gram, the larger it is; zeros don't weaken it.
+    Minimises the mean logistic loss plus strength / 2 times the squared norm of weights and bias, by
+    dual coordinate ascent: document by document, the dual variable that is best given all others is found by
+    Newton's method, until they move by `tolerance` on average.
     """
-    term = lambda n: F.when(n > 0, n * F.log(n.cast("double"))).otherwise(0.0)
-    n = F.lit(toxic + clean)
-    return 2 * (term(t) + term(c) + term(toxic - t) + term(clean - c) - term(t + c) - term(n - t - c) - term(F.lit(toxic)) - term(F.lit(clean)) + term(n))
+    n, square = len(rows), scale * scale
+    sign, dual = 2.0 * toxic - 1, np.zeros(len(rows))
+    curve = np.array([square[r].sum() + 1 for r in rows]) / (strength * n)
+    weights, bias, rng = np.zeros(len(scale)), 0.0, np.random.default_rng(0)
+    for _ in range(epochs):
+        moved = 0.0
+        for i in rng.permutation(n):
+            row, before, q = rows[i], dual[i], curve[i]
+            margin = sign[i] * (weights[row].sum() + bias)
+            low, high, a = 0.0, 1.0, min(max(before, 1e-6), 1 - 1e-6)
+            for _ in range(60):
+                slope = np.log(a / (1 - a)) + margin + (a - before) * q
+                low, high = (low, a) if slope > 0 else (a, high)
+                step = a - slope / (1 / (a * (1 - a)) + q)
+                after = step if low < step < high else (low + high) / 2
+                done = abs(after - a) <= 1e-12 + 1e-9 * a
+                a = after
+                if done:
+                    break
+            gain = (a - before) * sign[i] / (strength * n)
+            dual[i] = a
+            moved += abs(a - before)
+            weights[row] += gain * square[row]
+            bias += gain
+        if moved / n < tolerance:
+            break
+    return weights, bias
 
 
-def least_evidence(toxic: int, clean: int) -> float:
-    """What a feature's evidence must be: never more than that of LEAST_DOCS toxic documents and no clean one."""
-    term = lambda n: n * np.log(n) if n else 0.0
-    least, n = min(LEAST_DOCS, toxic), toxic + clean
-    return float(min(LEAST_EVIDENCE**2, 2 * (term(toxic - least) - term(n - least) - term(toxic) + term(n)) - 1e-6))
+def calibrate(z: np.ndarray, toxic: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """Slope (positive) and shift of the logistic curve through (z, toxic), by Newton's method with a small penalty."""
+    spread = float(z.std()) or 1.0
+    x, w, penalty = np.column_stack([z / spread, np.ones(len(z))]), np.zeros(2), np.array([1e-2, 1e-6])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(penalty), x.T @ (p - toxic) + penalty * w)
+        w -= step * min(1.0, 2 / max(1e-12, float(np.abs(step).max())))
+        if np.abs(step).max() < 1e-9:
+            break
+    return max(w[0], 1e-6) / spread, w[1]
+
 
+def learn(rows: list[np.ndarray], toxic: np.ndarray, smoothing: float = SMOOTHING, strength: float = STRENGTH, **options: float) -> Model:
+    """The model of feature lists and their labels: ratios, regression and calibration.
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_DOCS, strength: float = 1e-4) -> Model:
+    Without toxic or without clean documents the model is a constant. Calibration takes the scores that each half
+    gets from a fit on the other; with fewer than 20 documents of a class there is none.
+    """
+    n, n_toxic = len(rows), int(toxic.sum())
+    if not 0 < n_toxic < n:
+        share = (n_toxic + 0.5) / (n + 1) if n else 0.0
+        return Model(np.zeros(1 << BITS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+    features, index = np.unique(np.concatenate(rows), return_inverse=True)  # numbered without gaps: faster to reach
+    rows = np.split(index.astype(np.int32), np.cumsum([len(r) for r in rows])[:-1])
+
+    def fitted(which: np.ndarray) -> tuple[np.ndarray, float]:
+        own = [rows[i] for i in which]
+        return logistic(own, toxic[which], log_ratios(own, toxic[which], len(features), smoothing), strength, **options)
+
+    slope, shift = 1.0, 0.0
+    if min(n_toxic, n - n_toxic) >= 20:
+        half, z = np.empty(n, bool), np.empty(n)
+        for y in (0, 1):  # every other document of each class
+            members = np.flatnonzero(toxic == y)
+            half[members] = np.arange(len(members)) % 2 == 0
+        for side in (True, False):
+            weights, bias = fitted(np.flatnonzero(half != side))
+            for i in np.flatnonzero(half == side):
+                z[i] = weights[rows[i]].sum() + bias
+        slope, shift = calibrate(z, toxic.astype(float))
+    weights, bias = fitted(np.arange(n))
+    full = np.zeros(1 << BITS, np.float32)
+    full[features] = weights * slope
+    return Model(full, bias * slope + shift)
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_DOCS, **options: float) -> Model:
     """Fit on a bounded sample (at most `most` labelled documents).
 
-    Tasks count in how many toxic and clean documents each n-gram stands; the MAX_FEATURES
-    n-grams of the largest log-likelihood ratio are kept, and the sample's documents, reduced to
-    these, come to the driver: at most MAX_DOCS short lists. Without toxic or without clean
-    documents the model is a constant.
+    Tasks turn the sample's whole texts into lists of features, whose files the driver reads one partition after
+    the other: at most `most` lists. Labels without a document, and an empty table, leave a constant model.
     """
-    spark = docs.sparkSession
-    train = materialise(sample(docs, labels, most), "train")
-    totals = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic, clean = sum(n for k, n in totals.items() if k), totals.get(0, 0)
-    if not toxic or not clean:
-        share = (toxic + 0.5) / (toxic + clean + 1) if toxic + clean else 0.0
-        return Model(np.empty(0, np.int64), np.empty(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
         for b in batches:
-            parts: dict[int, list[np.ndarray]] = {0: [], 1: []}
-            for text, y in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                parts[int(bool(y))].append(present(text))
-            for y, found in parts.items():
-                if found:
-                    gram, n = np.unique(np.concatenate(found), return_counts=True)
-                    n = n.astype(np.int64)
-                    yield pa.record_batch([pa.array(gram.astype(np.int64)), pa.array(n * y), pa.array(n * (1 - y))], ["gram", "t", "c"])
-
-    small = train.repartition(max(1, min(64, (toxic + clean) // 250)))
-    counts = small.mapInArrow(count, "gram long, t long, c long").groupBy("gram").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).filter(F.col("t") + F.col("c") >= LEAST_DOCS)
-    t, c = F.col("t") + 0.5, F.col("c") + 0.5
-    ratio = F.log(t / (toxic + 1)) - F.log(c / (clean + 1))
-    kept = counts.select("gram", ratio.alias("ratio"), evidence(F.col("t"), F.col("c"), toxic, clean).alias("evidence")).filter(F.col("evidence") >= least_evidence(toxic, clean)).orderBy(F.desc("evidence"), "gram").limit(MAX_FEATURES).toPandas()
-    features, ratios = kept["gram"].to_numpy(np.int64), kept["ratio"].to_numpy(float)
-    shared = spark.sparkContext.broadcast(features)
-
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Model(shared.value, np.empty(0), 0.0).table()
-        for b in batches:
-            found = [present(x, table).astype(np.uint16).tobytes() for x in b.column("text").cast(pa.binary()).to_pylist()]
+            found = [np.sort(reader.present(x)).tobytes() for x in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("toxic"), pa.array(found, pa.binary())], ["toxic", "features"])
 
-    reduced = small.mapInArrow(reduce, "toxic int, features binary").collect()
-    rows = [np.frombuffer(r["features"], np.uint16).astype(np.int64) - 1 for r in reduced]
-    y = np.array([float(bool(r["toxic"])) for r in reduced])
-    weights, bias = _logistic(rows, y, ratios, strength)
-    return Model(features, weights, bias)
+    held = materialise(sample(docs, labels, most).mapInArrow(read, "toxic int, features binary"), "features")
+    pairs = sorted((bytes(r["features"]), r["toxic"]) for r in held.toLocalIterator())  # the same order in every run
+    discard(held)
+    return learn([np.frombuffer(f, np.uint32) for f, _ in pairs], np.array([y for _, y in pairs], np.int64), **options)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (score >= threshold) of each row of docs(doc_id, text).
 
     Null texts count as empty. Whole texts are read, however long. Repeated rows and null doc_ids
-    are each scored; columns beside doc_id and text are ignored.
+    are each scored; columns beside doc_id and text are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        table = model.table()
+        model, reader = shared.value, Reader()
         for b in batches:
-            texts = b.column("text").cast(pa.binary())
-            yield pa.record_batch([b.column("doc_id"), pa.array([model.score(t.as_py() or b"", table) for t in texts], pa.float64())], ["doc_id", "score"])
+            yield pa.record_batch([b.column("doc_id"), pa.array([model.score(t.as_py(), reader) for t in b.column("text")], pa.float64())], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs whose text scores below the threshold, with all their columns."""
+    """The rows of docs whose text scores below the threshold, with all their columns.
+
+    Null texts count as empty; repeated rows are each judged; an empty table stays empty.
+    """
     shared, column = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        table = model.table()
+        model, reader = shared.value, Reader()
         for b in batches:
-            clean = [model.score(t.as_py() or b"", table) < threshold for t in b.column(column).cast(pa.binary())]
+            clean = [model.score(t.as_py(), reader) < threshold for t in b.column(column)]
             yield b.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
