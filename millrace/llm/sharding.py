@@ -2,80 +2,95 @@
 
 A uniform shuffle into shards of exact sizes sends, from each source partition to each shard, a
 number of rows that follows a multivariate hypergeometric law. These counts are drawn first; each
-partition then permutes its rows and cuts them by its counts, the rows are exchanged, and
+partition, as it lies in its file, then permutes its rows and cuts them by its counts, the rows are exchanged, and
 each shard permutes what it received. Only counts pass through the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import partitions
+from millrace.llm.common import materialise, small
 
-#: numpy draws exactly below this many rows.
-EXACT = 10**9
+#: Rows of a shard that are permuted together, about: a block of the random key.
+BLOCK_ROWS = 1 << 14
 
 
 def communication_matrix(rows: list[int], capacities: list[int], seed: int) -> np.ndarray:
-    """Counts [partition, shard] with the given margins, drawn as a uniform shuffle would.
+    """Counts [partition, shard] with the given margins, drawn as a uniform shuffle would, at any size.
 
-    Beyond 10^9 rows, where numpy's sampler ends, counts come from the normal approximation,
-    rounded and kept within the margins; the margins hold exactly in either case.
+    Every row first goes to any shard, independently (multinomial counts); then shards that got
+    too many give rows, chosen uniformly among theirs, to those that got too few. Neither step knows one row
+    from another, so all assignments with the right sizes stay equally likely: the counts follow the
+    hypergeometric law exactly. About the square root of the rows is chosen one by one.
     """
     rng, left = np.random.default_rng(seed), np.array(capacities, np.int64)
-    matrix = np.zeros((len(rows), len(capacities)), np.int64)
-    for p, n in enumerate(rows):
-        total = int(left.sum())
-        if total < EXACT:
-            matrix[p] = rng.multivariate_hypergeometric(left, n, method="marginals") if total else 0
-        else:
-            rest, pool = n, total
-            for s, c in enumerate(left.tolist()):
-                pool -= c
-                mean = rest * c / (pool + c) if pool + c else 0
-                spread = np.sqrt(max(0.0, mean * (pool / max(1, pool + c)) * ((pool + c - rest) / max(1, pool + c - 1))))
-                matrix[p, s] = min(c, rest, max(rest - pool, 0, round(rng.normal(mean, spread))))
-                rest -= matrix[p, s]
-        left -= matrix[p]
+    if not left.sum():
+        return np.zeros((len(rows), len(capacities)), np.int64)
+    matrix = rng.multinomial(np.array(rows, np.int64), left / left.sum()).astype(np.int64)
+    excess, moved = matrix.sum(axis=0) - left, [np.empty(0, np.int64)]
+    for s in np.flatnonzero(excess > 0):
+        upto = matrix[:, s].cumsum()
+        given = np.searchsorted(upto, rng.choice(int(upto[-1]), int(excess[s]), replace=False), side="right")
+        np.subtract.at(matrix, (given, s), 1)
+        moved.append(given)
+    short = np.repeat(np.arange(len(left)), np.maximum(-excess, 0))
+    np.add.at(matrix, (rng.permutation(np.concatenate(moved)), short), 1)
     return matrix
 
 
 def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """df with shard and slot: a uniform shuffle into `shards` shards, counts at most one apart.
 
-    slot numbers the rows of a shard from 0 without gaps, in shuffled order. The draw depends on the
-    rows' values and the seed alone, so reruns agree; rows alike in all columns are interchangeable,
-    and nulls are values like others. An empty df gives no rows. Columns named shard or slot
-    are refused.
+    slot numbers the rows of a shard from 0 without gaps, in shuffled order. Source partitions are df's own, written
+    out first. The draw depends on how rows lie in them, on their number and the seed, neither on values nor on
+    spark.sql.shuffle.partitions: reruns over the same files agree. Rows that repeat are
+    dealt like any others, nulls and all other columns go along as they are. An empty df gives no rows. A column
+    named shard or slot is refused.
     """
-    if {"shard", "slot"} & set(df.columns):
+    if {"shard", "slot"} & {c.lower() for c in df.columns}:
         raise ValueError("the input has a column shard or slot already")
-    spark, values = df.sparkSession, [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in df.columns]
-    parts = 4 * partitions(spark)
-    key = lambda salt: F.xxhash64(F.lit(f"{seed}/{salt}"), *values)
-    rows = df.withColumn("_part", F.pmod(key("part"), F.lit(parts)).cast("int")).withColumn("_key", key("local"))
-    counts = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sizes = [counts.get(p, 0) for p in range(parts)]
+    spark = df.sparkSession
+    held = materialise(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")), "rows")
+    rows = held.select("row", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    counts = sorted((r["file"].partition("-c000")[0], r["file"], r["n"]) for r in rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect())  # a row per partition
+    sizes = [n for *_, n in counts]
     total = sum(sizes)
     capacities = [total // shards + (s < total % shards) for s in range(shards)]
     upto = communication_matrix(sizes, capacities, seed).cumsum(axis=1)
-    matrix = spark.createDataFrame([(p, upto[p].tolist()) for p in range(parts)], "_of int, _upto array<long>")  # partitions x shards numbers
-    local = Window.partitionBy("_part").orderBy("_key", *values)
-    rows = rows.withColumn("_nth", F.row_number().over(local)).join(F.broadcast(matrix), F.col("_part") == F.col("_of"))
-    rows = rows.withColumn("shard", F.size(F.filter("_upto", lambda u: u < F.col("_nth"))).cast("int")).drop("_part", "_key", "_nth", "_of", "_upto")
-    return _slots(rows, key("exchange"), values, shards, total, parts)
+    matrix = spark.createDataFrame([(file, p, n, upto[p].tolist()) for p, (_, file, n) in enumerate(counts)], "_of string, part int, n long, upto array<long>")  # partitions x shards numbers
+
+    @F.pandas_udf("long")
+    def permuted(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        """Place of each row in its partition's permutation, which is drawn once per partition and task."""
+        held, order = None, np.empty(0, np.int64)
+        for part, n, at in columns:
+            place = np.empty(len(at), np.int64)
+            for p in part.unique():
+                own = (part == p).to_numpy()
+                if held != p:
+                    held, order = p, np.random.default_rng([seed, 1, int(p)]).permutation(int(n[own].iat[0]))
+                place[own] = order[at[own].to_numpy()]
+            yield pd.Series(place)
+
+    rows = rows.join(small(matrix) or matrix, F.col("file") == F.col("_of"))
+    rows = rows.withColumn("place", permuted("part", "n", "at"))
+    rows = rows.select("row", "part", "at", F.size(F.filter("upto", lambda u: u <= F.col("place"))).cast("int").alias("shard"))
+    return _slots(rows, F.xxhash64(F.lit(f"{seed}/exchange"), "part", "at"), total // shards).select("row.*", "shard", "slot")
 
 
-def _slots(rows: DataFrame, key: Column, values: list[Column], shards: int, total: int, parts: int) -> DataFrame:
+def _slots(rows: DataFrame, key: Column, per_shard: int) -> DataFrame:
     """Number each shard's rows in the order of a random key, block of the key by block."""
-    blocks = 1 << max(0, int(np.ceil(np.log2(max(1, parts / shards, total / shards / 100_000)))))
-    keyed = rows.withColumn("_key", key)
-    keyed = keyed.withColumn("_block", F.pmod(F.shiftright("_key", 40), F.lit(blocks)).cast("int"))
-    sizes = keyed.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))  # shards x blocks rows
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("shard").alias("_s"), F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("shard", "_block").orderBy("_key", *values)
-    numbered = keyed.withColumn("_nth", F.row_number().over(inside)).join(starts, (F.col("shard") == F.col("_s")) & (F.col("_block") == F.col("_b")))
-    return numbered.withColumn("slot", (F.col("_start") + F.col("_nth") - 1).cast("long")).drop("_key", "_block", "_nth", "_s", "_b", "_start")
+    blocks = 1 << max(0, (per_shard // BLOCK_ROWS).bit_length())
+    keyed = materialise(rows.withColumn("key", key).withColumn("block", F.pmod(F.shiftright("key", 24), F.lit(blocks)).cast("int")), "dealt")
+    sizes = keyed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))  # shards x blocks rows
+    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("shard").alias("_s"), F.col("block").alias("_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("shard", "block").orderBy("key", "part", "at")
+    numbered = keyed.withColumn("nth", F.row_number().over(inside)).join(small(starts) or starts, (F.col("shard") == F.col("_s")) & (F.col("block") == F.col("_b")))
+    return numbered.withColumn("slot", (F.col("start") + F.col("nth") - 1).cast("long"))
