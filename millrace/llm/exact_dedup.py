@@ -1,8 +1,9 @@
 """Exact deduplication by an exchange of Golomb-coded fingerprints.
 
-Senders (slices of the documents by a hash of the row) sort the fingerprints of their
+Senders (runs of the documents' rows, as they lie) sort the fingerprints of their
 documents and send each owner of a fingerprint range one Golomb-Rice coded block. The
-owner sees which fingerprints occur twice anywhere and answers with a bitmap per block.
+owner sees which fingerprints occur twice anywhere and answers with a bitmap per block, by which
+the sender marks its rows, which never move.
 Only documents whose bit is set - the suspects - have their texts shuffled, and those
 texts are compared byte by byte. A fingerprint collision therefore costs a comparison,
 never a document.
@@ -10,14 +11,18 @@ never a document.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded_share, discard, lookup, materialise, partitions, semi, squeeze
+from millrace.llm.common import bounded_share, discard, lookup, materialise, partitions, semi, shared_dir, squeeze
 
-BLOCK = "owner int, sender int, n int, k int, unary binary, low binary, repeated binary"
+BLOCK = "owner long, sender long, n int, k int, unary binary, low binary, repeated binary"
+#: Rows of a sender and fingerprints of an owner, about: what one group holds in memory.
+SENDER_ROWS, OWNER_PRINTS = 500_000, 2_000_000
 
 
 def golomb_encode(values: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -47,9 +52,23 @@ def _slices(fingerprints: np.ndarray, owners: int, bits: int):
     return values, counts > 1, owner, starts
 
 
-def find_suspects(prints: DataFrame, bits: int) -> DataFrame:
-    """prints(fingerprint, sender, ...) with a column suspect: its fingerprint occurs again."""
-    owners = min(1 << 14, max(partitions(prints.sparkSession), 16))
+def find_suspects(prints: DataFrame, n: int, bits: int, sender_rows: int = SENDER_ROWS, owner_prints: int = OWNER_PRINTS) -> DataFrame:
+    """prints(fingerprint, ...), n rows, with a column suspect: its fingerprint occurs again.
+
+    A sender is a run of at most `sender_rows` rows as they lie in a partition of prints. The rows are written
+    once, bucketed by sender, and stay there: tasks read a sender's bucket to make its blocks, and read it again
+    to mark its rows. Only blocks (by owner) and bitmaps (by sender) are exchanged. An owner has the share of the
+    fingerprint range that holds `owner_prints` rows or so, hence senders and owners both grow with n.
+    Another column named sender or suspect is refused.
+    """
+    if {"sender", "suspect"} & {c.lower() for c in prints.columns}:
+        raise ValueError("the prints have a column sender or suspect already")
+    spark, owners = prints.sparkSession, min(1 << 64 - bits, max(1, -(-n // owner_prints)))  # their product with a fingerprint fits 64 bits
+    place, name = F.monotonically_increasing_id(), f"millrace_prints_{uuid.uuid4().hex}"
+    sender = F.shiftright(place, 33) * (1 << 20) + (place.bitwiseAND((1 << 33) - 1) / sender_rows).cast("long")
+    buckets = max(partitions(spark), -(-n // sender_rows))
+    prints.withColumn("sender", sender).write.bucketBy(min(buckets, 100_000), "sender").option("path", f"{shared_dir(spark)}/prints").saveAsTable(name)
+    table = spark.table(name)
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
         values, repeats, owner, starts = _slices(pdf["fingerprint"].to_numpy(), owners, bits)
@@ -77,10 +96,13 @@ def find_suspects(prints: DataFrame, bits: int) -> DataFrame:
         at = np.searchsorted(values, pdf["fingerprint"].to_numpy().astype(np.uint64))
         return pdf[columns].assign(suspect=np.concatenate(twice)[at].astype(bool))
 
-    blocks = prints.select("sender", "fingerprint").groupBy("sender").applyInPandas(send, BLOCK)
-    replies = blocks.groupBy("owner").applyInPandas(answer, "owner int, sender int, bitmap binary")
+    blocks = table.select("sender", "fingerprint").groupBy("sender").applyInPandas(send, BLOCK)
+    replies = blocks.groupBy("owner").applyInPandas(answer, "owner long, sender long, bitmap binary")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prints.schema) + ", suspect boolean"
-    return prints.groupBy("sender").cogroup(replies.groupBy("sender")).applyInPandas(mark, schema)
+    marked = materialise(table.groupBy("sender").cogroup(replies.groupBy("sender")).applyInPandas(mark, schema), "marked")
+    discard(table)
+    spark.sql(f"DROP TABLE {name}")
+    return marked
 
 
 def duplicates(docs: DataFrame, bits: int = 48) -> DataFrame:
@@ -93,18 +115,14 @@ def duplicates(docs: DataFrame, bits: int = 48) -> DataFrame:
     """
     if not 8 <= bits <= 48:
         raise ValueError("bits must lie between 8 and 48")
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), squeeze(F.col("text")).alias("norm"))
-    slim = docs.select(
+    slim = materialise(docs.select(
         "doc_id",
         F.unhex(F.sha2("norm", 256)).alias("sha"),
         F.shiftrightunsigned(F.xxhash64("norm"), 64 - bits).alias("fingerprint"),
-        F.monotonically_increasing_id().alias("row"))
-    slim = materialise(slim, "prints")
+        F.monotonically_increasing_id().alias("row")), "prints")  # row is fixed from here on
     n = slim.count()
-    senders = max(partitions(spark), -(-n // 200_000))
-    prints = slim.withColumn("sender", F.pmod(F.xxhash64("row"), F.lit(senders)).cast("int"))
-    marked = materialise(find_suspects(prints, bits).drop("sender", "fingerprint"), "marked")
+    marked = find_suspects(slim, n, bits).drop("fingerprint")
     discard(slim)
 
     suspects = marked.filter("suspect")
@@ -114,13 +132,14 @@ def duplicates(docs: DataFrame, bits: int = 48) -> DataFrame:
         .filter("group_size > 1")
         .select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size", F.col("group_size").alias("weight")))
     groups = materialise(groups, "groups")
-    found = lookup(suspects, groups, "sha", "weight", bounded_share(n))
-    first = Window.partitionBy("sha", "doc_id").orderBy("row")
-    found = found.withColumn("nth", F.row_number().over(first)).select(
+    found = materialise(lookup(suspects, groups, "sha", "weight", bounded_share(n)), "found")
+    # of rows that repeat the kept doc_id and text the first stays: one such row per group
+    first = found.filter("group_size IS NOT NULL AND doc_id <=> keep_id").groupBy("sha").agg(F.min("row").alias("stays"), F.first("group_size").alias("weight"))
+    found = lookup(found, first, "sha", "weight", bounded_share(n)).select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
-        (F.col("group_size").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1))).alias("kept"),
+        (F.col("group_size").isNull() | (F.col("row") == F.col("stays"))).alias("kept"),
         "sha")
     alone = marked.filter("NOT suspect").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
@@ -132,7 +151,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
     Only the ids of dropped rows travel. A doc_id of which one row stays and another goes
-    (it is repeated) is settled by its texts.
+    (it is repeated) is settled by its texts: of its rows with one text that with the smallest other columns stays.
+    Nulls and empty tables as in duplicates().
     """
     verdict = materialise(duplicates(docs), "verdict")
     gone, kept = verdict.filter("NOT kept").select("doc_id"), verdict.filter("kept")
@@ -140,9 +160,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     stay = semi(docs, gone, "doc_id", "left_anti")
     if both.isEmpty():
         return stay
-    sha = F.sha2(squeeze(F.col("text")), 256)
-    mixed = semi(docs, both, "doc_id").withColumn("_sha", sha)
-    mixed = mixed.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], "text"))).filter("_nth = 1")
+    rows = semi(docs, both, "doc_id").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").cast("long").alias("id"), F.sha2(squeeze(F.col("row.text")), 256).alias("sha"))
+    # rows alike in everything are one and the same, so the least of each text can be found by aggregation
+    least = rows.groupBy("id", "sha").agg(F.min("row").alias("row"))
     wanted = kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_want")).distinct()
-    mixed = mixed.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_want")), "left_semi")
-    return stay.unionByName(mixed.select(*docs.columns))
+    least = least.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_want")), "left_semi")
+    return stay.unionByName(least.select("row.*"))
