@@ -3,7 +3,7 @@
 Every source has a budget of words and a schedule, the relative rate at which it is drawn over
 training time 0 to 1. The integral of the schedule is the source's cumulative demand; its
 inverse gives each document - lined up in a fixed random order, again and again while the budget
-lasts - the time at which it is due. Documents range-sorted by that time are the mix.
+lasts - the time at which it is due. Copies of documents range-sorted by that time are the mix.
 
 DataFrame operations only. Running totals within a source are taken over slices of the order and
 then over the slices' totals, so that no source, however large, meets in one task.
@@ -14,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise
+from millrace.llm.common import materialise, small
 
-#: Hex digits of the order key that make a slice: 4,096 slices of each source.
-SLICE = 3
+#: Rows of a slice of the order, about: slices are as many as the rows need.
+SLICE_ROWS = 20_000
+#: The order of documents within a source; the last two are a row's place in its file.
+ORDER = ("order", "doc_id", "size", "content", "file", "at")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -30,7 +32,7 @@ def sources(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int
     their limit in the order of limit / weight, so L follows from running sums in that order.
 
     slope is how much a source's rate rises over training: heavy sources fall by `ramp`, light
-    ones rise by it, those between are steady. One row per source is sorted in one task.
+    ones rise by it, those between are steady. One row per source, and nothing else, is sorted in one task.
     """
     per = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -62,61 +64,85 @@ def _settle(rows: DataFrame, repeats: int) -> DataFrame:
     missing = rows.groupBy(F.col("source").alias("_s"), F.col("target").alias("_t")).agg(F.sum(F.col("copies") * F.col("size")).alias("_took"))
     missing = missing.select("_s", (F.col("_t") - F.col("_took")).alias("_miss"))
     miss, size = F.col("_miss"), F.col("size")
-    able = F.when(miss > 0, F.col("copies") < repeats).otherwise(F.col("copies") > 0) & (size > 0) & F.col("doc_id").isNotNull()
+    able = F.when(miss > 0, F.col("copies") < repeats).otherwise(F.col("copies") > 0) & (size > 0)
     after = F.abs(F.abs(miss) - size)
     ranked = rows.join(missing, F.col("source").eqNullSafe(F.col("_s"))).filter(able & (after < F.abs(miss)))
-    best = ranked.groupBy("_s", "_miss").agg(F.min(F.struct(after.alias("after"), "order", "doc_id", "size")).alias("_best"))
-    best = best.select("_s", F.signum("_miss").cast("int").alias("_step"), F.col("_best.doc_id").alias("_doc"), F.col("_best.size").alias("_size"))
-    chosen = F.col("source").eqNullSafe(F.col("_s")) & (F.col("doc_id") == F.col("_doc")) & (F.col("size") == F.col("_size"))
-    return rows.join(best, chosen, "left").withColumn("copies", F.col("copies") + F.coalesce("_step", F.lit(0))).drop("_s", "_step", "_doc", "_size")
-
-
-def plan(docs: DataFrame, repeats: int = 3, **options) -> DataFrame:
-    """One row per row of docs(doc_id, text, source): doc_id, size, source_size, target, copies,
-    taken and positions (array<double>: when each copy is due), range-sorted by first position.
-
-    size is the number of words (runs of other than ASCII white space; 0 for null texts). A copy is
-    taken if its middle lies before the source's target, so a source's words miss the target by
-    half a document at most; then the one copy more or less that comes nearest is settled. The order within a source is that of md5(doc_id), then doc_id, size:
-    reruns agree. Rows alike in these are interchangeable. Documents that aren't taken, empty ones
-    included, come last. Null sources form a source of their own; an empty table gives no rows.
-    Columns beside the three are ignored.
-    """
-    sizes = materialise(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size")), "sizes")
-    sizes = sizes.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    sizes = sizes.withColumn("slice", F.substring("order", 1, SLICE))
-    within = Window.partitionBy("source", "slice").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    best = ranked.groupBy("_s", "_miss").agg(F.min(F.struct(after.alias("after"), *ORDER)).alias("_best"))
+    best = best.select("_s", F.signum("_miss").cast("int").alias("_step"), F.col("_best.file").alias("_file"), F.col("_best.at").alias("_at"))  # a row per source at most
+    chosen = (F.col("file") == F.col("_file")) & (F.col("at") == F.col("_at"))
+    best = small(best) or best
+    return rows.join(best, chosen, "left").withColumn("copies", F.col("copies") + F.coalesce("_step", F.lit(0))).drop("_s", "_step", "_file", "_at")
+
+
+def _measured(doc_id: Column, source: Column, text: Column) -> list[Column]:
+    """What the plan needs of a document."""
+    return [
+        doc_id.cast("long").alias("doc_id"), source.cast("string").alias("source"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+        F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")).alias("order"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("content")]
+
+
+def _placed(sizes: DataFrame, repeats: int, **options) -> DataFrame:
+    """sizes (those of _measured(), file and at) with source_size, target, copies and positions of each row."""
+    n = sizes.count()
+    digits = 1
+    while 16**digits * SLICE_ROWS < n:
+        digits += 1
+    sizes = sizes.withColumn("slice", F.substring("order", 1, digits))
+    within = Window.partitionBy("source", "slice").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     slices = sizes.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select(F.col("source").alias("_source"), F.col("slice").alias("_slice"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
     rows = sizes.withColumn("behind", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    rows = rows.join(slices, F.col("source").eqNullSafe(F.col("_source")) & (F.col("slice") == F.col("_slice")))
+    rows = rows.join(small(slices) or slices, F.col("source").eqNullSafe(F.col("_source")) & (F.col("slice") == F.col("_slice")))
     budget = sources(sizes, repeats=repeats, **options).withColumnRenamed("source", "_of")
-    rows = rows.join(budget, F.col("source").eqNullSafe(F.col("_of")), "left")
+    rows = rows.join(small(budget) or budget, F.col("source").eqNullSafe(F.col("_of")), "left")
     middle = F.col("ahead") + F.col("behind") + F.col("size") / 2
     copies = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.lit(repeats), F.ceil((F.col("target") - middle) / F.col("source_size"))))).otherwise(0).cast("int")
-    rows = _settle(materialise(rows.withColumn("copies", copies), "rows"), repeats)
-    share = lambda k: F.least(F.lit(1.0), (middle + k * F.col("source_size")) / F.col("target"))
+    rows = rows.select(*sizes.columns, "source_size", "target", "slope", middle.alias("middle"), copies.alias("copies"))
+    rows = _settle(materialise(rows, "rows"), repeats)
+    share = lambda k: F.least(F.lit(1.0), (F.col("middle") + k * F.col("source_size")) / F.col("target"))
     positions = F.transform(F.sequence(F.lit(0), F.greatest("copies", F.lit(1)) - 1), lambda k: due(share(k), F.col("slope")))
-    rows = rows.withColumn("positions", F.when(F.col("copies") > 0, positions).otherwise(F.array().cast("array<double>")))
-    last = 1 + F.conv(F.substring("order", 1, 8), 16, 10).cast("double") / 2**32
-    ranked = rows.withColumn("at", F.coalesce(F.get("positions", F.lit(0)), last))
-    return ranked.repartitionByRange("at").sortWithinPartitions("at", "doc_id").select(
-        "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "positions")
+    return rows.withColumn("positions", F.when(F.col("copies") > 0, positions).otherwise(F.array().cast("array<double>")))
+
+
+def plan(docs: DataFrame, repeats: int = 3, **options) -> DataFrame:
+    """One row per row of docs(doc_id, text, source): doc_id, size, source_size, target, copies,
+    taken and positions (array<double>: when each copy is due).
+
+    size is the number of words (runs of other than ASCII white space; 0 for null texts). A copy is
+    taken if its middle lies before the source's target, so a source's words miss the target by
+    half a document at most; then the one copy more or less that comes nearest is settled. The order within a
+    source is that of md5(doc_id), then doc_id, size and a hash of the text: reruns agree. Rows alike in these are
+    interchangeable. Empty documents are never taken. Null sources form a source of their own; an
+    empty table gives no rows. Columns beside the three are ignored.
+    """
+    sizes = materialise(docs.select(*_measured(F.col("doc_id"), F.col("source"), F.col("text"))), "sizes")
+    rows = _placed(sizes.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")), repeats, **options)
+    return rows.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "positions")
+
+
+def schedule(planned: DataFrame) -> DataFrame:
+    """One row per copy that plan() takes: doc_id, size, copy (from 1) and position, range-sorted by position."""
+    copies = planned.select("doc_id", "size", F.posexplode("positions").alias("copy", "position")).withColumn("copy", F.col("copy") + 1)
+    return copies.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy", "size")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs with all their columns, as often as the plan takes them.
+def mix(docs: DataFrame, repeats: int = 3, position: str | None = None, **options) -> DataFrame:
+    """The rows of docs with all their columns, as often as the plan takes them, in training order.
 
-    Documents without words weigh nothing and stay, once. The rows come back in no special order:
-    plan() has the positions. A doc_id that repeats takes as many copies of each of its rows
-    as the plan gives a row of its size.
+    Copies get their own positions, and rows are range-sorted by them: partition after partition they come in
+    the order in which they are due. `position` names a column that holds it. Documents without words weigh nothing
+    and stay, once, behind all others, their position null. Rows are told apart by their place in a file that is
+    written first, so repeated and null doc_ids are planned like any others. Nulls and empty tables as in plan().
     """
-    decided = materialise(plan(docs, **options), "plan")
-    odd = decided.filter("copies <> 1 AND size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("_id")) & (size == F.col("_size")), "left")
-    copies = F.coalesce("_copies", F.lit(1))
-    return rows.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+    if position and position.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the documents have a column {position} already")
+    held = materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "held")
+    held = held.select("row", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    sizes = materialise(held.select(*_measured(F.col("row.doc_id"), F.col("row.source"), F.col("row.text")), "file", "at"), "sizes")
+    rows = _placed(sizes, repeats, **options).filter("copies > 0 OR size = 0")
+    rows = materialise(rows.select(F.col("file").alias("_file"), F.col("at").alias("_at"), F.explode_outer("positions").alias("position"), "order"), "due")
+    mixed = held.join(small(rows) or rows, (F.col("file") == F.col("_file")) & (F.col("at") == F.col("_at")))
+    place = [F.col("position").asc_nulls_last(), F.col("order"), F.col("file"), F.col("at")]
+    mixed = mixed.repartitionByRange(*place).sortWithinPartitions(*place)
+    return mixed.select("row.*", *([F.col("position").alias(position)] if position else []))
