@@ -1,9 +1,9 @@
 """License scans with a positional index of rare words.
 
 Every template is a run of words with key phrases that must stand in it. Document frequencies of
-the templates' words over the whole corpus say which of them are rare. In a file, the
-highest-IDF words of a template are looked up; each place of such a word, less the word's place in the
-template, is a place where the template could begin. The places that all these words agree on
+the templates' words over the whole corpus say which of them are rare. An index maps rare words to
+postings (template, place in it). A file's highest-IDF licence words are looked up there; each place of such a word, less
+the posting's, is one where the template could begin. The places that the template's rare words agree on
 are verified: the key phrases must stand there word by word, and the share of the template's
 IDF that stands at its relative positions is the score of the place. DataFrame functions only; the
 corpus-wide counts are one row per template word.
@@ -76,75 +76,76 @@ def lowered(text: Column) -> Column:
     return F.lower(F.when(F.contains(text, F.lit("K")), F.replace(text, F.lit("K"), F.lit("ǩ"))).otherwise(text))
 
 
+def _texts(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values))
+
+
 def document_frequencies(docs: DataFrame, templates: tuple[Template, ...]) -> dict[str, float]:
     """IDF of each word of the templates, counted over all of docs(text)."""
     words = sorted({w for t in templates for w in t.words})
-    own = F.array_intersect(F.array(*map(F.lit, words)), F.split(lowered(F.col("text")), GAP))
+    own = F.array_intersect(_texts(words), F.split(lowered(F.col("text")), GAP))
     counts = docs.select(F.explode(F.array_append(own, F.lit(""))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per template word
     n = {r["word"]: r["n"] for r in counts}
     return {w: math.log((1 + n.get("", 0)) / (1 + n.get(w, 0))) + 1 for w in words}
 
 
-def _where(found: Column, word: str) -> Column:
-    return F.transform(F.filter(found, lambda f: f["word"] == word), lambda f: f["at"])
-
-
-def _less(places: Column, by: int) -> Column:
-    return F.transform(places, lambda p: p - by)
-
-
-def _places(t: Template, idf: dict[str, float], words: Column, found: Column) -> Column:
-    """Array of (label, base, start, score) of a template in a file's words; found: its licence words and their places."""
-    phrases = t.phrases()
-    key_words = [(w, at + i) for at, key in phrases for i, w in enumerate(key)]
-    rare = sorted({w for w, _ in key_words}, key=lambda w: (-idf[w], w))[:RARE]
-    starts = None
-    for word in rare:
-        at = [i for i, w in enumerate(t.words) if w == word]
-        here = _where(found, word)
-        here = F.flatten(F.array(*[_less(here, i) for i in at]))
-        starts = here if starts is None else F.array_intersect(starts, here)
-    starts = F.array_distinct(starts)
-    stands = lambda s, at, key: F.get(words, s + at) == key[0] if len(key) == 1 else F.slice(words, s + at + 1, F.lit(len(key))) == F.array(*map(F.lit, key))
+def rarest(t: Template, idf: dict[str, float]) -> list[tuple[str, int]]:
+    """The RARE highest-IDF words of a template's key phrases, each with its first offset in the template.
 
-    def verified(s: Column) -> Column:
-        ok = s + min(at for at, _ in phrases) >= 0
-        for at, key in phrases:
-            ok = ok & F.when(s + at >= 0, stands(s, at, key)).otherwise(False)
-        return ok
-
-    total = sum(idf[w] for w in t.words)
-
-    def score(s: Column) -> Column:
-        share = F.lit(0.0)
-        for i, w in enumerate(t.words):
-            share = share + F.when((s + i >= 0) & (F.get(words, s + i) == w), idf[w] / total).otherwise(0.0)
-        return F.least(F.lit(1.0), share)
-
-    places = F.transform(F.filter(starts, verified), lambda s: F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), s.cast("long").alias("start"), (F.lit(1.0) if t.base else score(s)).alias("score")))
-    return F.filter(places, lambda p: p["score"] >= LEAST)
+    Only words of key phrases qualify: a place may lack other words of the template.
+    """
+    first: dict[str, int] = {}
+    for at, key in t.phrases():
+        for i, w in enumerate(key):
+            first[w] = min(at + i, first.get(w, at + i))
+    return sorted(first.items(), key=lambda p: (-idf[p[0]], p[0]))[:RARE]
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """docs(doc_id, text) with n_words and places: array of (label, base, start, score), by start.
+    """docs(doc_id, text) with n_words and places: array of (label, base, start, score), by start and label.
+
+    The index maps a word to postings (template, offset). It holds each template's highest-IDF key word;
+    every place of such a word in a file, less the offset, is a candidate start, and the template's next rare words must
+    stand at theirs. What is left is verified phrase by phrase and scored by the share of the template's IDF
+    that stands where it should; base templates score 1. The expressions are as many for one template as for hundreds.
 
     Each row of docs is returned once, whatever repeats. Null texts count as empty. Columns beside the
     two are dropped. An empty table gives no rows. Templates' words are ASCII.
     """
     idf = document_frequencies(docs, templates)
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for number, t in enumerate(templates):
+        (word, at), *_ = rarest(t, idf)
+        postings.setdefault(word, []).append((number, at))
+    anchors = sorted(postings)
+    pair = lambda n, at: F.struct(F.lit(n).alias("template"), F.lit(at).alias("at"))
+    index = F.create_map(*[c for w in anchors for c in (F.lit(w), F.array(*[pair(n, at) for n, at in postings[w]]))])
+    step = lambda at, word: F.struct(F.lit(at).alias("at"), F.lit(word).alias("word"))
+    others = F.array(*[F.array(*[step(at, w) for w, at in (rarest(t, idf)[1:] or rarest(t, idf))]) for t in templates])
+    keys = F.array(*[F.array(*[F.struct(F.lit(at).alias("at"), _texts(key).alias("words")) for at, key in t.phrases()]) for t in templates])
+    worth = F.array(*[F.array(*[F.struct(F.lit(w).alias("word"), F.lit(idf[w] / sum(idf[v] for v in t.words)).alias("share")) for w in t.words]) for t in templates])
+    labels, bases = _texts([t.label for t in templates]), F.array(*[F.lit(t.base) for t in templates])
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lowered(F.col("text")).alias("_text"))
-    # a template can't stand in a text that lacks the rarest word of its key phrases
-    anchors = sorted({min((w for key in t.keys for w in key.split()), key=lambda w: (-idf[w], w)) for t in templates})
     may = F.lit(False)
     for a in anchors:
         may = may | F.contains("_text", F.lit(a))
-    vocabulary = F.array(*[F.lit(w) for w in sorted(idf)])
-    rows = rows.select("doc_id", F.regexp_count("_text", F.lit(WORD)).cast("long").alias("n_words"), F.when(may, F.filter(F.split("_text", GAP), lambda w: w != "")).alias("_words"))
-    numbered = F.transform("_words", lambda w, i: F.struct(w.alias("word"), i.alias("at")))
-    rows = rows.withColumn("_found", F.filter(numbered, lambda f: F.array_contains(vocabulary, f["word"])))
-    places = F.concat(*[_places(t, idf, F.col("_words"), F.col("_found")) for t in templates])
+    rows = rows.select("doc_id", F.regexp_count("_text", F.lit(WORD)).cast("long").alias("n_words"), F.when(may, F.array_remove(F.split("_text", GAP), "")).alias("_words"))
+    rows = rows.withColumn("_hits", F.array_compact(F.transform("_words", lambda w, i: F.when(w.isin(anchors), i))))
+    words = F.col("_words")
+    starts = F.flatten(F.transform("_hits", lambda i: F.transform(F.element_at(index, F.get(words, i)), lambda p: F.struct(p["template"].alias("template"), (i - p["at"]).alias("start")))))
+    agrees = lambda c: F.forall(F.get(others, c["template"]), lambda o: F.when(c["start"] + o["at"] >= 0, F.get(words, c["start"] + o["at"]) == o["word"]).otherwise(False))
+    stands = lambda c: F.forall(F.get(keys, c["template"]), lambda k: F.when(c["start"] + k["at"] >= 0, F.slice(words, F.greatest(c["start"] + k["at"], F.lit(0)) + 1, F.size(k["words"])) == k["words"]).otherwise(False))
+    rows = rows.withColumn("_starts", F.filter(F.filter(F.array_distinct(starts), lambda c: F.coalesce(agrees(c), F.lit(False))), stands))
+
+    def score(c: Column) -> Column:
+        shares = F.transform(F.get(worth, c["template"]), lambda w, i: F.when(F.when(c["start"] + i >= 0, F.get(words, c["start"] + i)) == w["word"], w["share"]).otherwise(0.0))
+        return F.when(F.get(bases, c["template"]), 1.0).otherwise(F.least(F.lit(1.0), F.aggregate(shares, F.lit(0.0), lambda a, b: a + b)))
+
+    found = F.transform("_starts", lambda c: F.struct(c["start"].cast("long").alias("start"), F.get(labels, c["template"]).alias("label"), F.get(bases, c["template"]).alias("base"), score(c).alias("score")))
+    places = F.transform(F.array_sort(F.filter(found, lambda p: p["score"] >= LEAST)), lambda p: F.struct(p["label"].alias("label"), p["base"].alias("base"), p["start"].alias("start"), p["score"].alias("score")))
     empty = F.array().cast("array<struct<label:string,base:boolean,start:bigint,score:double>>")
-    return rows.select("doc_id", "n_words", F.when(F.col("_words").isNotNull(), F.array_sort(places, lambda a, b: F.coalesce(F.nullif(F.signum(a["start"] - b["start"]).cast("int"), F.lit(0)), F.when(a["label"] < b["label"], -1).when(a["label"] > b["label"], 1).otherwise(0)))).otherwise(empty).alias("places"))
+    return rows.select("doc_id", "n_words", F.coalesce(places, empty).alias("places"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -152,6 +153,7 @@ def digest(scanned: DataFrame) -> DataFrame:
 
     n_base counts the places of base phrases, first_word and last_word are their smallest and largest
     start (null without any). Labels are distinct, sorted and comma-joined; score is that of the best place, 0 without any.
+    Rows are kept as they come, repeated ones and null doc_ids too.
     """
     base = F.filter("places", lambda p: p["base"])
     names = lambda a: F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda p: p["label"]))), ",")
