@@ -53,6 +53,24 @@ def test_deduplicate_keeps_one_row_of_each_text_and_its_columns(spark):
     assert sorted(normal(r.text) for r in kept.collect()) == sorted({normal(r[1]) for r in samples.rows()})
 
 
+def test_repeated_ids_and_clashing_columns(spark):
+    data = [(1, "a"), (1, "a"), (1, "b"), (2, "a"), (None, "c"), (None, "c"), (None, "c"), (3, "b")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").selectExpr("doc_id", "text", "'mine' AS _sha", "1 AS _nth", "'s' AS sender", "true AS suspect", "'r' AS row", "7 AS id")
+    verdict = sorted((r.doc_id is None, r.doc_id or 0, r.kept, r.group_size) for r in exact_dedup.duplicates(docs).collect())
+    assert verdict == [(False, 1, False, 3), (False, 1, True, 2), (False, 1, True, 3), (False, 2, False, 3), (False, 3, False, 2), (True, 0, False, 3), (True, 0, False, 3), (True, 0, True, 3)]
+    kept = exact_dedup.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id is None, r.text, r._sha, r.row) for r in kept.collect()) == [(False, "a", "mine", "r"), (False, "b", "mine", "r"), (True, "c", "mine", "r")]
+
+
+def test_suspects_whatever_the_senders_and_owners(spark):
+    r = np.random.default_rng(2)
+    prints = [int(x) for x in r.integers(0, 1 << 20, 3000)]
+    frame = spark.createDataFrame([(p, i) for i, p in enumerate(prints)], "fingerprint long, row long").repartition(4)
+    found = exact_dedup.find_suspects(frame, len(prints), 20, sender_rows=100, owner_prints=70).collect()
+    assert sorted((x.row, x.suspect) for x in found) == [(i, prints.count(p) > 1) for i, p in enumerate(prints)]
+
+
 def brute_fingerprint(text: str | None, width: int = 4) -> int:
     words = [w for w in re.split(rb"[\x20\x09-\x0D]+", (text or "").encode().lower()) if w]
     if not words:
