@@ -272,7 +272,7 @@ def test_search_equals_brute_force_with_odd_rows(spark):
         near = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in live if j != i and len(v) == len(q))[:5]
         want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(near)]
     frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")
-    assert sorted(map(tuple, topk.search(frame, query_block=3, candidate_block=40).collect())) == sorted(want)
+    assert sorted(map(tuple, topk.search(frame, query_cells=3 * 16, candidate_cells=40 * 16).collect())) == sorted(want)
     assert topk.search(frame.limit(0)).count() == 0
 
 
@@ -290,6 +290,20 @@ def test_url_filter_on_odd_rows(spark):
     assert found == [(1, 3, "a.example.com/x", True), (1, 3, "a.example.com/x", True), (2, 0, None, False), (3, 0, None, False), (4, 0, None, False), (5, 0, None, False)]
 
 
+def test_search_skips_blocks_and_stays_exact(spark):
+    """Norms differ, so envelopes drop blocks; products beyond 2^53 are exact, copies and ties count."""
+    r = np.random.default_rng(6)
+    data = [(int(i), [float(x) for x in r.normal(size=8) * 10.0 ** (i % 4)]) for i in range(400)] + [(1000 + i, [3e6 + i % 2] * 8) for i in range(60)] + [(7, data_) for data_ in [[5e3] * 8] * 90]
+    live = [(i, [math.floor(256 * x) for x in v]) for i, v in data]
+    want = []
+    for i, q in live:
+        if i % 50 == 0:
+            near = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in live if j != i)[:5]
+            want += [(i, k + 1, j, max(-(2**63) + 1, min(2**63 - 1, -s))) for k, (s, j) in enumerate(near)]
+    found = topk.search(spark.createDataFrame(data, "vec_id long, embedding array<double>"), query_cells=16, candidate_cells=30 * 8)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, sf_dir, name):
     assert oracle.of_frame(queries.QUERIES[name](spark, sf_dir)) == oracle.of_sql(oracle.connect(sf_dir), queries.ORACLES[name])
