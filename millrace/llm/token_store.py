@@ -5,13 +5,13 @@ passages give equal chunks wherever they stand. The files are
 
 * ``chunks``: each distinct chunk once, as (hash, n, payload); the hash is BLAKE2b-128 of the payload,
   which holds the ids little-endian in 2 bytes (4 for vocabularies beyond 65,536);
-* ``recipes``: one row per document in ascending doc_id order (part, doc_id, start, n_tokens,
+* ``recipes``: one row per document in ascending doc_id order (part, nth in it, doc_id, start, n_tokens,
   hashes, root); start counts the ids of all documents before it, root is the Merkle root of its chunk hashes;
 * ``manifest``: one row per part of the recipes (part, documents, start, n_tokens, root), root being the
   Merkle root of its documents' roots.
 
 Encoding, cutting and hashing happen in one pass over the documents. Chunks a task has met
-already are dropped at once, the others meet by hash in one exchange.
+lately are dropped at once, the others meet by hash in one exchange; recipes are only sorted by doc_id.
 """
 
 from __future__ import annotations
@@ -26,19 +26,29 @@ from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm.common import Memo, discard, materialise, partitions
+from millrace.llm.common import Memo, bounded_share, discard, lookup, materialise, partitions, shared_dir
 
 #: Ids of the rolling window, mean, least and most ids of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 256, 64, 1024
 #: So many words, and so many pieces of words, are remembered in each of two generations.
 WORDS, PIECES = 450_000, 250_000
+#: So many hashes of chunks a task remembers in each of two generations, and so many roots are folded at once.
+RECENT, FOLD = 500_000, 1024
 HASH = 16
+#: The normaliser and pre-tokeniser whose words and pieces PLAIN and PIECE cut.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None}
 #: Blanks beyond ASCII, and controls that Python splits at but the tokenizer may not.
 ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 ASCII_BLANK = re.compile("[\t-\r ]+")
@@ -69,16 +79,19 @@ class WordEncoder:
     """Encodes texts with a tokenizer whose pieces never cross white space, word by word.
 
     The ids of a word are remembered. PLAIN words go to the tokenizer's model piece by piece; all
-    others take its whole path, and so do whole texts that may hold one of its added tokens.
+    others take its whole path, and so do whole texts that may hold one of its added tokens. A
+    definition with another normaliser or pre-tokeniser than KNOWN takes the whole path with every text.
     """
 
     def __init__(self, definition: str) -> None:
+        held = json.loads(definition)
+        self.known = all(held.get(k) == v for k, v in KNOWN.items()) and not any(t.get("lstrip") or t.get("rstrip") for t in held.get("added_tokens") or [])
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenize = self.tokenizer.model.tokenize
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
-        self.added = [added_mark(t["content"]) for t in json.loads(definition).get("added_tokens") or []]
+        self.added = [added_mark(t["content"]) for t in held.get("added_tokens") or []]
         self.words, self.pieces = Memo(self._word, WORDS), Memo(self._piece, PIECES)
 
     def _piece(self, piece: str) -> bytes:
@@ -95,7 +108,7 @@ class WordEncoder:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if any(mark in text and content in text.lower() for mark, content in self.added):
+        if not self.known or any(mark in text and content in text.lower() for mark, content in self.added):
             return self._whole(text)
         words = [w for w in ASCII_BLANK.split(text) if w] if ODD_BLANK.search(text) else (text.lower() if text.isascii() else text).split()
         return b"".join(map(self.words.__getitem__, words))
@@ -142,7 +155,24 @@ def merkle(hashes: list[bytes]) -> bytes:
     return hashes[0] if hashes else digest(b"")
 
 
-ROW = "kind string, key binary, doc_id long, n long, hashes array<binary>, root binary, payload binary"
+class Recent:
+    """Says whether a hash was met lately; what it forgets is only stored twice for a while."""
+
+    def __init__(self, generation: int = RECENT) -> None:
+        self.generation, self.young, self.old = generation, set(), set()
+
+    def first(self, h: bytes) -> bool:
+        if h in self.young:
+            return False
+        new = h not in self.old
+        if len(self.young) >= self.generation:
+            self.young, self.old = set(), self.young
+        self.young.add(h)
+        return new
+
+
+CHUNK = "hash binary, n long, payload binary"
+ROW = f"kind string, doc_id long, hashes array<binary>, root binary, {CHUNK}"
 
 
 def write(docs: DataFrame, definition: str, end_id: int, path: str) -> None:
@@ -156,8 +186,8 @@ def write(docs: DataFrame, definition: str, end_id: int, path: str) -> None:
     shared = spark.sparkContext.broadcast(definition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seen, row = word_encoder(shared.value), set(), 0
-        end, width, task = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize, TaskContext.get().partitionId()
+        enc, seen = word_encoder(shared.value), Recent()
+        end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 out: list[tuple] = []
@@ -168,67 +198,92 @@ def write(docs: DataFrame, definition: str, end_id: int, path: str) -> None:
                     for to in cut(np.frombuffer(data, enc.dtype)):
                         chunk = data[begin * width: to * width]
                         hashes.append(digest(chunk))
-                        if hashes[-1] not in seen:
-                            seen.add(hashes[-1])
-                            out.append(("chunk", hashes[-1], None, to - begin, None, None, chunk))
+                        if seen.first(hashes[-1]):
+                            out.append(("chunk", None, None, None, hashes[-1], to - begin, chunk))
                         begin = to
-                    out.append(("recipe", digest(f"{task} {row}".encode()), doc_id, begin, hashes, merkle(hashes), None))
-                    row += 1
-                kinds = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.binary()]
+                    out.append(("recipe", doc_id, hashes, merkle(hashes), None, begin, None))
+                kinds = [pa.string(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
                 names = [f.split()[0] for f in ROW.split(", ")]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for b in batches:
+        last = None
+        for b in batches:  # sorted by hash
             fresh = []
-            for key in b.column("key").to_pylist():
-                fresh.append(key not in seen)
-                seen.add(key)
+            for h in b.column("hash").to_pylist():
+                fresh.append(h != last)
+                last = h
             yield b.filter(pa.array(fresh, pa.bool_()))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ROW)
-    rows.repartition("key").mapInArrow(once, ROW).write.partitionBy("kind").parquet(f"{path}/raw")
-    raw = spark.read.schema(ROW.replace("kind string, ", "") + ", kind string").parquet(f"{path}/raw")
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, nth, ids = TaskContext.get().partitionId(), 0, 0
+        for b in batches:
+            n = b.column("n").to_numpy()
+            upto = ids + np.cumsum(n)
+            new = [pa.array(np.full(len(n), part), pa.int32()), pa.array(np.arange(nth, nth + len(n)), pa.int64()), pa.array(upto - n, pa.int64())]
+            yield pa.record_batch([*new, *b.columns], ["part", "nth", "within", *b.schema.names])
+            nth, ids = nth + len(n), int(upto[-1]) if len(n) else ids
 
-    order = ["doc_id", "root", "key"]
-    sorted_ = raw.filter("kind = 'recipe'").select("doc_id", "n", "hashes", "root", "key").repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    placed = materialise(sorted_.withColumn("part", F.spark_partition_id()), "recipes")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ROW)
+    scratch = f"{shared_dir(spark)}/raw"
+    rows.write.partitionBy("kind").parquet(scratch)
+    raw = spark.read.schema(ROW.replace("kind string, ", "") + ", kind string").parquet(scratch)
+    chunks = raw.filter("kind = 'chunk'").select("hash", "n", "payload")
+    chunks.repartition("hash").sortWithinPartitions("hash").mapInArrow(once, CHUNK).write.parquet(f"{path}/chunks")
+
+    order = ["doc_id", "root", "n"]
+    sorted_ = raw.filter("kind = 'recipe'").select("doc_id", "n", "hashes", "root").repartitionByRange(partitions(spark), *order, F.xxhash64("hashes")).sortWithinPartitions(*order)
+    placed = materialise(sorted_.mapInArrow(number, "part int, nth long, within long, doc_id long, n long, hashes array<binary>, root binary"), "recipes")
+    discard(raw)
     sums = placed.groupBy("part").agg(F.sum("n").alias("n"))  # as many rows as partitions
     before = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    within = F.sum("n").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    recipes = placed.join(F.broadcast(before), "part").select("part", "doc_id", (F.col("before") + within).alias("start"), F.col("n").alias("n_tokens"), "hashes", "root")
+    recipes = placed.join(F.broadcast(before), "part").select("part", "nth", "doc_id", (F.col("before") + F.col("within")).alias("start"), F.col("n").alias("n_tokens"), "hashes", "root")
     recipes.write.parquet(f"{path}/recipes")
     discard(placed)
     _part_roots(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
 
 
 def _part_roots(recipes: DataFrame) -> DataFrame:
+    """part, documents, start, n_tokens and root of each part: its documents' roots folded FOLD by FOLD.
+
+    FOLD is a power of two, so that the folds of the folds give the root of the binary tree over all.
+    """
     @F.pandas_udf("binary")
-    def root(roots):
+    def root(roots: pd.Series) -> pd.Series:
         return roots.map(lambda r: merkle(list(r)))
 
-    parts = recipes.groupBy("part").agg(
-        F.count(F.lit(1)).alias("documents"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"),
-        F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda s: s["root"]).alias("roots"))
-    return parts.select("part", "documents", "start", "n_tokens", root("roots").alias("root"))
+    level = recipes.select("part", "nth", F.lit(1).cast("long").alias("documents"), "start", "n_tokens", "root")
+    most = recipes.agg(F.max("nth")).first()[0] or 0
+    while True:
+        level = level.groupBy("part", (F.col("nth") / FOLD).cast("long").alias("up")).agg(
+            F.sum("documents").alias("documents"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"),
+            F.transform(F.array_sort(F.collect_list(F.struct("nth", "root"))), lambda s: s["root"]).alias("roots"))  # FOLD roots at most
+        level = level.select("part", F.col("up").alias("nth"), "documents", "start", "n_tokens", root("roots").alias("root"))
+        most //= FOLD
+        if not most:
+            return level.drop("nth")
 
 
 def verify_manifest(spark: SparkSession, path: str) -> None:
     """Raise unless the recipes give the roots and totals that the manifest states."""
     stated = spark.read.parquet(f"{path}/manifest")
-    found = _part_roots(spark.read.parquet(f"{path}/recipes"))
-    if stated.exceptAll(found).count() or found.exceptAll(stated).count():
+    found = _part_roots(spark.read.parquet(f"{path}/recipes")).select(*stated.columns)
+    both = found.withColumn("side", F.lit(1)).unionByName(stated.withColumn("side", F.lit(-1)))
+    if not both.groupBy(*stated.columns).agg(F.sum("side").alias("side")).filter("side <> 0").isEmpty():
         raise ValueError(f"the recipes in {path} differ from their manifest")
 
 
-def _chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ROW.replace("kind string, ", "") + ", kind string").parquet(f"{path}/raw").filter("kind = 'chunk'").select(F.col("key").alias("hash"), "n", "payload")
+def _joined(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
+    """The chunks of each document in turn, with the columns of known(hash, ...).
 
-
-def _steps(spark: SparkSession, path: str) -> DataFrame:
+    Chunks that stand in a two-thousandth of all places or more are looked up by broadcast: there are
+    two thousand of them at most. The others meet by hash.
+    """
     recipes = spark.read.parquet(f"{path}/recipes")
-    return recipes.select("start", "doc_id", "n_tokens", "root", F.posexplode("hashes").alias("pos", "hash"))
+    steps = recipes.select("start", "doc_id", "n_tokens", "root", F.posexplode("hashes").alias("pos", "hash"))
+    share = bounded_share(int(recipes.agg(F.sum(F.size("hashes"))).first()[0] or 0))
+    often = F.broadcast(steps.groupBy("hash").agg(F.count(F.lit(1)).alias("uses")).filter(F.col("uses") > share))
+    return lookup(steps, known.join(often, "hash", "left").withColumn("uses", F.coalesce("uses", F.lit(0))), "hash", "uses", share)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -236,7 +291,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     Raises if a chunk's bytes or a document's root aren't what the store says.
     """
-    joined = _steps(spark, path).join(_chunks(spark, path), "hash")
+    joined = _joined(spark, path, spark.read.parquet(f"{path}/chunks"))
     joined = joined.repartition("start").sortWithinPartitions("start", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,9 +299,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
         def whole() -> tuple:
             start, doc_id, n, root = key
-            data = b"".join(p for _, p, _ in held)
-            ids = np.frombuffer(data, np.dtype(f"<u{len(data) // sum(c for _, _, c in held)}"))
-            if merkle([digest(p) for _, p, _ in held]) != root or len(ids) != n:
+            if any(p is None for p, _ in held):
+                raise ValueError(f"document {doc_id} at {start} can't be verified")
+            data = b"".join(p for p, _ in held)
+            ids = np.frombuffer(data, np.dtype(f"<u{len(data) // sum(c for _, c in held)}"))
+            if merkle([digest(p) for p, _ in held]) != root or len(ids) != n:
                 raise ValueError(f"document {doc_id} at {start} can't be verified")
             return doc_id, start, n, ids
 
@@ -256,12 +313,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
         for b in batches:
             out = []
-            for start, doc_id, n, root, h, payload, count in zip(*(b.column(c).to_pylist() for c in ("start", "doc_id", "n_tokens", "root", "hash", "payload", "n")), strict=True):
+            for start, doc_id, n, root, payload, count in zip(*(b.column(c).to_pylist() for c in ("start", "doc_id", "n_tokens", "root", "payload", "n")), strict=True):
                 if key is not None and start != key[0]:
                     out.append(whole())
                     held = []
                 key = (start, doc_id, n, root)
-                held.append((h, payload, count))
+                held.append((payload, count))
             if out:
                 yield batch(out)
         if held:
@@ -332,13 +389,13 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             hashes = hashes.flatten().to_pylist()
             for i, (doc_id, start, root, total) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "root", "n_tokens")), strict=True)):
                 own = slice(ends[i] - ends[0], ends[i + 1] - ends[0])
-                if merkle(hashes[own]) != root or n[own].sum() != total:
+                if crcs.slice(i, 1).flatten().null_count or merkle(hashes[own]) != root or n[own].sum() != total:
                     raise ValueError(f"document {doc_id} at {start} can't be verified")
             crc = fold_crc32(np.asarray(crcs.flatten()), n, np.asarray(ends) - ends[0])
             yield pa.record_batch([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    known = _chunks(spark, path).mapInArrow(sums, "hash binary, crc long, n long")
-    steps = _steps(spark, path).join(known, "hash").groupBy("start", "doc_id", "n_tokens", "root").agg(
+    known = materialise(spark.read.parquet(f"{path}/chunks").mapInArrow(sums, "hash binary, crc long, n long"), "sums")
+    steps = _joined(spark, path, known).groupBy("start", "doc_id", "n_tokens", "root").agg(
         F.array_sort(F.collect_list(F.struct("pos", "hash", "crc", "n"))).alias("steps"))
     steps = steps.select("start", "doc_id", "n_tokens", "root", F.col("steps.hash").alias("hashes"), F.col("steps.crc").alias("crcs"), F.col("steps.n").alias("counts"))
     return steps.mapInArrow(fold, "doc_id long, start long, n_tokens long, ids_crc32 long")
