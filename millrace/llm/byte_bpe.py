@@ -30,6 +30,8 @@ from millrace.llm.common import Memo
 
 #: White space as the pattern's \s means it: Unicode White_Space (Python's re adds \x1c-\x1f).
 BLANK = r"\t-\r \x85\xa0  -     　"
+# Fixed value: the pattern that STRETCH is made for. Texts are cut by it only under this pattern.
+STRETCH_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Stretches that no match of the pattern crosses: a run of other characters with one blank
 #: before it, and what is left of a run of blanks.
 STRETCH = re.compile(rf" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
@@ -107,6 +109,8 @@ class Encoder:
         return tuple(chain.from_iterable(self.piece(p.encode()) for p in self.pattern.findall(stretch)))
 
     def encode(self, text: str) -> list[int]:
+        if self.pattern.pattern != STRETCH_PATTERN:
+            return list(self._stretch(text))
         return list(chain.from_iterable(map(self.memo.__getitem__, STRETCH.findall(text))))
 
     def decode(self, ids: list[int]) -> bytes:
@@ -142,7 +146,7 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
     """doc_id and ids (array<int>) of each row of docs(doc_id, text).
 
     Null texts count as empty and have no ids. Rows that repeat and null doc_ids are returned
-    as they come; columns beside doc_id and text are ignored.
+    as they come; columns beside doc_id and text are ignored; an empty table gives no rows.
     """
     def of(enc, texts):
         return {"ids": pa.array([enc.encode(t) for t in texts], pa.list_(pa.int32()))}

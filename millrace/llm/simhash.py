@@ -256,13 +256,15 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFra
     if not 1 <= radius <= 15:
         raise ValueError("radius must lie between 1 and 15")
     prints = materialise(fingerprints(docs, width), "fingerprints")
-    unique = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "unique")
+    read = unique = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "unique")
     n, rows = unique.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     roots = components(links(unique.select("fingerprint"), radius, n))
     unique = unique.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", "n", F.coalesce("root", "fingerprint").alias("root"))
     unique = materialise(unique, "rooted")
+    discard(read)
     groups = unique.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
     named = materialise(lookup(unique, groups, "root", "members", bounded_share(n)).select("fingerprint", "component_id", "n"), "named")
+    discard(unique)
     return lookup(prints, named, "fingerprint", "n", bounded_share(rows)).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, small
+from millrace.llm.common import bounded_share, materialise, small
 
 #: Of entries that one pattern gets on one day, the later in this order holds.
 ACTIONS = ("remove", "allow", "block")
@@ -50,14 +50,21 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     n_active counts the active entries that name the capture, rule is the longest of them (of equals the
     last by code point). Captures without a host or a fetch time match nothing and aren't blocked. Repeated
-    captures are each evaluated; columns beside the three are ignored.
+    captures are each evaluated; columns beside the three are ignored. Without captures there are no rows.
     """
     spans = materialise(intervals(entries), "intervals")
-    spans = small(spans) or spans
-    rows = captures.select("page_id", "url", "fetched").withColumn("row", F.monotonically_increasing_id())
+    rows = materialise(captures.select("page_id", "url", "fetched").withColumn("row", F.monotonically_increasing_id()), "captures")  # row is fixed from here on
     asked = rows.withColumn("name", F.explode_outer(F.array_distinct(patterns(F.col("url")))))
     active = (F.col("name") == F.col("pattern")) & (F.col("fetched") >= F.col("since")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
-    found = asked.join(spans, active, "left")
+    if (few := small(spans)) is not None:
+        found = asked.join(few, active, "left")
+    else:  # names that many captures ask for are told apart, so that none of them meets in one task
+        uses = asked.groupBy("name").agg(F.count(F.lit(1)).alias("uses"))
+        share = bounded_share(int(uses.agg(F.sum("uses")).first()[0] or 0))
+        often = F.broadcast(uses.filter((F.col("uses") > share) & F.col("name").isNotNull()).select(F.col("name").alias("_often")))  # 2,000 names at most
+        hot = spans.join(often, F.col("pattern") == F.col("_often"), "left_semi")
+        found = asked.join(often, F.col("name") == F.col("_often"), "left_semi").join(small(hot) or hot, active, "left").unionByName(
+            asked.join(often, F.col("name") == F.col("_often"), "left_anti").join(spans, active, "left"))
     top = F.max(F.when(F.col("pattern").isNotNull(), F.struct(F.length("pattern").alias("size"), F.col("pattern").alias("rule"), "action", "since"))).alias("top")
     found = found.groupBy("row", "page_id", "url", "fetched").agg(F.count("pattern").alias("n_active"), top)
     return found.select(
@@ -66,5 +73,5 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def keep(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """The captures (page_id, url, fetched) that no active entry blocks."""
+    """The captures (page_id, url, fetched) that no active entry blocks; nulls, repeats and empty tables as in evaluate()."""
     return evaluate(captures, entries).filter("NOT blocked").select("page_id", "url", "fetched")

@@ -36,7 +36,7 @@ def test_stages(spark):
     assert sorted(r.doc_id for r in after) == sorted(least.values())
     before, after = kept["near dedup"]
     pairs = [(r.doc_id, brute_fingerprint(r.text)) for r in before]
-    assert sorted(r.doc_id for r in after) == sorted(set(brute_components(pairs, 4).values()))
+    assert sorted(r.doc_id for r in after) == sorted(set(brute_components(pairs, corpus_pipeline.NEAR_RADIUS).values()))
     before, after = kept["mixing"]
     copies, size = Counter(r.doc_id for r in after), {r.doc_id: words(r.text) for r in before}
     assert set(copies) <= set(size) and max(copies.values()) <= 3

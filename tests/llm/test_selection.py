@@ -276,7 +276,7 @@ def test_search_equals_brute_force_with_odd_rows(spark):
     assert topk.search(frame.limit(0)).count() == 0
 
 
-def test_url_filter_on_odd_rows(spark):
+def test_url_filter_on_odd_rows(spark, monkeypatch):
     captures = spark.createDataFrame([(1, "https://A.example.com/x/y", "2024-03-01"), (1, "https://A.example.com/x/y", "2024-03-01"), (2, None, "2024-03-01"), (3, "nonsense", None), (4, "http://example.com", "2023-01-01"), (5, "http://example.com/", "2024-06-01")], "page_id long, url string, fetched string")
     captures = captures.withColumn("fetched", captures["fetched"].cast("date"))
     log = [("example.com", "block", "2024-01-01"), ("example.com", "remove", "2024-05-01"), ("a.example.com/x", "allow", "2024-02-01"), ("a.example.com/x", "block", "2024-02-01"), ("a.example.com", "allow", "2024-02-15"), (None, "block", "2024-01-01"), ("example.com", "oops", "2024-05-20"), ("example.com", "block", None)]
@@ -287,6 +287,9 @@ def test_url_filter_on_odd_rows(spark):
     dated = entries.withColumn("dated", entries["dated"].cast("date"))
     assert url_filter.evaluate(captures.limit(0), dated).count() == 0
     assert [r.blocked for r in url_filter.evaluate(captures, dated.limit(0)).collect()] == [False] * 6
+    monkeypatch.setattr(url_filter, "small", lambda df, rows=0: None)
+    monkeypatch.setattr(url_filter, "bounded_share", lambda n: 1)  # each name asked for twice counts as hot
+    assert found == sorted((r.page_id, r.n_active, r.rule, r.blocked) for r in url_filter.evaluate(captures, dated).collect())
     assert found == [(1, 3, "a.example.com/x", True), (1, 3, "a.example.com/x", True), (2, 0, None, False), (3, 0, None, False), (4, 0, None, False), (5, 0, None, False)]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import zlib
 from pathlib import Path
 
@@ -21,6 +22,7 @@ from millrace.llm import byte_bpe, token_store
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZER = Tokenizer.from_file(WORDS)
 
 
 @pytest.fixture(scope="module")
@@ -51,6 +53,13 @@ def test_round_trip_equals_the_library(spark, sf_dir, reference):
     assert sorted(map(tuple, found), key=key) == sorted(want, key=key)
 
 
+def test_another_pattern_cuts_as_it_says(reference):
+    pattern = r"\s?[a-z]+\s?|[^a-z]+"
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=reference._mergeable_ranks, special_tokens={})
+    for text in ("some words stand here ", "x  y\nz 12 a", ""):
+        assert byte_bpe.encoder(RANKS, pattern).encode(text) == other.encode_ordinary(text)
+
+
 def test_encode_then_decode(spark):
     rank_file = Path(RANKS).read_bytes()
     back = byte_bpe.decode(byte_bpe.encode(samples.frame(spark), rank_file, public_tokenizers.PATTERN), rank_file, public_tokenizers.PATTERN)
@@ -95,11 +104,44 @@ def test_added_tokens_in_the_store(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == want
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(max_size=60))
+def test_any_text_is_stored_as_the_library_encodes_it(text):
+    enc = token_store.word_encoder(Path(WORDS).read_text())
+    assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_another_definition_takes_the_whole_path():
+    held = json.loads(Path(WORDS).read_text())
+    held["normalizer"] = {"type": "NFC"}
+    enc = token_store.WordEncoder(json.dumps(held))
+    for text in ("Some WORDS stand Here", "a  b", "Straße"):
+        assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == Tokenizer.from_str(json.dumps(held)).encode(text, add_special_tokens=False).ids
+
+
+def test_roots_are_folded_level_by_level(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "FOLD", 4)
+    roots = [token_store.digest(bytes([i])) for i in range(75)]
+    recipes = spark.createDataFrame([(i % 2, i // 2, 10 * i, 10, r) for i, r in enumerate(roots)], "part int, nth long, start long, n_tokens long, root binary")
+    found = sorted((r.part, r.documents, r.start, r.n_tokens, bytes(r.root)) for r in token_store._part_roots(recipes).collect())
+    assert found == [(p, len(roots[p::2]), 10 * p, 10 * len(roots[p::2]), token_store.merkle(roots[p::2])) for p in (0, 1)]
+
+
+def test_a_missing_chunk_is_noticed(spark, tmp_path):
+    path, changed = str(tmp_path / "store"), str(tmp_path / "lacking")
+    token_store.write(spark.createDataFrame([(1, "some words stand here"), (2, "others")], "doc_id long, text string"), Path(WORDS).read_text(), 1, path)
+    spark.read.parquet(f"{path}/chunks").filter("n > 3").write.parquet(f"{changed}/chunks")
+    spark.read.parquet(f"{path}/recipes").write.parquet(f"{changed}/recipes")
+    for read in (token_store.read_digests, token_store.read):
+        with pytest.raises(Exception, match="verified"):
+            read(spark, changed).collect()
+
+
 def test_changed_chunks_are_noticed(spark, tmp_path):
     path, changed = str(tmp_path / "store"), str(tmp_path / "changed")
     token_store.write(spark.createDataFrame([(1, "some words stand here")], "doc_id long, text string"), Path(WORDS).read_text(), 1, path)
-    raw = spark.read.parquet(f"{path}/raw")
-    raw.withColumn("payload", F.concat(F.lit(bytearray([7])), F.expr("substring(payload, 2)"))).write.partitionBy("kind").parquet(f"{changed}/raw")
+    chunks = spark.read.parquet(f"{path}/chunks")
+    chunks.withColumn("payload", F.concat(F.lit(bytearray([7])), F.expr("substring(payload, 2)"))).write.parquet(f"{changed}/chunks")
     spark.read.parquet(f"{path}/recipes").write.parquet(f"{changed}/recipes")
     for read in (token_store.read_digests, token_store.read):
         with pytest.raises(Exception, match="verified"):
