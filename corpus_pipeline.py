@@ -12,31 +12,49 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import byte_bpe, exact_dedup, mixing, simhash, toxicity
-from millrace.llm.common import materialise, table
+from millrace.llm.common import discard, materialise, table
+
+
+#: Bits in which near copies may differ. Two documents of which a fifth of the five-word shingles differs lie
+#: 8 bits apart in the median, and unrelated ones seldom fewer than 15: README has the shares that each radius finds.
+NEAR_RADIUS = 6
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels, scores below 0.3."""
+    """Documents that the classifier, fitted on the labels, scores below 0.3.
+
+    Null texts count as empty, repeated rows are each judged, and an empty table stays empty. Without labels of both kinds
+    all documents get one score, the share of toxic labels.
+    """
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts (white space aside) the one with the smallest doc_id."""
+    """Of documents with equal texts (white space aside) the one with the smallest doc_id.
+
+    Null texts equal empty ones, a null doc_id counts as largest, of rows that repeat one stays.
+    """
     return exact_dedup.deduplicate(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by fingerprints at most 4 bits apart the one with the smallest doc_id."""
-    return simhash.keep_representatives(docs)
+    """Of documents linked by fingerprints at most NEAR_RADIUS bits apart the one with the smallest doc_id.
+
+    Texts without words have one fingerprint and are linked. Rows without doc_id stay.
+    """
+    return simhash.keep_representatives(docs, NEAR_RADIUS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's budget takes it."""
+    """Each document as often as its source's budget takes it, in training order.
+
+    Documents without words stay, once, at the end; null sources are one source; repeated rows are each planned.
+    """
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number and digest of each document's token ids, and digest of the text they decode to."""
+    """Number and digest of each document's token ids, and digest of the text they decode to; null texts count as empty."""
     ranks = Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes()
     return byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
 
@@ -49,5 +67,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if name != STAGES[0][0]:
+            discard(before)  # the stage before wrote it, and nothing else reads it
     return docs
