@@ -21,7 +21,7 @@ from millrace.llm.common import discard, materialise
 
 ORDERS = (3, 4, 5)
 #: Bound of the fit: so many labelled documents.
-MAX_DOCS = 5_000
+MAX_DOCS = 4_000
 #: Bits of a hashed n-gram; a model is one number for each, 16 MB.
 BITS = 22
 #: Pseudo-documents behind each ratio, spread over the classes by their size, and the L2 penalty.
@@ -162,8 +162,11 @@ def learn(rows: list[np.ndarray], toxic: np.ndarray, smoothing: float = SMOOTHIN
     if not 0 < n_toxic < n:
         share = (n_toxic + 0.5) / (n + 1) if n else 0.0
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    features, index = np.unique(np.concatenate(rows), return_inverse=True)  # numbered without gaps: faster to reach
-    rows = np.split(index.astype(np.int32), np.cumsum([len(r) for r in rows])[:-1])
+    held = np.zeros(1 << BITS, bool)
+    for row in rows:
+        held[row] = True
+    features, number = np.flatnonzero(held), np.cumsum(held, dtype=np.int32) - 1  # numbered without gaps: faster to reach
+    rows = [number[row] for row in rows]
 
     def fitted(which: np.ndarray) -> tuple[np.ndarray, float]:
         own = [rows[i] for i in which]
@@ -199,9 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_DOCS, **options: flo
             yield pa.record_batch([b.column("toxic"), pa.array(found, pa.binary())], ["toxic", "features"])
 
     held = materialise(sample(docs, labels, most).mapInArrow(read, "toxic int, features binary"), "features")
-    pairs = sorted((bytes(r["features"]), r["toxic"]) for r in held.toLocalIterator())  # the same order in every run
+    found = sorted(((np.frombuffer(r["features"], np.uint32), r["toxic"]) for r in held.toLocalIterator()), key=lambda p: (len(p[0]), p[0].tobytes(), p[1]))  # the same order in every run
     discard(held)
-    return learn([np.frombuffer(f, np.uint32) for f, _ in pairs], np.array([y for _, y in pairs], np.int64), **options)
+    return learn([f for f, _ in found], np.array([y for _, y in found], np.int64), **options)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
