@@ -3,7 +3,7 @@
 A rolling hash over the ids of a document cuts its id stream into chunks, so that equal
 passages give equal chunks wherever they stand. The files are
 
-* ``chunks``: each distinct chunk once, as (hash, n, payload); the hash is BLAKE2b-128 of the payload,
+* ``raw/kind=chunk``: each distinct chunk once, as (hash, n, payload); the hash is BLAKE2b-128 of the payload,
   which holds the ids little-endian in 2 bytes (4 for vocabularies beyond 65,536);
 * ``recipes``: one row per document in ascending doc_id order (part, nth in it, doc_id, start, n_tokens,
   hashes, root); start counts the ids of all documents before it, root is the Merkle root of its chunk hashes;
@@ -11,7 +11,7 @@ passages give equal chunks wherever they stand. The files are
   Merkle root of its documents' roots.
 
 Encoding, cutting and hashing happen in one pass over the documents. Chunks a task has met
-lately are dropped at once, the others meet by hash in one exchange; recipes are only sorted by doc_id.
+lately are dropped at once, the others meet by hash in one exchange.
 """
 
 from __future__ import annotations
@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm.common import Memo, bounded_share, discard, lookup, materialise, partitions, shared_dir
+from millrace.llm.common import Memo, bounded_share, discard, lookup, materialise, partitions
 
 #: Ids of the rolling window, mean, least and most ids of a chunk.
 WINDOW, MEAN, LEAST, MOST = 16, 256, 64, 1024
 #: So many words, and so many pieces of words, are remembered in each of two generations.
-WORDS, PIECES = 450_000, 250_000
+WORDS, PIECES = 300_000, 400_000
 #: So many hashes of chunks a task remembers in each of two generations, and so many roots are folded at once.
 RECENT, FOLD = 500_000, 1024
 HASH = 16
@@ -55,7 +55,9 @@ ASCII_BLANK = re.compile("[\t-\r ]+")
 #: Words of printable ASCII without the apostrophe and of the letters of Latin-1, which no
 #: normal form changes, and their pieces.
 PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
-PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ÿ]+")
+#: Texts of PLAIN words and ASCII blanks alone.
+PLAIN_TEXT = re.compile("[\t-\r !-&(-~À-ÖØ-öø-ÿ]*")
 
 
 def byte_letters() -> dict[int, str]:
@@ -78,7 +80,7 @@ def added_mark(content: str) -> tuple[str, str]:
 class WordEncoder:
     """Encodes texts with a tokenizer whose pieces never cross white space, word by word.
 
-    The ids of a word are remembered. PLAIN words go to the tokenizer's model piece by piece; all
+    The ids of words and pieces are remembered. PLAIN words go to the tokenizer's model piece by piece; all
     others take its whole path, and so do whole texts that may hold one of its added tokens. A
     definition with another normaliser or pre-tokeniser than KNOWN takes the whole path with every text.
     """
@@ -110,6 +112,8 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         if not self.known or any(mark in text and content in text.lower() for mark, content in self.added):
             return self._whole(text)
+        if PLAIN_TEXT.fullmatch(text):
+            return b"".join(map(self.pieces.__getitem__, PIECE.findall(text.lower())))
         words = [w for w in ASCII_BLANK.split(text) if w] if ODD_BLANK.search(text) else (text.lower() if text.isascii() else text).split()
         return b"".join(map(self.words.__getitem__, words))
 
@@ -208,10 +212,10 @@ def write(docs: DataFrame, definition: str, end_id: int, path: str) -> None:
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        for b in batches:  # sorted by hash
+        for b in batches:  # chunks are sorted by hash
             fresh = []
             for h in b.column("hash").to_pylist():
-                fresh.append(h != last)
+                fresh.append(h is None or h != last)
                 last = h
             yield b.filter(pa.array(fresh, pa.bool_()))
 
@@ -225,16 +229,14 @@ def write(docs: DataFrame, definition: str, end_id: int, path: str) -> None:
             nth, ids = nth + len(n), int(upto[-1]) if len(n) else ids
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ROW)
-    scratch = f"{shared_dir(spark)}/raw"
-    rows.write.partitionBy("kind").parquet(scratch)
-    raw = spark.read.schema(ROW.replace("kind string, ", "") + ", kind string").parquet(scratch)
-    chunks = raw.filter("kind = 'chunk'").select("hash", "n", "payload")
-    chunks.repartition("hash").sortWithinPartitions("hash").mapInArrow(once, CHUNK).write.parquet(f"{path}/chunks")
+    # recipes, a fifteenth of the bytes, ride along: to write them apart first costs more than to exchange them
+    rows = rows.repartition(F.coalesce("hash", "root")).sortWithinPartitions("kind", "hash").mapInArrow(once, ROW)
+    rows.write.partitionBy("kind").parquet(f"{path}/raw")
+    raw = _raw(spark, path)
 
     order = ["doc_id", "root", "n"]
     sorted_ = raw.filter("kind = 'recipe'").select("doc_id", "n", "hashes", "root").repartitionByRange(partitions(spark), *order, F.xxhash64("hashes")).sortWithinPartitions(*order)
     placed = materialise(sorted_.mapInArrow(number, "part int, nth long, within long, doc_id long, n long, hashes array<binary>, root binary"), "recipes")
-    discard(raw)
     sums = placed.groupBy("part").agg(F.sum("n").alias("n"))  # as many rows as partitions
     before = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     recipes = placed.join(F.broadcast(before), "part").select("part", "nth", "doc_id", (F.col("before") + F.col("within")).alias("start"), F.col("n").alias("n_tokens"), "hashes", "root")
@@ -243,6 +245,14 @@ def write(docs: DataFrame, definition: str, end_id: int, path: str) -> None:
     _part_roots(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
 
 
+def _raw(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ROW.replace("kind string, ", "") + ", kind string").parquet(f"{path}/raw")
+
+
+def _chunks(spark: SparkSession, path: str) -> DataFrame:
+    return _raw(spark, path).filter("kind = 'chunk'").select("hash", "n", "payload")
+
+
 def _part_roots(recipes: DataFrame) -> DataFrame:
     """part, documents, start, n_tokens and root of each part: its documents' roots folded FOLD by FOLD.
 
@@ -291,7 +301,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     Raises if a chunk's bytes or a document's root aren't what the store says.
     """
-    joined = _joined(spark, path, spark.read.parquet(f"{path}/chunks"))
+    joined = _joined(spark, path, _chunks(spark, path))
     joined = joined.repartition("start").sortWithinPartitions("start", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,7 +404,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             crc = fold_crc32(np.asarray(crcs.flatten()), n, np.asarray(ends) - ends[0])
             yield pa.record_batch([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    known = materialise(spark.read.parquet(f"{path}/chunks").mapInArrow(sums, "hash binary, crc long, n long"), "sums")
+    known = materialise(_chunks(spark, path).mapInArrow(sums, "hash binary, crc long, n long"), "sums")
     steps = _joined(spark, path, known).groupBy("start", "doc_id", "n_tokens", "root").agg(
         F.array_sort(F.collect_list(F.struct("pos", "hash", "crc", "n"))).alias("steps"))
     steps = steps.select("start", "doc_id", "n_tokens", "root", F.col("steps.hash").alias("hashes"), F.col("steps.crc").alias("crcs"), F.col("steps.n").alias("counts"))
