@@ -1,40 +1,95 @@
-"""Dates out of text, and months, as Column expressions."""
+"""Dates, timestamps, months and periods out of text, as Column expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import strip
+from millrace.functions.text import blank_to_null
 
-#: Shape a text must have, and the pattern that reads it, tried in this order.
-LADDER = (
+_CLOCK, _FRACTION = r"\d{1,2}:\d{2}:\d{2}", r"(?:\.\d+)?"
+# The formats of typed columns (a shape and the pattern that reads it, in this order), the epoch of
+# spreadsheet serials, and the years within which eight digits or a serial are a date.
+DATE_TIMES = (
+    (rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}} {_CLOCK}{_FRACTION}$", "yyyy-M-d H:mm:ss"),
+    (rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}T{_CLOCK}{_FRACTION}$", "yyyy-M-d'T'H:mm:ss"),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}$", "yyyy-M-d H:mm"),
+    (rf"^\d{{1,2}}/\d{{1,2}}/\d{{4}} {_CLOCK}$", "M/d/yyyy H:mm:ss"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm"),
+)
+DATES = (
     (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
+)
+#: The formats by which the values of an untyped column are tried, and the pairs whose reading depends on convention.
+LADDER = (
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+    (rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}} {_CLOCK}$", "yyyy-M-d H:mm:ss"),
+    (rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}T{_CLOCK}$", "yyyy-M-d'T'H:mm:ss"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
     (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
+    (r"^[A-Z][a-z]{2} \d{1,2} \d{4}$", "MMM d yyyy"),
+    (r"^\d{1,2} [A-Z][a-z]{2,8} \d{4}$", "d MMMM yyyy"),
+    (r"^[A-Z][a-z]{2,8} \d{1,2} \d{4}$", "MMMM d yyyy"),
     (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
-    (r"^\d{8}$", "yyyyMMdd"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
 )
+PAIRS = {
+    "slash": (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy", "d/M/yyyy"),
+    "dash": (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy", "d-M-yyyy"),
+}
 EPOCH = "1899-12-30"
 FIRST_YEAR, LAST_YEAR = 1900, 2100
 
 
-def serial_date(c: Column) -> Column:
+def _read(text: Column, shape: str, pattern: str) -> Column:
+    return F.when(text.rlike(shape), F.try_to_timestamp(F.regexp_replace(text, r"\.\d+$", "") if _FRACTION in shape else text, F.lit(pattern)))
+
+
+def bounded(day: Column) -> Column:
+    return F.when(F.year(day).between(FIRST_YEAR, LAST_YEAR), day)
+
+
+def compact_date(text: Column) -> Column:
+    """Date of exactly eight digits yyyyMMdd."""
+    return bounded(F.when(text.rlike(r"^\d{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date")))
+
+
+def serial_date(text: Column) -> Column:
     """Spreadsheet serial number of exactly five digits as a date."""
-    return F.when(c.rlike(r"^\d{5}$"), F.date_add(F.to_date(F.lit(EPOCH)), F.expr("0") + c.try_cast("int")))
+    return bounded(F.when(text.rlike(r"^\d{5}$"), F.date_add(F.to_date(F.lit(EPOCH)), text.try_cast("int"))))
 
 
-def parse_date(c: Column, serials: bool = True) -> Column:
-    """Date of a text in any of the known shapes, a time after an ISO date ignored; else null.
+def parse_date(c: Column) -> Column:
+    """Date of a text in one of the formats of a typed column, else null; a time is dropped.
 
-    Years outside 1900 to 2100 give null.
+    Only eight digits and serials must lie in 1900 to 2100.
     """
-    text = F.regexp_replace(strip(c.cast("string")), r"^(\d{4}-\d{1,2}-\d{1,2})[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$", "$1")
-    found = F.coalesce(*[F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)).cast("date")) for shape, fmt in LADDER], *([serial_date(text)] if serials else []))
-    return F.when(F.year(found).between(FIRST_YEAR, LAST_YEAR), found)
+    text = blank_to_null(c.cast("string"))
+    found = [_read(text, shape, pattern).cast("date") for shape, pattern in (*DATE_TIMES, *DATES)]
+    return F.coalesce(*found, compact_date(text), serial_date(text))
+
+
+def parse_timestamp(c: Column) -> Column:
+    """Timestamp of a text with a time, or the start of its date; fractions to the microsecond."""
+    text = blank_to_null(c.cast("string"))
+    part = F.regexp_extract(text, r"\.(\d{1,6})\d*$", 1)
+    micros = F.when(text.rlike(r":\d{2}\.\d+$"), F.rpad(part, 6, "0").try_cast("int")).otherwise(0)
+    whole = F.coalesce(*[_read(text, shape, pattern) for shape, pattern in DATE_TIMES])
+    return F.coalesce(F.timestamp_micros(F.unix_micros(whole) + micros), parse_date(c).cast("timestamp"))
+
+
+def parse_any_date(c: Column, first: dict[str, str] | None = None, serials: bool = True) -> Column:
+    """Date of a value of an untyped column, else null.
+
+    `first` says for "slash" and "dash" which reading of a pair comes first; the other is tried after it.
+    """
+    text, first = blank_to_null(c.cast("string")), first or {}
+    found = [_read(text, shape, pattern).cast("date") for shape, pattern in LADDER]
+    for name, (shape, *readings) in PAIRS.items():
+        found += [_read(text, shape, pattern).cast("date") for pattern in sorted(readings, key=lambda p: p != first.get(name, readings[0]))]  # noqa: B023
+    return F.coalesce(*found, compact_date(text), *([serial_date(text)] if serials else []))
 
 
 def month(c: Column) -> Column:
@@ -42,5 +97,12 @@ def month(c: Column) -> Column:
 
 
 def months_between(start: Column, end: Column) -> Column:
-    """Array of the first days of all months from start's to end's."""
-    return F.sequence(F.trunc(start, "MM"), F.trunc(end, "MM"), F.expr("interval 1 month"))
+    """Array of the first days of all months from start's to end's; empty if they are the wrong way round."""
+    days = F.sequence(F.trunc(start, "MM"), F.trunc(end, "MM"), F.expr("interval 1 month"))
+    return F.when(F.trunc(start, "MM") > F.trunc(end, "MM"), F.array().cast("array<date>")).otherwise(days)
+
+
+def period_type(start: Column, end: Column) -> Column:
+    """MONTH if start and end are the first and last day of one month, else DATE_RANGE; null without both."""
+    whole = (F.trunc(start, "MM") == start) & (F.last_day(start) == end)
+    return F.when(start.isNotNull() & end.isNotNull(), F.when(whole, "MONTH").otherwise("DATE_RANGE"))

@@ -7,36 +7,47 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import strip
 
-#: One amount: a sign, a currency mark, grouped or plain digits, a fraction, an exponent, a per cent sign.
-AMOUNT = r"^[-+]?[$€£¥₹]? ?(?:\d{1,3}(?:,\d{3})+|\d+)?(?:\.\d+)?(?:[eE][-+]?\d{1,2})?%?$"
-YES, NO = ("true", "t", "yes", "y", "1"), ("false", "f", "no", "n", "0")
-DECIMAL_MARKS = {"us": r"^[^,]*\.\d{1,2}$|,\d{3}\.|,\d{3},", "eu": r"^[^.]*,\d{1,2}$|\.\d{3},|\.\d{3}\."}
+# Currency marks, words for true and false, and month names by their first three letters.
+CURRENCY = "$£€¥₹"
+YES, NO = ("true", "t", "yes", "y", "1", "1.0"), ("false", "f", "no", "n", "0", "0.0")
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_DIGITS = r"(?:\d{1,3}(?:,\d{3})+(?:\.\d*)?|\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?"
+#: One amount: marks in front in any order, digits, marks behind; none of the marks twice.
+AMOUNT = rf"^(?![^\d.]*[+-][^\d.]*[+-])(?![^{CURRENCY}]*[{CURRENCY}][^{CURRENCY}]*[{CURRENCY}])(?!.*\(.*\()(?!.*\).*\))(?!.*%.*%)([+\-{CURRENCY}(\s]*)({_DIGITS})([)%{CURRENCY}\s]*)$"
+# What numbers may be dressed with, and the shapes that only one convention can read.
+DRESS = r"[\s_$£€¥₹%]"
+US_ONLY, EU_ONLY = r"^-?(?:\d{1,3}(?:,\d{3})+\.\d*|\d+\.\d{1,2}|\d{4,}\.\d+|\d{1,3}(?:,\d{3}){2,})$", r"^-?(?:\d{1,3}(?:\.\d{3})+,\d*|\d+,\d{1,2}|\d{4,},\d+|\d{1,3}(?:\.\d{3}){2,})$"
 
 
-def amount(c: Column, scale: int = 10) -> Column:
-    """decimal(38, scale) of a text such as $1,234.50, (250.00), 12.5% or 1.2E+03; else null.
+def amount(c: Column, scale: int = 10, percent: bool = True) -> Column:
+    """decimal(38, scale) of a text such as $1,234.50, (250.00), -$5, 12.5% or 1.2E+03; else null.
 
-    Parentheses and a minus sign at the end negate, per cent divides by 100.
+    One sign and one currency mark stand anywhere in front, the mark behind too; balanced
+    parentheses negate, per cent divides by 100 (or is refused). A sign behind is no amount.
     """
-    text = strip(c.cast("string"))
-    inner = F.regexp_replace(text, r"^\((.*)\)$", "$1")
-    inner = F.regexp_replace(inner, r"^([^-]*[0-9])-$", "-$1")
-    digits = F.regexp_replace(inner, r"[$€£¥₹, %]", "")
-    value = digits.try_cast(f"decimal(38,{scale})")
-    value = F.when(inner.rlike("%$"), (value / 100).cast(f"decimal(38,{scale})")).otherwise(value)
-    return F.when(inner.rlike(AMOUNT) & inner.rlike("[0-9]"), F.when(text.rlike(r"^\(.*\)$"), -value).otherwise(value))
+    text, kind = strip(c.cast("string")), f"decimal(38,{scale})"
+    value = F.replace(F.regexp_extract(text, AMOUNT, 2), F.lit(","), F.lit("")).try_cast(kind)
+    opened = F.contains(text, F.lit("("))
+    value = F.when(F.contains(text, F.lit("%")), (value / 100).cast(kind) if percent else None).otherwise(value)
+    return F.when(opened == F.contains(text, F.lit(")")), F.when(opened | text.rlike(r"^[^\d.]*-"), -value).otherwise(value))
 
 
 def fit(value: Column, precision: int, scale: int) -> Column:
     """value rounded half up to decimal(precision, scale); null if its integer part is too large."""
     kind = f"decimal({precision},{scale})"
-    return F.when(F.abs(value) < F.lit(10 ** (precision - scale)).cast("decimal(38,0)"), F.round(value, scale).try_cast(kind))
+    # 28 digits: with more, the comparison itself would round value
+    fits = F.abs(value) < F.lit(10 ** min(27, precision - scale)).cast("decimal(28,0)")
+    return F.when(fits, F.round(value, scale).try_cast(kind))
 
 
-def whole(c: Column, kind: str = "bigint") -> Column:
-    """Integer of a text that states a whole number (2026.0 counts), else null."""
-    value = amount(c)
-    return F.when(value == F.floor(value), value.try_cast(kind))
+def whole(c: Column, kind: str = "bigint", months: bool = False) -> Column:
+    """Integer of a text that states a whole number (2026.0 counts, 100% doesn't), else null; with months, of a month's name too."""
+    value = amount(c, percent=False)
+    number = F.when(value == F.floor(value), value.try_cast(kind))
+    if not months:
+        return number
+    name = F.lower(F.substring(strip(c.cast("string")), 1, 3))
+    return F.coalesce(number, F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), name), F.lit(0)).try_cast(kind))
 
 
 def flag(c: Column) -> Column:
@@ -44,11 +55,13 @@ def flag(c: Column) -> Column:
     return F.when(text.isin(*YES), True).when(text.isin(*NO), False)
 
 
-def clean_number(c: Column, mark: str = "us") -> Column:
-    """Double of a number as sheets write it; mark "eu" reads 1.234,5. The loose parser of typing."""
-    text = F.regexp_replace(strip(c.cast("string")), r"[\s_$£€¥₹%]", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"^\((.*)\)$", "-$1"), r"^([^-].*)-$", "-$1")
-    if mark == "eu":
-        text = F.translate(text, ",.", ".,")
-    grouped = text.rlike(r"^-?\d{1,3}(,\d{3})+(\.\d*)?$") | text.rlike(r"^-?\d*(\.\d*)?([eE][-+]?\d+)?$")
-    return F.when(grouped, F.replace(text, F.lit(","), F.lit("")).try_cast("double"))
+def clean_number(c: Column, european: bool | Column = False) -> Column:
+    """Double of a number as sheets write it, else null: (250) and 250- are negative, marks are dropped.
+
+    `european` reads 1.234,5. Groups of other than three digits aren't numbers.
+    """
+    text = F.regexp_replace(F.regexp_replace(strip(c.cast("string")), r"^\((.*)\)$", "-$1"), r"^(.*\d)\s*-$", "-$1")
+    text = F.regexp_replace(text, DRESS, "")
+    text = F.when(european if isinstance(european, Column) else F.lit(european), F.translate(text, ",.", ".,")).otherwise(text)
+    shaped = text.rlike(r"^[+-]?(?:\d{1,3}(?:,\d{3})+(?:\.\d*)?|\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$")
+    return F.when(shaped, F.replace(text, F.lit(","), F.lit("")).try_cast("double"))

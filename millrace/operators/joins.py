@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import join_key, name_key, pad_code
+from millrace.functions.text import code_number, given, join_key, name_key
 
-#: Distinct values of a column that are tried, and the least share that must be found.
-OVERLAP_SAMPLE, OVERLAP_MIN = 2000, 0.5
+#: Fixed value: the least share of a column's values that must be found.
+OVERLAP_MIN = 0.5
 
 
 def companion_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], prefix: str, how: str = "left", ignore_case: bool = True, pair: str | None = None) -> DataFrame:
@@ -28,7 +28,7 @@ def companion_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]
     return left.join(other, on, how).drop("_pair", *[f"_right_{i}" for i in range(len(keys))])
 
 
-def match_stats(joined: DataFrame, witness: str, rows: int | None = None) -> DataFrame:
+def match_stats(joined: DataFrame, witness: str) -> DataFrame:
     """rows, matched and unmatched of a left join; witness is a column of the right side's key."""
     return joined.agg(F.count(F.lit(1)).alias("rows"), F.count(F.col(f"`{witness}`")).alias("matched"), F.count_if(F.col(f"`{witness}`").isNull()).alias("unmatched"))
 
@@ -39,28 +39,32 @@ def first_per_key(df: DataFrame, keys: list[str | Column], order: list[Column])
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def resolve(facts: DataFrame, reference: DataFrame, name: str, number: str) -> DataFrame:
+def resolve(facts: DataFrame, reference: DataFrame, name: str, number: str, code: str | None = None) -> DataFrame:
     """facts with ref_number, ref_name and outcome by a reference of (number, name, status).
 
-    Of several entries for a number or a name an active one wins, then the smaller pair. A known number decides: its
-    name is kept, corrected or filled in; without a known number the name does. Else nothing matches.
+    The name decides: a known name keeps, corrects or fills in the number, an unknown one is no_match. A number without a name is
+    name_missing. Without either, the load's own `code` gives both (filled_name), else no_match. With an empty reference all is unavailable.
+    Names and numbers come back as the row states them, numbers padded. Of several entries for a number or a name an active one wins, then
+    the smaller pair. Other columns may be called anything but the three.
     """
-    ref = reference.select(pad_code(F.col("number")).alias("ref_number"), F.col("name").alias("ref_name"), (F.lower("status") == "active").alias("_live"))
-    order = [F.desc_nulls_last("_live"), F.col("ref_number"), F.col("ref_name")]
-    numbers = first_per_key(ref.filter("ref_number IS NOT NULL"), ["ref_number"], order).select(F.col("ref_number").alias("_n"), F.col("ref_name").alias("_n_name"))
-    named = first_per_key(ref.withColumn("_k", name_key(F.col("ref_name"))).filter("_k IS NOT NULL"), ["_k"], order).select("_k", F.col("ref_number").alias("_k_number"), F.col("ref_name").alias("_k_name"))
-    rows = facts.withColumns({"_number": pad_code(F.col(number)), "_name": name_key(F.col(name))})
-    rows = rows.join(numbers, F.col("_number") == F.col("_n"), "left").join(named, F.col("_name") == F.col("_k"), "left")
-    known = F.col("_n").isNotNull()
+    ref = reference.select(code_number(F.col("number")).alias("number"), given(F.col("name")).alias("name"), (F.lower("status") == "active").alias("live"))
+    order = [F.desc_nulls_last("live"), F.col("number"), F.col("name")]
+    numbers = first_per_key(ref.filter("number IS NOT NULL AND name IS NOT NULL"), ["number"], order).select(F.col("number").alias("_by_number"), F.col("name").alias("_its_name"))
+    named = first_per_key(ref.withColumn("key", name_key(F.col("name"))).filter("key IS NOT NULL AND number IS NOT NULL"), ["key"], order).select(F.col("key").alias("_by_name"), F.col("number").alias("_its_number"))
+    rows = facts.select(
+        F.struct(*[F.col(f"`{c}`") for c in facts.columns]).alias("_row"), given(F.col(f"`{name}`")).alias("_name"), code_number(given(F.col(f"`{number}`").cast("string"))).alias("_number"),
+        (code_number(F.col(f"`{code}`").cast("string")) if code else F.lit(None).cast("string")).alias("_code")).withColumn("_key", name_key(F.col("_name")))
+    own = F.col("_name").isNull() & F.col("_number").isNull()
+    rows = rows.join(named, F.col("_key") == F.col("_by_name"), "left").join(numbers, own & (F.col("_code") == F.col("_by_number")), "left")
+    empty = ref.filter("number IS NOT NULL OR name IS NOT NULL").isEmpty()
     outcome = (
-        F.when(known & F.col("_name").isNull(), "filled_name")
-        .when(known & (name_key(F.col("_n_name")) == F.col("_name")), "kept")
-        .when(known, "corrected")
-        .when(F.col("_k").isNotNull(), F.when(F.col("_number").isNull(), "filled_number").otherwise("corrected"))
-        .when(F.col("_name").isNull(), "name_missing").otherwise("no_match"))
-    return rows.withColumns({
-        "ref_number": F.when(known, F.col("_n")).otherwise(F.col("_k_number")), "ref_name": F.when(known, F.col("_n_name")).otherwise(F.col("_k_name")), "outcome": outcome,
-    }).drop("_number", "_name", "_n", "_n_name", "_k", "_k_number", "_k_name")
+        F.when(F.lit(empty), "unavailable")
+        .when(F.col("_name").isNotNull() & F.col("_its_number").isNull(), "no_match")
+        .when(F.col("_name").isNotNull(), F.when(F.col("_number").isNull(), "filled_number").when(F.col("_number") == F.col("_its_number"), "kept").otherwise("corrected"))
+        .when(F.col("_number").isNotNull(), "name_missing").when(F.col("_its_name").isNotNull(), "filled_name").otherwise("no_match"))
+    return rows.select(
+        "_row.*", F.when(own, F.when(F.col("_its_name").isNotNull(), F.col("_code"))).otherwise(F.coalesce("_its_number", "_number")).alias("ref_number"),
+        F.coalesce("_name", "_its_name").alias("ref_name"), outcome.alias("outcome"))
 
 
 def distinct_values(df: DataFrame, sample: int | None = None) -> DataFrame:
@@ -69,18 +73,46 @@ def distinct_values(df: DataFrame, sample: int | None = None) -> DataFrame:
     values = df.select(F.explode(parts).alias("p")).select("p.*").filter("value IS NOT NULL").distinct()
     if sample is None:
         return values
-    rank = F.row_number().over(Window.partitionBy("column_name").orderBy("value"))
+    rank = F.row_number().over(Window.partitionBy("column_name").orderBy(F.xxhash64("value"), "value"))
     return values.withColumn("_rank", rank).filter(F.col("_rank") <= sample).drop("_rank")
 
 
-def key_overlap(left: DataFrame, right: DataFrame, sample: int | None = OVERLAP_SAMPLE) -> DataFrame:
-    """Per pair of columns that share values: the share of left's (sampled) distinct values that right holds."""
+def key_overlap(left: DataFrame, right: DataFrame, sample: int | None = None) -> DataFrame:
+    """Per pair of columns that share values: the share of left's distinct values (or of a random `sample` of them) that right holds."""
     l, r = distinct_values(left, sample), distinct_values(right).withColumnRenamed("column_name", "right_column")
     sizes = l.groupBy("column_name").agg(F.count(F.lit(1)).alias("tried"))
     shared = l.join(r, "value").groupBy("column_name", "right_column").agg(F.count(F.lit(1)).alias("found"))
     return shared.join(sizes, "column_name").select(F.col("column_name").alias("left_column"), "right_column", "tried", "found", F.round(F.col("found") / F.col("tried"), 6).alias("share"))
 
 
+def best_keys(left: DataFrame, right: DataFrame, least: float = OVERLAP_MIN) -> DataFrame:
+    """The right column that holds most of each left column's values, if it holds at least the share `least`, and
+    right_unique: whether no value repeats in it, so that a join can't multiply rows. Of equals the first by name."""
+    best = first_per_key(key_overlap(left, right).filter(F.col("share") >= least), ["left_column"], [F.desc("share"), F.col("right_column")])
+    parts = F.array(*[F.struct(F.lit(c).alias("right_column"), join_key(F.col(f"`{c}`")).alias("value")) for c in right.columns])
+    times = right.select(F.explode(parts).alias("p")).select("p.*").filter("value IS NOT NULL").groupBy("right_column", "value").agg(F.count(F.lit(1)).alias("n"))
+    unique = times.groupBy("right_column").agg((F.max("n") == 1).alias("right_unique"))  # a row per column
+    return best.join(F.broadcast(unique), "right_column").select("left_column", "right_column", "tried", "found", "share", "right_unique")
+
+
+def missing_keys(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
+    """Rows of left whose cleaned key right doesn't hold; blank keys never match."""
+    other = right.select(*[join_key(F.col(f"`{b}`")).alias(f"_right_{i}") for i, (_, b) in enumerate(keys)])
+    on = [join_key(F.col(f"`{a}`")) == F.col(f"_right_{i}") for i, (a, _) in enumerate(keys)]
+    return left.join(other, on, "left_anti")
+
+
+def row_changes(new: DataFrame, old: DataFrame, by: list[str], most: float = 10.0) -> DataFrame:
+    """Groups whose number of rows differs by more than `most` per cent between a new load and the old one.
+
+    new_rows, old_rows and change (per cent of the old, two places); a group without old rows has no change and isn't shown.
+    """
+    count = lambda df, name: df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    both = count(new, "new_rows").join(count(old, "old_rows"), by, "full").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("new_rows", "old_rows")})
+    change = F.round((F.col("new_rows") - F.col("old_rows")) * 100.0 / F.nullif(F.col("old_rows"), F.lit(0)), 2).cast("double")
+    return both.withColumn("change", change).filter(F.abs("change") > most)
+
+
 def overlapping(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     """Pairs of periods (id, start, end) of a and b, equal in key, that have a day in common.
 

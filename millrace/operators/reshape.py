@@ -12,6 +12,11 @@ def melt(df: DataFrame, ids: list[str], values: list[str], name: str = "category
     return long.replace(labels, subset=[name]) if labels else long
 
 
+def spread(df: DataFrame, ids: list[str], name: str, names: list[str], value: str) -> DataFrame:
+    """One row per ids, with the sum of value in a column for each of the names: the reverse of melt(). Other names are left out."""
+    return df.groupBy(*ids).pivot(name, names).agg(F.sum(value))
+
+
 def stack(tables: dict[str, DataFrame]) -> DataFrame:
     """All tables under one another, in the first one's column order, with the table's name as source_sheet.
 

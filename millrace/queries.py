@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, digest, numbers, text
-from millrace.operators import joins, profile, reshape, rollup, totals
+from millrace.operators import joins, profile, reshape, rollup, totals, typing
+from millrace.operators.transform import Target, quality, transform
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +35,7 @@ def monthly_rollup(spark, sf_dir):
 
 
 def column_profile_lineitem(spark, sf_dir):
-    return profile.column_profile(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"))
+    return profile.column_profile(load(spark, sf_dir, "lineitem").drop("l_shipdate"))
 
 
 def column_profile_orders(spark, sf_dir):
@@ -76,13 +77,13 @@ def _raw_amounts(spark, sf_dir):
 
 
 def amount_parse(spark, sf_dir):
-    value = numbers.amount(F.col("raw"))
-    return _raw_amounts(spark, sf_dir).select("l_orderkey", "l_linenumber", "raw", numbers.fit(value, 18, 2).cast("string").alias("amount"), numbers.fit(value, 7, 1).cast("string").alias("short"))
+    read = _raw_amounts(spark, sf_dir).withColumn("value", numbers.amount(F.col("raw")))
+    return read.select("l_orderkey", "l_linenumber", "raw", numbers.fit(F.col("value"), 18, 2).cast("string").alias("amount"), numbers.fit(F.col("value"), 7, 1).cast("string").alias("short"))
 
 
 def bool_int_parse(spark, sf_dir):
-    k = F.col("o_orderkey") % 7
-    raw = F.when(k == 0, "Yes").when(k == 1, " f ").when(k == 2, "1").when(k == 3, "2026.0").when(k == 4, "12.5").when(k == 5, "n/a")
+    k, n = F.col("o_orderkey") % 9, F.col("o_custkey").cast("string")
+    raw = F.when(k == 0, "Yes").when(k == 1, " f ").when(k == 2, "1").when(k == 3, F.concat(n, F.lit(".0"))).when(k == 4, F.concat(n, F.lit(".5"))).when(k == 5, "n/a").when(k == 6, F.concat(n, F.lit("%"))).when(k == 7, "0.0")
     rows = load(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"))
     return rows.select("o_orderkey", "raw", numbers.flag(F.col("raw")).alias("flag"), numbers.whole(F.col("raw")).alias("number"))
 
@@ -104,7 +105,7 @@ def row_hash(spark, sf_dir):
 
 
 def unpivot_measures(spark, sf_dir):
-    rows = load(spark, sf_dir, "orders").filter(F.year("o_orderdate") == 1997).groupBy("o_orderstatus").agg(*[F.sum(F.when(F.quarter("o_orderdate") == q, money(F.col("o_totalprice")))).cast("decimal(28,2)").alias(f"q{q}") for q in range(1, 5)])
+    rows = load(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(*[F.sum(F.when(F.quarter("o_orderdate") == q, money(F.col("o_totalprice")))).cast("decimal(28,2)").alias(f"q{q}") for q in range(1, 5)])
     return reshape.melt(rows, ["o_orderstatus"], [f"q{q}" for q in range(1, 5)], "period", labels={f"q{q}": f"Quarter {q}" for q in range(1, 5)}).withColumn("value", F.col("value").cast("string"))
 
 
@@ -170,12 +171,6 @@ def companion_join_inner(spark, sf_dir):
 
 
 def companion_join_right(spark, sf_dir):
-    out = joins.companion_join(_named_orders(spark, sf_dir).filter("o_orderkey % 50 = 0"), _messy_names(spark, sf_dir), [("buyer", "account")], "sales", "right")
-    return out.select("account", F.col("`sales.o_orderkey`").alias("o_orderkey"))
-
-
-def companion_join_right_all(spark, sf_dir):
-    """The right join over every order; companion_join_right takes each fiftieth."""
     out = joins.companion_join(_named_orders(spark, sf_dir), _messy_names(spark, sf_dir), [("buyer", "account")], "sales", "right")
     return out.select("account", F.col("`sales.o_orderkey`").alias("o_orderkey"))
 
@@ -195,21 +190,19 @@ def lookup_resolve(spark, sf_dir):
     reference = nations.select(number.alias("number"), F.col("n_name").alias("name"), F.lit("Active").alias("status")).unionByName(nations.select(number.alias("number"), F.concat(F.col("n_name"), F.lit(" OLD")).alias("name"), F.lit("Closed").alias("status")))
     k = F.col("s_suppkey") % 6
     facts = load(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        "s_suppkey", F.when(k == 1, None).when(k == 4, "999").otherwise(number).alias("number"),
-        F.when(k == 2, None).when(k == 3, "n/a").when(k == 4, "Nobody").when(k == 5, F.concat(F.col("n_name"), F.lit("  old"))).otherwise(F.concat(F.lit(" "), F.lower("n_name"))).alias("name"))
-    return joins.resolve(facts, reference, "name", "number").select("s_suppkey", "ref_number", "ref_name", "outcome")
+        "s_suppkey", F.when((k == 1) | (k == 3), None).when(k == 4, "999").when(k == 5, F.concat(F.lit("PC-"), (F.col("n_nationkey") + 1).cast("string"))).otherwise(number).alias("number"),
+        F.when((k == 2), None).when(k == 3, "n/a").when(k == 4, "Nobody").when(k == 5, F.concat(F.col("n_name"), F.lit("  old"))).otherwise(F.concat(F.lit(" "), F.lower("n_name"))).alias("name"),
+        F.concat(F.lit("PC0"), (F.col("s_suppkey") % 30).cast("string")).alias("pc"))
+    return joins.resolve(facts, reference, "name", "number", "pc").select("s_suppkey", "ref_number", "ref_name", "outcome")
 
 
 def key_overlap(spark, sf_dir):
-    left = load(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber")
-    right = load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    return joins.key_overlap(left, right)
+    left = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    return joins.key_overlap(left, load(spark, sf_dir, "supplier"))
 
 
-def key_overlap_all(spark, sf_dir):
-    """key_overlap with every distinct value tried."""
-    left = load(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber")
-    return joins.key_overlap(left, load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), sample=None)
+def key_overlap_best(spark, sf_dir):
+    return joins.best_keys(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"), load(spark, sf_dir, "supplier"))
 
 
 def period_overlap(spark, sf_dir):
@@ -219,12 +212,7 @@ def period_overlap(spark, sf_dir):
 
 
 def stack_with_provenance(spark, sf_dir):
-    orders = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("value"), F.year("o_orderdate").alias("year"))
-    return reshape.stack({str(y): orders.filter(F.col("year") == y).select("o_orderkey", "value") if y % 2 else orders.filter(F.col("year") == y).select("value", "o_orderkey") for y in (1995, 1996, 1997)})
-
-
-def stack_all_years(spark, sf_dir):
-    """One table per year over every order, undated ones too; stack_with_provenance takes three years."""
+    """One table per year over every order, undated ones too."""
     orders = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("value"), F.year("o_orderdate").alias("year"))
     years = sorted((r["year"] for r in orders.select("year").distinct().collect()), key=lambda y: y or 0) or [None]
     columns = lambda y: ("value", "o_orderkey") if y and y % 2 == 0 else ("o_orderkey", "value")
@@ -234,7 +222,7 @@ def stack_all_years(spark, sf_dir):
 def schema_evolve_append(spark, sf_dir):
     orders = load(spark, sf_dir, "orders")
     old = orders.filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus")
-    new = orders.filter("o_orderstatus = 'O'").select("o_orderstatus", "o_orderkey", "o_orderpriority")
+    new = orders.filter("o_orderstatus <> 'F' OR o_orderstatus IS NULL").select("o_orderstatus", "o_orderkey", "o_orderpriority")
     return reshape.evolve(old, new)
 
 
@@ -274,9 +262,9 @@ def first_samples(spark, sf_dir):
 def role_classify(spark, sf_dir):
     parts = None
     for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
-        e = profile.role_evidence(load(spark, sf_dir, name)).select(F.lit(name).alias("table_name"), "rows", "measures", "keys", "dates")
+        e = profile.role_evidence(load(spark, sf_dir, name)).select(F.lit(name).alias("table_name"), "rows", "measures", "keys", "dates", "unique_rows")
         parts = e if parts is None else parts.unionByName(e)
-    return parts.withColumn("role", profile.role(*[F.col(c) for c in ("rows", "measures", "keys", "dates")]))
+    return parts.withColumn("role", profile.role(*[F.col(c) for c in ("rows", "measures", "keys", "dates", "unique_rows")]))
 
 
 def header_names(spark, sf_dir):
@@ -289,7 +277,7 @@ def header_names(spark, sf_dir):
 
 def pc_pad(spark, sf_dir):
     k, n = F.col("c_custkey") % 5, F.col("c_custkey").cast("string")
-    raw = F.when(k == 0, n).when(k == 1, F.concat(F.lit("00"), n)).when(k == 2, F.concat(n, F.lit("_01"))).when(k == 3, F.concat(F.lit(" X"), n, F.lit(" ")))
+    raw = F.when(k == 0, F.concat(n, F.lit(".0"))).when(k == 1, F.concat(F.lit("00"), n)).when(k == 2, F.concat(n, F.lit("_01"))).when(k == 3, F.concat(F.lit(" X"), n, F.lit(" ")))
     return load(spark, sf_dir, "customer").select("c_custkey", text.pad_code(raw).alias("code"))
 
 
@@ -305,17 +293,80 @@ def history_runs(spark, sf_dir):
 
 
 def vector_cosine(spark, sf_dir):
+    """Cosine of each vector with the smallest vector of vec_id 0, which comes to the driver."""
     rows = load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    first = rows.filter("vec_id = 0").select(F.col("v").alias("w"))
+    first = rows.filter("vec_id = 0").agg(F.min("v")).first()[0]
+    w = F.array(*map(F.lit, first)) if first else F.lit(None).cast("array<double>")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    cosine = dot(F.col("v"), F.col("w")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("w"), F.col("w")))
-    return rows.join(F.broadcast(first.limit(1))).select("vec_id", F.round(cosine, 5).alias("cosine"))
+    cosine = dot(F.col("v"), w) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(w, w))
+    return rows.select("vec_id", F.round(cosine, 5).alias("cosine"))
 
 
 def contracts_rows(spark, sf_dir):
-    """Row accounting: what a filter of totals removes and keeps adds up to what came in."""
-    marked = totals.total_rows(_with_totals(spark, sf_dir), ["c_mktsegment"], "line", ["n", "value"])
-    return marked.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("raw"), F.count_if("is_total").alias("removed"), F.count_if(~F.col("is_total")).alias("kept"), (F.count(F.lit(1)) - F.count_if("is_total") - F.count_if(~F.col("is_total"))).alias("unaccounted"))
+    """Row accounting: what went in, what a filter of totals took and what the output holds, counted apart."""
+    source = _with_totals(spark, sf_dir)
+    marked = totals.total_rows(source, ["c_mktsegment"], "line", ["n", "value"])
+    return totals.accounting(source, marked.filter("is_total"), marked.filter("NOT is_total"), ["c_mktsegment"])
+
+
+def grain_signals(spark, sf_dir):
+    rows = _with_totals(spark, sf_dir).select("c_mktsegment", "line", F.col("n").cast("string").alias("n"), F.concat(F.lit("$"), F.col("value").cast("string")).alias("value"))
+    return totals.grain(rows, ["c_mktsegment", "line", "n", "value"], ["c_mktsegment"], "line")
+
+
+def _raw_orders(spark, sf_dir):
+    """Orders as an export writes them: every column a text, with odd spellings."""
+    k, day = F.col("o_orderkey") % 4, F.to_date("o_orderdate")
+    price = F.format_number("o_totalprice", 2)
+    return load(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("order"), F.concat(F.lit("C-"), F.col("o_custkey").cast("string")).alias("account"),
+        F.when(k == 0, F.date_format(day, "yyyy-MM-dd")).when(k == 1, F.date_format(day, "yyyy/M/d")).when(k == 2, F.date_format(day, "d.M.yyyy")).otherwise(F.date_format(day, "dd/MM/yyyy")).alias("booked"),
+        F.when(k == 0, F.concat(F.lit("$"), price)).when(k == 1, F.concat(F.lit("("), price, F.lit(")"))).otherwise(price).alias("amount"),
+        F.translate(price, ",.", ".,").alias("betrag"), F.lpad((F.col("o_orderkey") % 90000).cast("string"), 5, "0").alias("zip"),
+        F.when(k == 3, "n/a").otherwise((F.col("o_custkey") % 50).cast("string")).alias("count"), F.when(k == 1, "12AB").otherwise(F.col("o_custkey").cast("string")).alias("mixed"),
+        F.date_format(day, "yyyyMMdd").alias("ship date"), F.lit(" ").alias("nothing"))
+
+
+def typed_decisions(spark, sf_dir):
+    rows = _raw_orders(spark, sf_dir)
+    return typing.decide(typing.evidence(rows, rows.columns)).select("column_name", "kind", "note", "present", "european")
+
+
+def typed_columns(spark, sf_dir):
+    rows = _raw_orders(spark, sf_dir)
+    out = typing.typed(rows, typing.decide(typing.evidence(rows, rows.columns)))
+    return out.select(*[F.date_format(c, "yyyy-MM-dd").alias(c) if t == "date" else F.col(f"`{c}`") for c, t in out.dtypes]).withColumnRenamed("ship date", "ship_date")
+
+
+CATALOGUE = [
+    Target("order_number", "bigint", key=True), Target("account", "string", key=True), Target("booked", "date"), Target("amount", "decimal(18,2)"), Target("rate", "decimal(10,6)"),
+    Target("booked_year", "int"), Target("booked_month", "int"), Target("urgent", "boolean"), Target("unmapped", "string")]
+
+
+def _silver(spark, sf_dir):
+    k, day = F.col("o_orderkey") % 6, F.to_date("o_orderdate")
+    rows = load(spark, sf_dir, "orders").select(
+        F.concat(F.lit(" "), F.col("o_orderkey").cast("string"), F.lit(".0")).alias("Order No"), F.when(k == 5, " ").otherwise(F.concat(F.lit("Acc "), F.col("o_custkey").cast("string"))).alias("Account"),
+        F.when(k == 0, F.date_format(day, "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.date_format(day, "M/d/yyyy")).when(k == 2, F.date_format(day, "yyyyMMdd")).when(k == 3, "31/31/2020").otherwise(F.date_format(day, "M-d-yyyy")).alias("Booked"),
+        F.when(k == 0, F.concat(F.lit("($"), F.format_number("o_totalprice", 2), F.lit(")"))).when(k == 4, "5-").otherwise(F.format_number("o_totalprice", 2)).alias("Amount"), F.concat((F.col("o_custkey") % 100).cast("string"), F.lit("%")).alias("Rate"),
+        F.when(k == 1, F.date_format(day, "MMMM")).alias("Month"), F.when(k == 2, "maybe").when(k < 2, "Y").otherwise("0.0").alias("Urgent"))
+    mapping = {"order_number": "Order No", "account": "Account", "booked": "Booked", "amount": "Amount", "rate": "Rate", "booked_month": "Month", "urgent": "Urgent"}
+    return transform(rows, mapping, CATALOGUE, {"booked_year": ("booked", "year"), "booked_month": ("booked", "month")})
+
+
+def silver_transform(spark, sf_dir):
+    out = _silver(spark, sf_dir)
+    return out.withColumns({"booked": F.date_format("booked", "yyyy-MM-dd"), "amount": F.col("amount").cast("string"), "rate": F.col("rate").cast("string")})
+
+
+def silver_quality(spark, sf_dir):
+    return quality(_silver(spark, sf_dir), CATALOGUE)
+
+
+def unpivot_spread(spark, sf_dir):
+    """Sums of unpivoted quarters, spread again over one column per status."""
+    long = unpivot_all_years(spark, sf_dir).withColumn("value", F.col("value").cast("decimal(28,2)"))
+    return reshape.spread(long, ["year", "period"], "o_orderstatus", ["F", "O", "P"], "value").select("year", "period", *[F.col(c).cast("string").alias(c) for c in ("F", "O", "P")])
 
 
 def empty_columns(spark, sf_dir):
@@ -328,8 +379,9 @@ def null_safe_changes(spark, sf_dir):
 
 
 def missing_keys(spark, sf_dir):
-    """Customers without an order (anti join), and how many there are by segment."""
-    return load(spark, sf_dir, "customer").join(load(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    """Customers without an urgent order, and how many there are by segment."""
+    urgent = load(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
+    return joins.missing_keys(load(spark, sf_dir, "customer"), urgent, [("c_custkey", "o_custkey")]).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
 def rows_per_month(spark, sf_dir):
@@ -337,14 +389,14 @@ def rows_per_month(spark, sf_dir):
 
 
 def row_change_check(spark, sf_dir):
-    """Months whose number of orders differs from the month before by more than a tenth."""
-    months = load(spark, sf_dir, "orders").groupBy(dates.month(F.col("o_orderdate")).alias("month")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.lag("n").over(Window.orderBy("month"))  # one row per month
-    return months.withColumn("before", before).withColumn("change", F.round((F.col("n") - F.col("before")) * 100.0 / F.col("before"), 2).cast("double")).filter("abs(change) > 10")
+    """Months in which a new load, without every seventh order and with January's twice, differs from the old one by more than a tenth."""
+    old = load(spark, sf_dir, "orders").withColumn("month", dates.month(F.col("o_orderdate")))
+    new = old.filter("o_orderkey % 7 > 0").unionByName(old.filter(F.month("o_orderdate") == 1))
+    return joins.row_changes(new, old, ["month"])
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     monthly_rollup, column_profile_lineitem, column_profile_orders, month_stats, date_role_stats, date_ladder, amount_parse, bool_int_parse, invalid_names, invalid_counts, row_hash,
-    unpivot_measures, unpivot_all_years, total_rows_detect, total_column_detect, running_total_check, fill_down, islands, companion_join_left, companion_join_inner, companion_join_right, companion_join_right_all, join_match_stats,
-    dup_key_report, lookup_resolve, key_overlap, key_overlap_all, period_overlap, stack_with_provenance, stack_all_years, schema_evolve_append, replace_supersede, replace_month, replace_rollup, preview_search_sort,
-    first_samples, role_classify, header_names, pc_pad, name_keys, history_runs, vector_cosine, contracts_rows, empty_columns, null_safe_changes, missing_keys, rows_per_month, row_change_check)}
+    unpivot_measures, unpivot_all_years, total_rows_detect, total_column_detect, running_total_check, fill_down, islands, companion_join_left, companion_join_inner, companion_join_right, join_match_stats,
+    dup_key_report, lookup_resolve, key_overlap, key_overlap_best, period_overlap, stack_with_provenance, schema_evolve_append, replace_supersede, replace_month, replace_rollup, preview_search_sort,
+    first_samples, role_classify, header_names, pc_pad, name_keys, history_runs, vector_cosine, contracts_rows, empty_columns, null_safe_changes, grain_signals, typed_decisions, typed_columns, silver_transform, silver_quality, unpivot_spread, missing_keys, rows_per_month, row_change_check)}
