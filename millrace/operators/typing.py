@@ -20,11 +20,12 @@ ID_HEADER, DATE_HEADER = r"(?i)(^|[^a-z])(id|no|num|number|code|key|policy)([^a-
 
 def evidence(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column: counts of what its filled values look like. One aggregation gives all plain counts."""
-    parts = []
-    for c in columns:
-        v = blank_to_null(F.col(f"`{c}`").cast("string"))
-        day, serial, core = parse_any_date(v, serials=False), v.rlike(r"^\d{5}$"), F.regexp_replace(v, r"[^\d.,-]", "")
-        us, eu = clean_number(v), clean_number(v, european=True)
+    parts, df = [], df.select(*[blank_to_null(F.col(f"`{c}`").cast("string")).alias(c) for c in columns])
+    read = lambda v: F.struct(v.alias("v"), parse_any_date(v, serials=False).alias("day"), clean_number(v).alias("us"), clean_number(v, european=True).alias("eu"))
+    once = df.select(*[read(F.col(f"`{c}`")).alias(f"read {i}") for i, c in enumerate(columns)])  # each value is parsed once
+    for i, c in enumerate(columns):
+        v, day, us, eu = (F.col(f"`read {i}`.{f}") for f in ("v", "day", "us", "eu"))
+        serial, core = v.rlike(r"^\d{5}$"), F.regexp_replace(v, r"[^\d.,-]", "")
         letters = v.rlike("[A-Za-z]") & v.rlike(r"\d") & ~v.rlike(r"^[+-]?[\d.]+[eE][+-]?\d+$")
         joined = v.rlike(r"^\d+(?:[-/ ]\d+)+$") & ~v.rlike(r"^\d{1,3}(?: \d{3})+$")
         risky = v.rlike(r"\d") & ~v.rlike(r"^[0.,\s-]*$")
@@ -35,7 +36,7 @@ def evidence(df: DataFrame, columns: list[str]) -> DataFrame:
             F.count_if((letters | joined) & day.isNull()).alias("codes"), F.count(us).alias("us_numbers"), F.count(eu).alias("eu_numbers"), F.count_if(core.rlike(US_ONLY)).alias("us_votes"), F.count_if(core.rlike(EU_ONLY)).alias("eu_votes"),
             F.count_if(us % 1 != 0).alias("us_fractions"), F.count_if(eu % 1 != 0).alias("eu_fractions"),
             F.count_if(risky & us.isNull()).alias("us_losses"), F.count_if(risky & eu.isNull()).alias("eu_losses"), F.count_if(risky & day.isNull() & ~serial).alias("date_losses"), *[n.alias(k) for k, n in pairs.items()]))
-    found = df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    found = once.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
     values = F.array(*[F.struct(F.lit(c).alias("_column"), blank_to_null(F.col(f"`{c}`").cast("string")).alias("v")) for c in columns])
     distinct = df.select(F.explode(values).alias("p")).select("p.*").filter("v IS NOT NULL").distinct().groupBy("_column").agg(F.count(F.lit(1)).alias("distinct_values"))
     return found.join(distinct, F.col("column_name") == F.col("_column"), "left").drop("_column").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
