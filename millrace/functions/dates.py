@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,23 +24,11 @@ DATES = (
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
 )
-#: The formats by which the values of an untyped column are tried, and the pairs whose reading depends on convention.
-LADDER = (
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}} {_CLOCK}$", "yyyy-M-d H:mm:ss"),
-    (rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}T{_CLOCK}$", "yyyy-M-d'T'H:mm:ss"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
-    (r"^[A-Z][a-z]{2} \d{1,2} \d{4}$", "MMM d yyyy"),
-    (r"^\d{1,2} [A-Z][a-z]{2,8} \d{4}$", "d MMMM yyyy"),
-    (r"^[A-Z][a-z]{2,8} \d{1,2} \d{4}$", "MMMM d yyyy"),
-    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
-)
-PAIRS = {
-    "slash": (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy", "d/M/yyyy"),
-    "dash": (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy", "d-M-yyyy"),
-}
+# Names of months, and the separators of the pairs whose reading depends on convention.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+PAIRS = {"slash": "/", "dash": "-"}
+MONTH_FIRST, DAY_FIRST = "$3-$1-$2", "$3-$2-$1"
+_TIME = r"(?:[01]?\d|2[0-3]):[0-5]\d:[0-5]\d"
 EPOCH = "1899-12-30"
 FIRST_YEAR, LAST_YEAR = 1900, 2100
 
@@ -47,18 +37,17 @@ def _read(text: Column, shape: str, pattern: str) -> Column:
     return F.when(text.rlike(shape), F.try_to_timestamp(F.regexp_replace(text, r"\.\d+$", "") if _FRACTION in shape else text, F.lit(pattern)))
 
 
-def bounded(day: Column) -> Column:
-    return F.when(F.year(day).between(FIRST_YEAR, LAST_YEAR), day)
-
-
 def compact_date(text: Column) -> Column:
     """Date of exactly eight digits yyyyMMdd."""
-    return bounded(F.when(text.rlike(r"^\d{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date")))
+    bounded = text.rlike(r"^\d{8}$") & F.substring(text, 1, 4).between(str(FIRST_YEAR), str(LAST_YEAR))
+    return F.when(bounded, F.regexp_replace(text, r"^(\d{4})(\d\d)(\d\d)$", "$1-$2-$3").try_cast("date"))
 
 
 def serial_date(text: Column) -> Column:
     """Spreadsheet serial number of exactly five digits as a date."""
-    return bounded(F.when(text.rlike(r"^\d{5}$"), F.date_add(F.to_date(F.lit(EPOCH)), text.try_cast("int"))))
+    epoch = datetime.date.fromisoformat(EPOCH)
+    first, last = ((datetime.date(y, m, d) - epoch).days for y, m, d in ((FIRST_YEAR, 1, 1), (LAST_YEAR, 12, 31)))
+    return F.when(text.rlike(r"^\d{5}$") & text.try_cast("int").between(first, last), F.date_add(F.lit(epoch), text.try_cast("int")))
 
 
 def parse_date(c: Column) -> Column:
@@ -85,13 +74,32 @@ def parse_any_date(c: Column, first: dict[str, str] | None = None, serials: bool
 
     `first` says for "slash" and "dash" which reading of a pair comes first; the other is tried after it.
     """
-    text, first = blank_to_null(c.cast("string")), first or {}
-    found = [_read(text, shape, pattern).cast("date") for shape, pattern in LADDER]
-    for name, (shape, *readings) in PAIRS.items():
-        found += [_read(text, shape, pattern).cast("date") for pattern in sorted(readings, key=lambda p: p != first.get(name, readings[0]))]  # noqa: B023
+    return any_date(blank_to_null(c.cast("string")), first, serials)
+
+
+def any_date(text: Column, first: dict[str, str] | None = None, serials: bool = True) -> Column:
+    """parse_any_date of a text already stripped, which each shape looks at; give it a column, not an expression."""
+    word = F.regexp_extract(text, "[A-Z][a-z]+", 0)
+    number = F.greatest(*[F.array_position(F.array(*map(F.lit, names)), word) for names in (MONTHS, [m[:3] for m in MONTHS])])
+    named = F.concat_ws("-", F.regexp_extract(text, r"\d{4}$", 0), number.cast("string"), F.regexp_extract(text, r"\b\d{1,2}\b", 0))
+    iso = (  # texts as yyyy-M-d, which a cast reads without the cost of a failed parser
+        F.when(text.rlike(rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}(?:[ T]{_TIME})?$"), F.regexp_extract(text, "^[^ T]+", 0))
+        .when(text.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), F.translate(text, "/", "-"))
+        .when(text.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"), F.regexp_replace(text, r"^(\d+)\.(\d+)\.(\d+)$", DAY_FIRST))
+        .when(text.rlike(r"^(?:\d{1,2} [A-Z][a-z]{2,8}|[A-Z][a-z]{2,8} \d{1,2}|[A-Z][a-z]{2} \d{1,2},) \d{4}$"), named))
+    found = [iso.try_cast("date")]
+    for name in PAIRS:
+        for order in sorted((MONTH_FIRST, DAY_FIRST), key=lambda o: o != (first or {}).get(name, MONTH_FIRST)):  # noqa: B023
+            found.append(pair_date(text, name, order))
     return F.coalesce(*found, compact_date(text), *([serial_date(text)] if serials else []))
 
 
+def pair_date(text: Column, name: str, order: str) -> Column:
+    """Date of a text such as 3/5/2024 (slash) or 3-5-2024 (dash) in the given order, else null."""
+    shape = rf"^(\d{{1,2}}){PAIRS[name]}(\d{{1,2}}){PAIRS[name]}(\d{{4}})$"
+    return F.when(text.rlike(shape), F.regexp_replace(text, shape, order).try_cast("date"))
+
+
 def month(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM")
 

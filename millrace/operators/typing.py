@@ -1,6 +1,6 @@
-"""Types of columns of text, decided from their values: one pass of evidence, a decision, one projection.
+"""Types of columns of text, decided from their values: evidence, a decision, one projection.
 
-The decision is a small table; the rows are read twice, for evidence and for the projection, and never leave the tasks.
+The decision is a small table, a row per column; the rows are read twice, for evidence and for the projection, and never leave the tasks.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.dates import PAIRS, parse_any_date
+from millrace.functions.dates import DAY_FIRST, MONTH_FIRST, PAIRS, any_date, pair_date
 from millrace.functions.numbers import EU_ONLY, US_ONLY, clean_number
 from millrace.functions.text import blank_to_null
 
@@ -19,27 +19,31 @@ ID_HEADER, DATE_HEADER = r"(?i)(^|[^a-z])(id|no|num|number|code|key|policy)([^a-
 
 
 def evidence(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per column: counts of what its filled values look like. One aggregation gives all plain counts."""
-    parts, df = [], df.select(*[blank_to_null(F.col(f"`{c}`").cast("string")).alias(c) for c in columns])
-    read = lambda v: F.struct(v.alias("v"), parse_any_date(v, serials=False).alias("day"), clean_number(v).alias("us"), clean_number(v, european=True).alias("eu"))
-    once = df.select(*[read(F.col(f"`{c}`")).alias(f"read {i}") for i, c in enumerate(columns)])  # each value is parsed once
-    for i, c in enumerate(columns):
-        v, day, us, eu = (F.col(f"`read {i}`.{f}") for f in ("v", "day", "us", "eu"))
-        serial, core = v.rlike(r"^\d{5}$"), F.regexp_replace(v, r"[^\d.,-]", "")
-        letters = v.rlike("[A-Za-z]") & v.rlike(r"\d") & ~v.rlike(r"^[+-]?[\d.]+[eE][+-]?\d+$")
-        joined = v.rlike(r"^\d+(?:[-/ ]\d+)+$") & ~v.rlike(r"^\d{1,3}(?: \d{3})+$")
-        risky = v.rlike(r"\d") & ~v.rlike(r"^[0.,\s-]*$")
-        pairs = {f"{name}_{order}": F.count(F.when(v.rlike(shape), F.try_to_timestamp(v, F.lit(pattern)))) for name, (shape, *both) in PAIRS.items() for order, pattern in zip(("month_first", "day_first"), both, strict=True)}
-        parts.append(F.struct(
-            F.lit(c).alias("column_name"), F.count(v).alias("present"), F.count(day).alias("dates"), F.count_if(v.rlike(r"^\d{8}$")).alias("eight_digits"), F.count_if(serial).alias("serials"),
-            F.count_if(v.rlike(r"^\d+$")).alias("digits"), F.count_if(v.rlike(r"^0\d+$")).alias("leading_zero"), F.min(F.when(v.rlike(r"^\d+$"), F.length(v))).alias("least_width"), F.max(F.when(v.rlike(r"^\d+$"), F.length(v))).alias("most_width"),
-            F.count_if((letters | joined) & day.isNull()).alias("codes"), F.count(us).alias("us_numbers"), F.count(eu).alias("eu_numbers"), F.count_if(core.rlike(US_ONLY)).alias("us_votes"), F.count_if(core.rlike(EU_ONLY)).alias("eu_votes"),
-            F.count_if(us % 1 != 0).alias("us_fractions"), F.count_if(eu % 1 != 0).alias("eu_fractions"),
-            F.count_if(risky & us.isNull()).alias("us_losses"), F.count_if(risky & eu.isNull()).alias("eu_losses"), F.count_if(risky & day.isNull() & ~serial).alias("date_losses"), *[n.alias(k) for k, n in pairs.items()]))
-    found = once.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
-    values = F.array(*[F.struct(F.lit(c).alias("_column"), blank_to_null(F.col(f"`{c}`").cast("string")).alias("v")) for c in columns])
-    distinct = df.select(F.explode(values).alias("p")).select("p.*").filter("v IS NOT NULL").distinct().groupBy("_column").agg(F.count(F.lit(1)).alias("distinct_values"))
-    return found.join(distinct, F.col("column_name") == F.col("_column"), "left").drop("_column").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
+    """One row per column: counts of what its filled values look like.
+
+    Values are counted first, in the tasks and then by one exchange, so that each distinct value of a column is parsed
+    once however often it stands there. Columns without values, of an empty table too, have counts of zero.
+    """
+    values = F.array(*[F.struct(F.lit(i).alias("at"), blank_to_null(F.col(f"`{c}`").cast("string")).alias("v")) for i, c in enumerate(columns)])
+    counted = df.select(F.explode(values).alias("p")).select("p.at", "p.v").filter("v IS NOT NULL").groupBy("at", "v").agg(F.count(F.lit(1)).alias("n"))
+    v, core, serial = F.col("v"), F.regexp_replace("v", r"[^\d.,-]", ""), F.col("v").rlike(r"^\d{5}$")
+    read = counted.select("at", "v", "n", core.alias("core"), any_date(v, serials=False).alias("day"), clean_number(v).alias("us"), clean_number(v, european=True).alias("eu"))
+    day, us, eu, digits = F.col("day"), F.col("us"), F.col("eu"), v.rlike(r"^\d+$")
+    letters = v.rlike("[A-Za-z]") & v.rlike(r"\d") & ~v.rlike(r"^[+-]?[\d.]+[eE][+-]?\d+$")
+    joined = v.rlike(r"^\d+(?:[-/ ]\d+)+$") & ~v.rlike(r"^\d{1,3}(?: \d{3})+$")
+    risky = v.rlike(r"\d") & ~v.rlike(r"^[0.,\s-]*$")
+    pairs = {f"{name}_{order}": pair_date(v, name, pattern).isNotNull() for name in PAIRS for order, pattern in (("month_first", MONTH_FIRST), ("day_first", DAY_FIRST))}
+    tests = {
+        "present": F.lit(True), "dates": day.isNotNull(), "eight_digits": v.rlike(r"^\d{8}$"), "serials": serial, "digits": digits, "leading_zero": v.rlike(r"^0\d+$"),
+        "codes": (letters | joined) & day.isNull(), "us_numbers": us.isNotNull(), "eu_numbers": eu.isNotNull(), "us_votes": F.col("core").rlike(US_ONLY), "eu_votes": F.col("core").rlike(EU_ONLY),
+        "us_fractions": us % 1 != 0, "eu_fractions": eu % 1 != 0, "us_losses": risky & us.isNull(), "eu_losses": risky & eu.isNull(), "date_losses": risky & day.isNull() & ~serial} | pairs
+    width = F.when(digits, F.length(v))
+    found = read.groupBy("at").agg(
+        *[F.sum(F.when(held, F.col("n")).otherwise(0)).alias(k) for k, held in tests.items()],
+        F.min(width).alias("least_width"), F.max(width).alias("most_width"), F.count(F.lit(1)).alias("distinct_values"))
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "at int, column_name string")
+    every = names.join(found, "at", "left").drop("at")
+    return every.fillna(0, [*tests, "distinct_values"])
 
 
 def decide(found: DataFrame) -> DataFrame:
@@ -64,7 +68,7 @@ def decide(found: DataFrame) -> DataFrame:
         .when(uniform & (n > CODE_ROWS), "same width").when((dated >= DATE_SHARE * n) & (col("digits") < n), F.when(col("date_losses") > 0, "would lose values").otherwise("date"))
         .when(numbers("numbers") >= NUMERIC_SHARE * n, numeric).otherwise("text"))
     found = found.withColumn("note", said)
-    order = lambda name: F.when(col(f"{name}_day_first") > col(f"{name}_month_first"), PAIRS[name][2]).otherwise(PAIRS[name][1])
+    order = lambda name: F.when(col(f"{name}_day_first") > col(f"{name}_month_first"), DAY_FIRST).otherwise(MONTH_FIRST)
     kind = F.when(col("note").isin("date", "long", "double"), col("note")).otherwise("string")
     return found.withColumns({"kind": kind, **{name: order(name) for name in PAIRS}})
 
@@ -74,14 +78,13 @@ def typed(df: DataFrame, decided: DataFrame) -> DataFrame:
     rules = {r["column_name"]: r for r in decided.select("column_name", "kind", "european", *PAIRS).collect()}  # a row per column
 
     def cast(c: str) -> Column:
-        rule, value = rules.get(c), F.col(f"`{c}`")
-        if rule is None:
-            return value
-        text = blank_to_null(value.cast("string"))
+        rule, text = rules.get(c), F.col(f"`{c}`")
+        if rule is None or rule["kind"] == "string":
+            return text
         if rule["kind"] == "date":
-            return parse_any_date(text, {name: rule[name] for name in PAIRS}).alias(c)
-        if rule["kind"] in ("long", "double"):
-            return clean_number(text, rule["european"]).cast(rule["kind"]).alias(c)
-        return text.alias(c)
+            return any_date(text, {name: rule[name] for name in PAIRS}).alias(c)
+        return clean_number(text, rule["european"]).cast(rule["kind"]).alias(c)
 
-    return df.select(*[cast(c) for c in df.columns])
+    # stripped in a projection of its own, which stays one since the next looks at each text many times
+    stripped = df.select(*[blank_to_null(F.col(f"`{c}`").cast("string")).alias(c) if c in rules else F.col(f"`{c}`") for c in df.columns])
+    return stripped.select(*[cast(c) for c in df.columns])
