@@ -75,6 +75,8 @@ _SILVER = f"""r AS (SELECT o_orderkey, o_custkey, o_orderkey % 6 AS k, o_orderda
     s AS (SELECT order_number, account, strftime(booked, '%Y-%m-%d') AS booked, amount::VARCHAR AS amount, rate::VARCHAR AS rate, year(booked)::INT AS booked_year, coalesce(named_month, month(booked))::INT AS booked_month, urgent, NULL::VARCHAR AS unmapped,
         concat_ws(',', CASE WHEN b IS NOT NULL AND booked IS NULL THEN 'booked' END, CASE WHEN a IS NOT NULL AND amount IS NULL THEN 'amount' END, CASE WHEN bad_flag THEN 'urgent' END) AS invalid_columns FROM d)"""
 
+_GAPPED = """g AS (SELECT o_orderkey, o_orderstatus, o_custkey, o_orderdate::DATE AS day, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS priority, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice::DECIMAL(18,2) END AS price FROM orders)"""
+
 ORACLES: dict[str, str] = {
     "monthly_rollup": """
         WITH g AS (SELECT n_name, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month, sum(l_extendedprice::DECIMAL(18,2))::DECIMAL(28,2)::VARCHAR AS price, sum(l_discount::DECIMAL(18,2))::DECIMAL(28,2)::VARCHAR AS discount,
@@ -189,4 +191,16 @@ ORACLES: dict[str, str] = {
     "row_change_check": """
         WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS old_rows, count_if(o_orderkey % 7 > 0) + count_if(month(o_orderdate) = 1) AS new_rows FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1)
         SELECT month, new_rows::BIGINT AS new_rows, old_rows, round((new_rows - old_rows) * 100.0 / old_rows, 2)::DOUBLE AS change FROM o WHERE abs(round((new_rows - old_rows) * 100.0 / old_rows, 2)) > 10""",
+    "common_priority": f"""WITH {_GAPPED}, t AS (SELECT o_custkey, priority, count(*) AS times, min(o_orderkey) AS first_key FROM g WHERE priority IS NOT NULL GROUP BY 1, 2)
+        SELECT o_custkey, priority, times FROM t QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY times DESC, first_key) = 1""",
+    "null_findings": f"""WITH {_GAPPED}, n AS (SELECT unnest(['o_orderkey', 'o_orderstatus', 'o_custkey', 'day', 'priority', 'price']) AS column_name, unnest([count(*) - count(o_orderkey), count(*) - count(o_orderstatus), count(*) - count(o_custkey), count(*) - count(day), count(*) - count(priority), count(*) - count(price)]) AS nulls,
+        count(*) AS rows FROM g) SELECT column_name, nulls, round(nulls / rows, 3)::DOUBLE AS rate FROM n WHERE nulls > 0""",
+    "fill_mode": f"""WITH {_GAPPED}, f AS (SELECT o_custkey, (priority IS NOT NULL)::INT + (price IS NOT NULL)::INT + (day IS NOT NULL)::INT AS fill FROM g), t AS (SELECT o_custkey, fill, count(*) AS times FROM f WHERE fill > 0 GROUP BY 1, 2)
+        SELECT o_custkey, fill AS modal_fill FROM t QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY times DESC, fill DESC) = 1""",
+    "fitness": f"WITH {_GAPPED} SELECT o_orderstatus, count(price) AS checks, round(count_if(price > 100000) * 100.0 / nullif(count(price), 0), 2)::DOUBLE AS fitness FROM g GROUP BY 1",
+    "as_text": """SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_totalprice::DECIMAL(18,2)::VARCHAR AS price, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders""",
+    "ranked_candidates": """WITH v AS (SELECT l_suppkey, l_returnflag, sum(l_quantity::BIGINT)::BIGINT AS score FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER w AS nth, score - coalesce(lead(score) OVER w, 0) AS lead FROM v WINDOW w AS (PARTITION BY l_suppkey ORDER BY score DESC, l_returnflag))
+        SELECT l_suppkey, l_returnflag, score, lead FROM r WHERE nth = 1 AND score >= 10 AND lead >= 5""",
+    "division_lookup": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 7 > 0 THEN r_name ELSE '' END AS divisions FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
 }
+ORACLES["outcome_counts"] = f"SELECT outcome, count(*) AS rows FROM ({ORACLES['lookup_resolve']}) GROUP BY 1"

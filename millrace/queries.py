@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, digest, numbers, text
-from millrace.operators import joins, profile, reshape, rollup, totals, typing
+from millrace.operators import joins, profile, reshape, review, rollup, totals, typing
 from millrace.operators.transform import Target, quality, transform
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -395,8 +395,55 @@ def row_change_check(spark, sf_dir):
     return joins.row_changes(new, old, ["month"])
 
 
+def _gapped_orders(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return load(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderstatus", "o_custkey", F.to_date("o_orderdate").alias("day"), F.when(k % 3 > 0, F.col("o_orderpriority")).alias("priority"), F.when(k % 5 > 0, money(F.col("o_totalprice"))).alias("price"))
+
+
+def outcome_counts(spark, sf_dir):
+    return review.status_counts(lookup_resolve(spark, sf_dir), "outcome")
+
+
+def common_priority(spark, sf_dir):
+    return review.most_common(_gapped_orders(spark, sf_dir), "priority", "o_orderkey", ["o_custkey"])
+
+
+def null_findings(spark, sf_dir):
+    return review.null_findings(_gapped_orders(spark, sf_dir))
+
+
+def fill_mode(spark, sf_dir):
+    return review.fill_mode(_gapped_orders(spark, sf_dir), ["priority", "price", "day"], ["o_custkey"])
+
+
+def fitness(spark, sf_dir):
+    return review.fitness(_gapped_orders(spark, sf_dir).withColumn("passed", F.col("price") > 100000), "passed", ["o_orderstatus"])
+
+
+def as_text(spark, sf_dir):
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", money(F.col("o_totalprice")).alias("price"), F.to_date("o_orderdate").alias("day"))
+    return review.as_text(rows)
+
+
+def ranked_candidates(spark, sf_dir):
+    """The return flag that most of a supplier's quantity bears, unless another comes close."""
+    votes = load(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("score"))
+    return review.candidates(votes, ["l_suppkey"], "l_returnflag", "score", 10, 5)
+
+
+def division_lookup(spark, sf_dir):
+    """Nations as centres and regions as divisions; every third customer's code is that of a sub-office."""
+    nations = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    table = nations.select(F.col("n_nationkey").alias("position"), F.col("r_name").alias("division"), F.concat(F.lit("PC"), F.col("n_nationkey").cast("string")).alias("profit_center"))
+    number = F.col("c_nationkey").cast("string")
+    facts = load(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("pc-00"), number, F.lit("_01"))).when(F.col("c_custkey") % 7 > 0, number).alias("code"))
+    return review.divisions(facts, "code", table).select("c_custkey", F.array_join("divisions", ",").alias("divisions"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     monthly_rollup, column_profile_lineitem, column_profile_orders, month_stats, date_role_stats, date_ladder, amount_parse, bool_int_parse, invalid_names, invalid_counts, row_hash,
     unpivot_measures, unpivot_all_years, total_rows_detect, total_column_detect, running_total_check, fill_down, islands, companion_join_left, companion_join_inner, companion_join_right, join_match_stats,
     dup_key_report, lookup_resolve, key_overlap, key_overlap_best, period_overlap, stack_with_provenance, schema_evolve_append, replace_supersede, replace_month, replace_rollup, preview_search_sort,
-    first_samples, role_classify, header_names, pc_pad, name_keys, history_runs, vector_cosine, contracts_rows, empty_columns, null_safe_changes, grain_signals, typed_decisions, typed_columns, silver_transform, silver_quality, unpivot_spread, missing_keys, rows_per_month, row_change_check)}
+    first_samples, role_classify, header_names, pc_pad, name_keys, history_runs, vector_cosine, contracts_rows, empty_columns, null_safe_changes, grain_signals, typed_decisions, typed_columns, silver_transform, silver_quality, unpivot_spread, missing_keys, rows_per_month, row_change_check,
+    outcome_counts, common_priority, null_findings, fill_mode, fitness, as_text, ranked_candidates, division_lookup)}
