@@ -15,9 +15,9 @@ from millrace.llm import byte_bpe, exact_dedup, mixing, simhash, toxicity
 from millrace.llm.common import discard, materialise, table
 
 
-#: Bits in which near copies may differ. Two documents of which a fifth of the five-word shingles differs lie
-#: 8 bits apart in the median, and unrelated ones seldom fewer than 15: README has the shares that each radius finds.
-NEAR_RADIUS = 6
+#: Near copies have a similarity of five-word shingles of about 0.8 or more: of four fingerprints of 64 bits one differs
+#: in at most 8 bits, and all together in at most 44. README has the shares that these bounds find and let in.
+NEAR = {"radius": 8, "width": 5, "parts": 4, "within": 44}
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +38,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by fingerprints at most NEAR_RADIUS bits apart the one with the smallest doc_id.
+    """Of documents linked by fingerprints as near as NEAR says the one with the smallest doc_id.
 
     Texts without words have one fingerprint and are linked. Rows without doc_id stay.
     """
-    return simhash.keep_representatives(docs, NEAR_RADIUS)
+    return simhash.keep_representatives(docs, **NEAR)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

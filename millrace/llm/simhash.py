@@ -9,11 +9,15 @@ slices; fingerprints within the radius agree on at least `s` of them, for some c
 slices. A bucket of one choice that is too large for a task is cut into chunks, and each pair
 of chunks becomes a tile of its own: every pair is compared, no task holds a whole hot bucket,
 and a tile returns a forest of links rather than its pairs.
+
+One fingerprint of 64 bits estimates a similarity coarsely. With several parts, each a fingerprint
+over hashes of its own, a pair is a candidate if any part lies within the radius, and a link if all
+parts together lie within a second bound: more parts find more pairs, and the bound keeps others out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -29,45 +33,62 @@ BITS, SEED = 64, 42
 #: Fingerprints of one chunk; a tile holds two chunks at most.
 CHUNK = 2048
 #: (fingerprint, word of 64 lanes) pairs that are compared at once.
-STEP = 1 << 16
+STEP = 1 << 14
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: bytes | None, width: int = 4) -> int:
-    """SimHash of the word shingles of a text, repeats included; 0 for a text without words."""
+def remixed(h: np.ndarray, part: int) -> np.ndarray:
+    """Hashes of one part: h itself for part 0, else h with the part added and the bits mixed again."""
+    if not part:
+        return h
+    h = h + np.uint64(part * 0x9E3779B97F4A7C15 % 2**64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: bytes | None, width: int = 4, parts: int = 1) -> list[int]:
+    """SimHash of the word shingles of a text, repeats included, one number a part; 0 for a text without words."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return [0] * parts
     joined, width = b" ".join(words), min(width, len(words))
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     starts = (ends - size)[: len(words) - width + 1].tolist()
     digest = xxhash.xxh64_intdigest
     h = np.fromiter([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1:].tolist(), strict=True)], np.uint64, len(starts))
-    ones = np.zeros(BITS, np.int64)
+    ones = np.zeros((parts, BITS), np.int64)
     for at in range(0, len(h), 1 << 16):
-        part = h[at: at + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+        for part in range(parts):
+            bits = np.unpackbits(remixed(h[at: at + (1 << 16)], part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[part] += bits.sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view(np.uint64).ravel().tolist()
+
 
+def part_names(parts: int) -> list[str]:
+    return ["fingerprint", *[f"part_{p}" for p in range(1, parts)]]
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id and fingerprint (long: the same 64 bits, signed) of each row of docs(doc_id, text)."""
+
+def fingerprints(docs: DataFrame, width: int = 4, parts: int = 1) -> DataFrame:
+    """doc_id and the part_names (longs: the same 64 bits, signed) of each row of docs(doc_id, text)."""
+    names = part_names(parts)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").cast(pa.binary())
-            prints = np.fromiter((fingerprint(t.as_py(), width) for t in texts), np.uint64, len(texts))
-            yield pa.record_batch([b.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fingerprint"])
+            prints = np.array([fingerprint(t.as_py(), width, parts) for t in texts], np.uint64).reshape(-1, parts).view(np.int64)
+            yield pa.record_batch([b.column("doc_id"), *[pa.array(prints[:, p].copy()) for p in range(parts)]], ["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(of, "doc_id long, fingerprint long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+        of, f"doc_id long, {', '.join(f'{n} long' for n in names)}")
 
 
-def choices(n: int, radius: int) -> list[list[tuple[int, int]]]:
+def choices(n: int, radius: int, copy: int = 200) -> list[list[tuple[int, int]]]:
     """The (offset, bits) slices of each bucketing: cheapest for n fingerprints.
 
     More slices a key mean smaller buckets but more copies of each fingerprint. A copy costs
-    about as much as 200 comparisons. Every choice finds every pair.
+    about as much as `copy` comparisons. Every choice finds every pair.
     """
     best, plan = float("inf"), []
     for s in range(1, 5):
@@ -75,7 +96,7 @@ def choices(n: int, radius: int) -> list[list[tuple[int, int]]]:
         edges = [BITS * i // cut for i in range(cut + 1)]
         slices = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
         bits = s * (BITS // cut)
-        cost = comb(cut, s) * (1 + n / 2.0**bits / 200)
+        cost = comb(cut, s) * (1 + n / 2.0**bits / copy)
         if cost < best:
             best, plan = cost, [list(c) for c in combinations(slices, s)]
     return plan
@@ -133,10 +154,11 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def forest(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def forest(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: np.ndarray, radius: int, accept: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links of rows within the radius, inside each run starts[i]:ends[i], as a forest.
 
-    second[i] is where the second chunk of the run begins (its end, if it has one chunk).
+    second[i] is where the second chunk of the run begins (its end, if it has one chunk). Of the rows
+    within the radius only those are linked that `accept`, given their places, says yes to.
     """
     lone = second == ends
     low = np.where(lone, starts, second)
@@ -164,7 +186,10 @@ def forest(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: np.nda
         w = offset[of[q]] + first[q] + np.arange(len(q)) - np.repeat(np.cumsum(each[at:to]) - each[at:to], each[at:to])
         a, lane = compare(fps, query[q], w, planes, valid, radius)
         b = row[lane]
-        apart = a != b
+        apart = label[a] != label[b]  # what is linked already needs no second look
+        if accept is not None and apart.any():
+            a, b = a[apart], b[apart]
+            apart = accept(a, b)
         if apart.any():
             label = _join(label, a[apart], b[apart])
         at = to
@@ -172,18 +197,23 @@ def forest(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: np.nda
     return linked, label[linked]
 
 
-def links(prints: DataFrame, radius: int, n: int) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that connect all those within the radius."""
-    fp = F.col("fingerprint")
-    tables = [F.struct(F.lit(t).alias("choice"), _bucket(fp, s).alias("bucket")) for t, s in enumerate(choices(n, radius))]
-    keyed = prints.select("fingerprint", F.explode(F.array(*tables)).alias("k")).select("fingerprint", "k.choice", "k.bucket")
+def links(prints: DataFrame, radius: int, n: int, node: str = "fingerprint", parts: int = 1, within: int | None = None) -> DataFrame:
+    """Links (a, b) between distinct nodes that connect all those with a part within the radius.
+
+    With `within`, all parts together must differ in at most so many bits as well. A bucket holds
+    nodes that agree in slices of one part, the choice's; rows carry all parts.
+    """
+    names, plan = part_names(parts), choices(n, radius, 200 * parts)
+    carried = list(dict.fromkeys([node, *names]))
+    tables = [F.struct(F.lit(p * len(plan) + t).alias("choice"), _bucket(F.col(name), s).alias("bucket")) for p, name in enumerate(names) for t, s in enumerate(plan)]
+    keyed = prints.select(*carried, F.explode(F.array(*tables)).alias("k")).select(*carried, "k.choice", "k.bucket")
     hot = keyed.groupBy("choice", "bucket").count().filter(F.col("count") > CHUNK).select("choice", "bucket", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
     hot = materialise(hot, "hot")
     tiles = keyed.join(small(hot) or hot, ["choice", "bucket"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fingerprint", "choice"), F.col("chunks")).cast("int")
+    mine = F.pmod(F.xxhash64(node, "choice"), F.col("chunks")).cast("int")
     tiles = tiles.withColumn("mine", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
         "choice", "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-        (F.col("mine") > F.col("other")).cast("int").alias("side"), "fingerprint")
+        (F.col("mine") > F.col("other")).cast("int").alias("side"), *carried)
     tiles = tiles.repartition(partitions(prints.sparkSession), "choice", "bucket", "i", "j").sortWithinPartitions("choice", "bucket", "i", "j", "side")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +225,11 @@ def links(prints: DataFrame, radius: int, n: int) -> DataFrame:
             ends = np.r_[starts[1:], key.shape[1]]
             second = starts + np.add.reduceat(1 - t["side"], starts)
             many = (ends - starts > 1) & (second > starts)
-            fps = t["fingerprint"].astype(np.int64).view(np.uint64)
-            a, b = forest(fps, starts[many], ends[many], second[many], radius) if many.any() else (np.empty(0, np.int64),) * 2
-            return pa.record_batch([pa.array(t["fingerprint"][a]), pa.array(t["fingerprint"][b])], ["a", "b"])
+            words = np.stack([t[c].view(np.uint64) for c in names])
+            fps = words[t["choice"] // len(plan), np.arange(words.shape[1])]
+            accept = None if within is None else lambda a, b: np.bitwise_count(words[:, a] ^ words[:, b]).sum(axis=0, dtype=np.int64) <= within
+            a, b = forest(fps, starts[many], ends[many], second[many], radius, accept) if many.any() else (np.empty(0, np.int64),) * 2
+            return pa.record_batch([pa.array(t[node][a]), pa.array(t[node][b])], ["a", "b"])
 
         for b in batches:
             t = {c: b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in b.schema.names}
@@ -244,38 +276,43 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, parts: int = 1, within: int | None = None) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
     Words are runs of other than ASCII white space, with A-Z lower-cased. component_id is the
     smallest doc_id that can be reached over fingerprints that differ in at most `radius` bits;
-    null if the component has no doc_id but null. Null texts count as empty; texts without
-    words have fingerprint 0. Repeated rows are each returned. Columns beside doc_id and text
-    are ignored. An empty table gives an empty result.
+    null if the component has no doc_id but null. With several parts one of them must lie within
+    the radius, and all together within `within` bits; fingerprint is the first part. Null texts
+    count as empty; texts without words have fingerprint 0. Repeated rows are each returned.
+    Columns beside doc_id and text are ignored. An empty table gives an empty result.
     """
     if not 1 <= radius <= 15:
         raise ValueError("radius must lie between 1 and 15")
-    prints = materialise(fingerprints(docs, width), "fingerprints")
-    read = unique = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "unique")
+    names, node = part_names(parts), "fingerprint" if parts == 1 else "node"
+    prints = fingerprints(docs, width, parts)
+    prints = materialise(prints if parts == 1 else prints.withColumn(node, F.xxhash64(*names)), "fingerprints")
+    held = [F.min(c).alias(c) for c in names if c != node]
+    read = unique = materialise(prints.groupBy(node).agg(*held, F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "unique")
     n, rows = unique.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    roots = components(links(unique.select("fingerprint"), radius, n))
-    unique = unique.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", "n", F.coalesce("root", "fingerprint").alias("root"))
+    roots = components(links(unique, radius, n, node, parts, within)).withColumnRenamed("node", "linked")
+    unique = unique.join(roots, F.col(node) == F.col("linked"), "left").select(node, "least", "n", F.coalesce("root", node).alias("root"))
     unique = materialise(unique, "rooted")
     discard(read)
     groups = unique.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    named = materialise(lookup(unique, groups, "root", "members", bounded_share(n)).select("fingerprint", "component_id", "n"), "named")
+    named = materialise(lookup(unique, groups, "root", "members", bounded_share(n)).select(node, "component_id", "n"), "named")
     discard(unique)
-    return lookup(prints, named, "fingerprint", "n", bounded_share(rows)).select(
+    prints = prints.select(*dict.fromkeys(["doc_id", "fingerprint", node]))
+    return lookup(prints, named, node, "n", bounded_share(rows)).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
+def keep_representatives(docs: DataFrame, radius: int = 4, width: int = 4, parts: int = 1, within: int | None = None) -> DataFrame:
     """The rows of docs, with all their columns, without those that a smaller doc_id stands for.
 
     Only the ids of dropped documents travel. Rows without doc_id stay, and so do all rows of a
     doc_id that repeats and represents a component with one of them.
     """
-    found = materialise(near_duplicates(docs, radius, width), "components")
+    found = materialise(near_duplicates(docs, radius, width, parts, within), "components")
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     stay = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     return semi(docs, gone.join(stay, F.col("doc_id") == F.col("_id"), "left_anti"), "doc_id", "left_anti")

@@ -99,6 +99,60 @@ def brute_components(pairs: list[tuple[int | None, int]], radius: int) -> dict[i
     return {p: least[top(p)] for p in prints}
 
 
+def brute_parts(text: str | None, width: int, parts: int) -> tuple[int, ...]:
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", (text or "").encode().lower()) if w]
+    n = min(width, len(words))
+    h = [xxhash.xxh64_intdigest(b" ".join(words[i: i + n]), 42) for i in range(len(words) - n + 1)] if words else []
+
+    def again(x: int, part: int) -> int:
+        x = (x + part * 0x9E3779B97F4A7C15) % 2**64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    hs = [h, *[[again(x, p) for x in h] for p in range(1, parts)]]
+    return tuple(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in each) > len(each)) for each in hs)
+
+
+def brute_wide(pairs: list[tuple[int | None, tuple[int, ...]]], radius: int, within: int) -> dict[tuple[int, ...], int | None]:
+    prints = sorted({p for _, p in pairs})
+    root = {p: p for p in prints}
+
+    def top(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for i, a in enumerate(prints):
+        for b in prints[:i]:
+            apart = [(x ^ y).bit_count() for x, y in zip(a, b, strict=True)]
+            if min(apart) <= radius and sum(apart) <= within:
+                root[top(a)] = top(b)
+    least = {}
+    for i, p in pairs:
+        least[top(p)] = min((x for x in (i, least.get(top(p))) if x is not None), default=None)
+    return {p: least[top(p)] for p in prints}
+
+
+def test_parts_equal_brute_force(spark):
+    r, data = np.random.default_rng(3), []
+    for g in range(12):  # near copies of every similarity, null ids and texts, repeated rows among them
+        base = [f"w{x}" for x in r.integers(0, 5000, int(r.integers(5, 160)))]
+        for c in range(12):
+            words = [w if r.random() > c / 300 else f"other{g}" for w in base]
+            data.append((100 * g + c, " ".join(words)))
+    data += [(None, None), (5000, ""), (5001, "a"), (5002, "A"), (None, data[3][1]), data[7], data[7]]
+    frame = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "'x' AS node", "1 AS part_1")
+    pairs = [(i, brute_parts(t, 5, 4)) for i, t in data]
+    want = brute_wide(pairs, 8, 44)
+    found = simhash.near_duplicates(frame, 8, 5, 4, 44).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1], -9 if x[2] is None else x[2])
+    assert sorted(((f.doc_id, f.fingerprint, f.component_id) for f in found), key=key) == sorted(((i, f"{p[0]:016x}", want[p]) for i, p in pairs), key=key)
+    assert simhash.near_duplicates(frame.limit(0), 8, 5, 4, 44).count() == 0
+    kept = simhash.keep_representatives(frame, 8, 5, 4, 44)
+    assert kept.columns == frame.columns and kept.filter("doc_id = 703").count() == (want[brute_parts(data[87][1], 5, 4)] == 703)
+
+
 def test_near_duplicates_equal_brute_force(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + [(r[0], r[1]) for r in samples.rows()]
     pairs = [(i, brute_fingerprint(t)) for i, t in docs]

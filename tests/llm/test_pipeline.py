@@ -7,7 +7,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from test_dedup import brute_components, brute_fingerprint, normal
+from test_dedup import brute_parts, brute_wide, normal
 
 
 def words(text: str | None) -> int:
@@ -35,8 +35,8 @@ def test_stages(spark):
         least[normal(r.text)] = min(r.doc_id, least.get(normal(r.text), r.doc_id))
     assert sorted(r.doc_id for r in after) == sorted(least.values())
     before, after = kept["near dedup"]
-    pairs = [(r.doc_id, brute_fingerprint(r.text)) for r in before]
-    assert sorted(r.doc_id for r in after) == sorted(set(brute_components(pairs, corpus_pipeline.NEAR_RADIUS).values()))
+    pairs = [(r.doc_id, brute_parts(r.text, 5, 4)) for r in before]
+    assert sorted(r.doc_id for r in after) == sorted(set(brute_wide(pairs, 8, 44).values()))
     before, after = kept["mixing"]
     copies, size = Counter(r.doc_id for r in after), {r.doc_id: words(r.text) for r in before}
     assert set(copies) <= set(size) and max(copies.values()) <= 3
