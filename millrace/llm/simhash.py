@@ -17,6 +17,7 @@ parts together lie within a second bound: more parts find more pairs, and the bo
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import bounded_share, discard, lookup, materialise, partitions, semi, small
 
 BITS, SEED = 64, 42
+#: Bytes of a text whose words are held at once, but for a word that is longer.
+PIECE, BLANK = 1 << 18, re.compile(rb"[\x20\x09-\x0D]")
 #: Fingerprints of one chunk; a tile holds two chunks at most.
 CHUNK = 2048
 #: (fingerprint, word of 64 lanes) pairs that are compared at once.
@@ -47,23 +50,35 @@ def remixed(h: np.ndarray, part: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def pieces(text: bytes) -> Iterator[bytes]:
+    """A text in pieces of about PIECE bytes that end where a word does, so that long texts take no more memory than short ones."""
+    at = 0
+    while at < len(text):
+        gap = BLANK.search(text, at + PIECE)
+        to = gap.end() if gap else len(text)
+        yield text[at:to]
+        at = to
+
+
+def majorities(h: np.ndarray, parts: int) -> np.ndarray:
+    """How many of the hashes set each bit, one row a part."""
+    bits = lambda p: np.unpackbits(remixed(h, p).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.stack([bits(p).sum(axis=0, dtype=np.int64) for p in range(parts)])
+
+
 def fingerprint(text: bytes | None, width: int = 4, parts: int = 1) -> list[int]:
     """SimHash of the word shingles of a text, repeats included, one number a part; 0 for a text without words."""
-    words = (text or b"").lower().split()
-    if not words:
-        return [0] * parts
-    joined, width = b" ".join(words), min(width, len(words))
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(size + 1) - 1
-    starts = (ends - size)[: len(words) - width + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1:].tolist(), strict=True)], np.uint64, len(starts))
-    ones = np.zeros((parts, BITS), np.int64)
-    for at in range(0, len(h), 1 << 16):
-        for part in range(parts):
-            bits = np.unpackbits(remixed(h[at: at + (1 << 16)], part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[part] += bits.sum(axis=0, dtype=np.uint32)
-    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view(np.uint64).ravel().tolist()
+    digest, count, carry, ones = xxhash.xxh64_intdigest, 0, [], np.zeros((parts, BITS), np.int64)
+    for piece in pieces(text or b""):
+        words = carry + piece.lower().split()
+        last = len(words) - width + 1
+        if last > 0:
+            h = np.fromiter((digest(b" ".join(words[i: i + width]), SEED) for i in range(last)), np.uint64, last)
+            count, ones = count + last, ones + majorities(h, parts)
+        carry = words[max(last, 0):]
+    if not count and carry:
+        count, ones = 1, majorities(np.array([digest(b" ".join(carry), SEED)], np.uint64), parts)
+    return np.packbits(2 * ones > count, axis=1, bitorder="little").view(np.uint64).ravel().tolist()
 
 
 def part_names(parts: int) -> list[str]:

@@ -134,6 +134,15 @@ def brute_wide(pairs: list[tuple[int | None, tuple[int, ...]]], radius: int, wit
     return {p: least[top(p)] for p in prints}
 
 
+def test_fingerprint_in_pieces(monkeypatch):
+    r = np.random.default_rng(4)
+    texts = [None, "", " ", "a", " A b\t", "x" * 300, *[" ".join(f"W{x}" for x in r.integers(0, 90, n)) + "  \n" for n in (3, 4, 5, 6, 7, 50, 400)]]
+    for piece in (1, 7, 100, 1 << 18):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        for width in (4, 5):
+            assert [tuple(simhash.fingerprint(None if t is None else t.encode(), width, 4)) for t in texts] == [brute_parts(t, width, 4) for t in texts]
+
+
 def test_parts_equal_brute_force(spark):
     r, data = np.random.default_rng(3), []
     for g in range(12):  # near copies of every similarity, null ids and texts, repeated rows among them
