@@ -17,7 +17,7 @@ from millrace.llm.common import bounded_share, lookup, materialise, small
 from millrace.operators.numbering import numbered
 
 #: Nodes that share a parent, and nodes of a window: a power of ARITY.
-ARITY, BLOCK = 3, 3**7
+ARITY, BLOCK = 3, 3**5
 STEP = "struct<before:binary,after:binary>"
 
 
@@ -101,6 +101,7 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     doc = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
     changed = doc["text"] if tampered is None else tampered
     leaves = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), leaf(doc).alias("digest"), F.when(~changed.eqNullSafe(doc["text"]), leaf(doc | {"text": changed})).alias("tampered"))
+    leaves = materialise(leaves, "hashed")  # texts are read once, whatever sorting needs
     leaves = materialise(numbered(leaves, ["source"], ["doc_id", "digest"], nth="pos").withColumn("tree", field(F.col("source"))), "leaves")
     sizes = leaves.groupBy("tree", "source").agg(F.count(F.lit(1)).alias("n"))
     total = leaves.count()
