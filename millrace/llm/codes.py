@@ -22,7 +22,7 @@ from millrace.llm.common import bounded_share, lookup, materialise
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 #: Side of a cell, in scaled units; cells that are remembered; vectors that are coded at once.
-SIDE, REMEMBERED, AT_ONCE = 16, 200_000, 1024
+SIDE, REMEMBERED, AT_ONCE = 24, 200_000, 1024
 #: Scaled components beyond this can't be summed exactly in 64 bits.
 LIMIT = 1 << 27
 
