@@ -1,5 +1,7 @@
 """DuckDB SQL with the same rows as the queries of the same name."""
 
+from millrace import sheet_queries
+
 _PARSE = r"""CASE WHEN regexp_matches(t, '^\d{4}-\d{1,2}-\d{1,2}( \d{1,2}:\d{2}(:\d{2})?)?$') THEN try_strptime(split_part(t, ' ', 1), '%Y-%m-%d') WHEN regexp_matches(t, '^\d{1,2}/\d{1,2}/\d{4}$') THEN try_strptime(t, '%m/%d/%Y')
     WHEN regexp_matches(t, '^\d{1,2}-\d{1,2}-\d{4}$') THEN try_strptime(t, '%m-%d-%Y') WHEN regexp_matches(t, '^\d{8}$') THEN try_strptime(t, '%Y%m%d') WHEN regexp_matches(t, '^\d{5}$') THEN (DATE '1899-12-30' + t::INT)::TIMESTAMP END"""
 #: A text as an exact amount: marks, digits with groups of three, parentheses and per cent.
@@ -204,3 +206,4 @@ ORACLES: dict[str, str] = {
     "division_lookup": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 7 > 0 THEN r_name ELSE '' END AS divisions FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
 }
 ORACLES["outcome_counts"] = f"SELECT outcome, count(*) AS rows FROM ({ORACLES['lookup_resolve']}) GROUP BY 1"
+ORACLES |= sheet_queries.ORACLES

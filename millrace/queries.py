@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace import sheet_queries
 from millrace.functions import dates, digest, numbers, text
 from millrace.operators import joins, profile, reshape, review, rollup, totals, typing
 from millrace.operators.transform import Target, quality, transform
@@ -447,3 +448,4 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     dup_key_report, lookup_resolve, key_overlap, key_overlap_best, period_overlap, stack_with_provenance, schema_evolve_append, replace_supersede, replace_month, replace_rollup, preview_search_sort,
     first_samples, role_classify, header_names, pc_pad, name_keys, history_runs, vector_cosine, contracts_rows, empty_columns, null_safe_changes, grain_signals, typed_decisions, typed_columns, silver_transform, silver_quality, unpivot_spread, missing_keys, rows_per_month, row_change_check,
     outcome_counts, common_priority, null_findings, fill_mode, fitness, as_text, ranked_candidates, division_lookup)}
+QUERIES |= sheet_queries.QUERIES

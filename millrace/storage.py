@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A lookup table with at most this many rows and bytes may be broadcast; both are counted first.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +30,13 @@ def materialise(df: DataFrame, name: str = "part") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if a count finds it within the bounds, else df."""
+    wide = sum((F.octet_length(F.col(f"`{f.name}`").cast("string")) for f in df.schema if f.dataType.typeName() in ("string", "binary", "array", "map", "struct")), F.lit(0))
+    rows, size = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(F.coalesce(wide, F.lit(0)) + 8 * len(df.columns))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
+
+
 def free_names(taken: list[str], *names: str) -> list[str]:
     """names, each with underscores in front until no column is called so, whatever the case."""
     held, out = {t.lower() for t in taken}, []
