@@ -35,8 +35,8 @@ STRETCH_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+
 #: Stretches that no match of the pattern crosses: a run of other characters with one blank
 #: before it, and what is left of a run of blanks.
 STRETCH = re.compile(rf" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
-#: Stretches are remembered in two generations of this many.
-GENERATION = 400_000
+#: Stretches are remembered in two generations of this many, and so many pairs of tokens: about 70 MB in each worker while a task runs.
+GENERATION, PAIRS = 100_000, 200_000
 
 
 class Encoder:
@@ -57,7 +57,7 @@ class Encoder:
         self.shorter = [-1] * len(self.token)
         for b, i in ranks.items():
             self.shorter[i] = next((ranks[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in ranks), -1)
-        self.compatible = lru_cache(maxsize=400_000)(self._compatible)
+        self.compatible = lru_cache(maxsize=PAIRS)(self._compatible)
         self.memo = Memo(self._stretch, GENERATION)
         self.decimal = list(map(str, range(len(self.token))))
 
@@ -83,18 +83,19 @@ class Encoder:
         ids = [i for _, (_, i) in self.automaton.iter_long(latin)]
         if all(map(compatible, ids, ids[1:])):  # always the longest token: no step back was needed
             return ids
-        length, shorter = self.length, self.shorter
-        longest, known = [-1] * n, [0] * n
-        for end, (size, token) in self.automaton.iter(latin):
-            if size > known[end + 1 - size]:
-                known[end + 1 - size], longest[end + 1 - size] = size, token
-        open_at, ids, at, candidate = [True] * (n + 1), [], 0, longest[0]
-        longest.append(-1)
-        last = -1
+        length, shorter, from_ = self.length, self.shorter, self.automaton.iter_long
+        open_at, longest = bytearray(b"\1") * (n + 1), {n: -1}  # the longest token at each byte that the walk comes to
+        start = 0
+        for token in ids:
+            longest[start] = token
+            start += length[token]
+        ids, at, last, candidate = [], 0, -1, ids[0]
         while at < n:
             end = at + length[candidate]
             if open_at[end] and (last < 0 or compatible(last, candidate)):
                 ids.append(candidate)
+                if end not in longest:
+                    longest[end] = next(from_(latin, end))[1][1]
                 last, at, candidate = candidate, end, longest[end]
             elif shorter[candidate] >= 0:
                 candidate = shorter[candidate]
@@ -113,11 +114,16 @@ class Encoder:
             return list(self._stretch(text))
         return list(chain.from_iterable(map(self.memo.__getitem__, STRETCH.findall(text))))
 
+    def forget(self) -> None:
+        """Give the memory of what was remembered back."""
+        self.memo = Memo(self._stretch, GENERATION)
+        self.compatible.cache_clear()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _encoder(rank_file: bytes, pattern: str) -> Encoder:
     ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, rank_file.splitlines())}
     return Encoder(ranks, pattern)
@@ -134,10 +140,11 @@ def _per_text(docs: DataFrame, rank_file: bytes, pattern: str, schema: str, of)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shared.value, pattern)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, 250):
+                part = b.slice(at, 250)
                 columns = of(enc, [t.as_py() or "" for t in part.column("text")])
                 yield pa.record_batch([part.column("doc_id"), *columns.values()], ["doc_id", *columns])
+        enc.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
