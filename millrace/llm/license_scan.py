@@ -1,12 +1,11 @@
 """License scans with a positional index of rare words.
 
-Every template is a run of words with key phrases that must stand in it. Document frequencies of
-the templates' words over the whole corpus say which of them are rare. An index maps rare words to
-postings (template, place in it). A file's highest-IDF licence words are looked up there; each place of such a word, less
-the posting's, is one where the template could begin. The places that the template's rare words agree on
-are verified: the key phrases must stand there word by word, and the share of the template's
-IDF that stands at its relative positions is the score of the place. DataFrame functions only; the
-corpus-wide counts are one row per template word.
+Every template is a run of words with key phrases that must stand in it. Document frequencies of the templates' words over the whole
+corpus give their IDF. A template may stand in a file only if the file holds all words of its key phrases; of the file's licence words, the two of
+highest IDF of each such template are looked up in an index of postings (template, place in it). Each place of a word in the file, less the
+posting's, is one where the template could begin; the two posting lists are intersected, as whole numbers that hold template and
+start. What is left is verified: the key phrases must stand there word by word, and the share of the template's IDF that stands at its relative
+positions is the score of the place. DataFrame functions only; the corpus-wide counts are one row per template word. Work grows with a text's length.
 """
 
 from __future__ import annotations
@@ -20,8 +19,10 @@ from pyspark.sql import functions as F
 #: Between words: ASCII that is neither digit nor letter, of text whose A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words of a template that are looked up, and the least score of a place that gives a label.
-RARE, LEAST = 3, 0.6
+#: Words of a template whose postings are intersected, and the least score of a place that gives a label.
+RARE, LEAST = 2, 0.6
+#: A posting list holds template * SPAN + start + SHIFT; starts may lie before the text.
+SPAN, SHIFT = 1 << 40, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -104,39 +105,40 @@ def rarest(t: Template, idf: dict[str, float]) -> list[tuple[str, int]]:
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """docs(doc_id, text) with n_words and places: array of (label, base, start, score), by start and label.
 
-    The index maps a word to postings (template, offset). It holds each template's highest-IDF key word;
-    every place of such a word in a file, less the offset, is a candidate start, and the template's next rare words must
-    stand at theirs. What is left is verified phrase by phrase and scored by the share of the template's IDF
-    that stands where it should; base templates score 1. The expressions are as many for one template as for hundreds.
+    A place must hold its template's key phrases, which are looked for where the postings of their two rarest words agree; its score is the share of
+    the template's IDF that stands where it should, 1 for base templates. The expressions are as many for one template as for hundreds.
 
     Each row of docs is returned once, whatever repeats. Null texts count as empty. Columns beside the
     two are dropped. An empty table gives no rows. Templates' words are ASCII.
     """
     idf = document_frequencies(docs, templates)
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for number, t in enumerate(templates):
-        (word, at), *_ = rarest(t, idf)
-        postings.setdefault(word, []).append((number, at))
-    anchors = sorted(postings)
-    pair = lambda n, at: F.struct(F.lit(n).alias("template"), F.lit(at).alias("at"))
-    index = F.create_map(*[c for w in anchors for c in (F.lit(w), F.array(*[pair(n, at) for n, at in postings[w]]))])
-    step = lambda at, word: F.struct(F.lit(at).alias("at"), F.lit(word).alias("word"))
-    others = F.array(*[F.array(*[step(at, w) for w, at in (rarest(t, idf)[1:] or rarest(t, idf))]) for t in templates])
+    ranked = [rarest(t, idf) for t in templates]
+    lists: list[dict[str, list[int]]] = [{}, {}]  # word to postings, of the rarest word of each template and of the one after it
+    for number, found in enumerate(ranked):
+        for held, (word, at) in zip(lists, (found * 2)[:2], strict=True):
+            held.setdefault(word, []).append(number * SPAN + SHIFT - at)
+    index = [F.create_map(*[c for w, codes in held.items() for c in (F.lit(w), F.array(*[F.lit(k).cast("long") for k in codes]))]) for held in lists]
+    anchors = sorted({w for held in lists for w in held})
+    needs = F.array(*[F.struct(_texts(sorted({w for _, key in t.phrases() for w in key})).alias("words"), _texts([w for w, _ in found]).alias("rare")) for t, found in zip(templates, ranked, strict=True)])
+    licence_words = _texts(sorted({w for t in templates for _, key in t.phrases() for w in key}, key=lambda w: (-idf[w], w)))
     keys = F.array(*[F.array(*[F.struct(F.lit(at).alias("at"), _texts(key).alias("words")) for at, key in t.phrases()]) for t in templates])
     worth = F.array(*[F.array(*[F.struct(F.lit(w).alias("word"), F.lit(idf[w] / sum(idf[v] for v in t.words)).alias("share")) for w in t.words]) for t in templates])
     labels, bases = _texts([t.label for t in templates]), F.array(*[F.lit(t.base) for t in templates])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lowered(F.col("text")).alias("_text"))
     may = F.lit(False)
-    for a in anchors:
+    for a in sorted({w for w in lists[0]}):
         may = may | F.contains("_text", F.lit(a))
     rows = rows.select("doc_id", F.regexp_count("_text", F.lit(WORD)).cast("long").alias("n_words"), F.when(may, F.array_remove(F.split("_text", GAP), "")).alias("_words"))
-    rows = rows.withColumn("_hits", F.array_compact(F.transform("_words", lambda w, i: F.when(w.isin(anchors), i))))
-    words = F.col("_words")
-    starts = F.flatten(F.transform("_hits", lambda i: F.transform(F.element_at(index, F.get(words, i)), lambda p: F.struct(p["template"].alias("template"), (i - p["at"]).alias("start")))))
-    agrees = lambda c: F.forall(F.get(others, c["template"]), lambda o: F.when(c["start"] + o["at"] >= 0, F.get(words, c["start"] + o["at"]) == o["word"]).otherwise(False))
+    words, own = F.col("_words"), F.col("_own")
+    rows = rows.withColumn("_own", F.array_intersect(licence_words, words))
+    rows = rows.withColumn("_look", F.flatten(F.transform(F.filter(needs, lambda t: F.forall(t["words"], lambda w: F.array_contains(own, w))), lambda t: t["rare"])))
+    rows = rows.withColumn("_hits", F.when(F.size("_look") > 0, F.array_compact(F.transform("_words", lambda w, i: F.when(w.isin(anchors) & F.array_contains("_look", w), i)))))
+    starts = lambda held: F.flatten(F.array_compact(F.transform("_hits", lambda i: F.transform(F.try_element_at(held, F.get(words, i)), lambda k: k + i))))
+    rows = rows.withColumn("_starts", F.array_intersect(starts(index[0]), starts(index[1])))
+    place = lambda k: F.struct((k / SPAN).cast("int").alias("template"), (k % SPAN - SHIFT).cast("int").alias("start"))
     stands = lambda c: F.forall(F.get(keys, c["template"]), lambda k: F.when(c["start"] + k["at"] >= 0, F.slice(words, F.greatest(c["start"] + k["at"], F.lit(0)) + 1, F.size(k["words"])) == k["words"]).otherwise(False))
-    rows = rows.withColumn("_starts", F.filter(F.filter(F.array_distinct(starts), lambda c: F.coalesce(agrees(c), F.lit(False))), stands))
+    rows = rows.withColumn("_starts", F.filter(F.transform("_starts", place), stands))
 
     def score(c: Column) -> Column:
         shares = F.transform(F.get(worth, c["template"]), lambda w, i: F.when(F.when(c["start"] + i >= 0, F.get(words, c["start"] + i)) == w["word"], w["share"]).otherwise(0.0))
