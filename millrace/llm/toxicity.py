@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from millrace.llm.common import discard, materialise
 
 ORDERS = (3, 4, 5)
-#: Bound of the fit: so many labelled documents.
-MAX_DOCS = 4_000
+#: Bounds of the fit: so many labelled documents, of so many characters together.
+MAX_DOCS, MAX_CHARS = 4_000, 16_000_000
 #: Bits of a hashed n-gram; a model is one number for each, 16 MB.
 BITS = 22
 #: Pseudo-documents behind each ratio, spread over the classes by their size, and the L2 penalty.
 SMOOTHING, STRENGTH = 100.0, 1e-5
+#: Strength of the belief that scores need no other slope than 1 and no shift, in calibration.
+PRIOR = (4.0, 1.0)
 #: Texts are read in blocks of this many characters, which overlap by the longest n-gram.
 BLOCK = 1 << 20
 
@@ -80,14 +82,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = MAX_DOCS) -> DataFrame:
-    """text and toxic of at most `most` labels' documents that aren't held out.
+    """text, toxic and order (a hash) of at most `most` labels' documents that aren't held out.
 
     The labels of smallest hash are taken, so that the choice is random but fixed. They are few
     enough to broadcast, and no text is shuffled. Null and contradictory labels are left out.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("_low")).filter("toxic = _low")
-    chosen = known.select(F.col("doc_id").alias("_id"), (F.col("toxic").cast("int") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    chosen = known.select(F.col("doc_id").alias("_id"), (F.col("toxic").cast("int") > 0).cast("int").alias("toxic"), F.xxhash64("doc_id").alias("order")).orderBy("order", "_id").limit(most)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.coalesce("text", F.lit("")).alias("text"), "toxic", "order")
 
 
 def log_ratios(rows: list[np.ndarray], toxic: np.ndarray, size: int, smoothing: float) -> np.ndarray:
@@ -100,7 +102,7 @@ def log_ratios(rows: list[np.ndarray], toxic: np.ndarray, size: int, smoothing:
         (t if y else c)[row] += 1
     n_toxic = toxic.sum()
     added = smoothing / len(toxic)
-    return np.log((t / n_toxic + added) / (c / (len(toxic) - n_toxic) + added))
+    return np.log((t / max(n_toxic, 1) + added) / (c / max(len(toxic) - n_toxic, 1) + added))
 
 
 def logistic(rows: list[np.ndarray], toxic: np.ndarray, scale: np.ndarray, strength: float, epochs: int = 30, tolerance: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -139,24 +141,26 @@ def logistic(rows: list[np.ndarray], toxic: np.ndarray, scale: np.ndarray, stren
     return weights, bias
 
 
-def calibrate(z: np.ndarray, toxic: np.ndarray, steps: int = 100) -> tuple[float, float]:
-    """Slope (positive) and shift of the logistic curve through (z, toxic), by Newton's method with a small penalty."""
-    spread = float(z.std()) or 1.0
-    x, w, penalty = np.column_stack([z / spread, np.ones(len(z))]), np.zeros(2), np.array([1e-2, 1e-6])
+def calibrate(z: np.ndarray, toxic: np.ndarray, prior: tuple[float, float] = PRIOR, steps: int = 100) -> tuple[float, float]:
+    """Slope (positive) and shift of the logistic curve through (z, toxic), by Newton's method.
+
+    `prior` weighs the belief in slope 1 and shift 0: few scores leave them about there, many settle them.
+    """
+    x, w, mean, penalty = np.column_stack([z, np.ones(len(z))]), np.array([1.0, 0.0]), np.array([1.0, 0.0]), np.array(prior)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(penalty), x.T @ (p - toxic) + penalty * w)
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(penalty), x.T @ (p - toxic) + penalty * (w - mean))
         w -= step * min(1.0, 2 / max(1e-12, float(np.abs(step).max())))
         if np.abs(step).max() < 1e-9:
             break
-    return max(w[0], 1e-6) / spread, w[1]
+    return max(w[0], 1e-6), w[1]
 
 
-def learn(rows: list[np.ndarray], toxic: np.ndarray, smoothing: float = SMOOTHING, strength: float = STRENGTH, **options: float) -> Model:
+def learn(rows: list[np.ndarray], toxic: np.ndarray, smoothing: float = SMOOTHING, strength: float = STRENGTH, prior: tuple[float, float] = PRIOR, **options: float) -> Model:
     """The model of feature lists and their labels: ratios, regression and calibration.
 
     Without toxic or without clean documents the model is a constant. Calibration takes the scores that each half
-    gets from a fit on the other; with fewer than 20 documents of a class there is none.
+    gets from a fit on the other, whatever their number, and shrinks to none as they get fewer.
     """
     n, n_toxic = len(rows), int(toxic.sum())
     if not 0 < n_toxic < n:
@@ -172,37 +176,45 @@ def learn(rows: list[np.ndarray], toxic: np.ndarray, smoothing: float = SMOOTHIN
         own = [rows[i] for i in which]
         return logistic(own, toxic[which], log_ratios(own, toxic[which], len(features), smoothing), strength, **options)
 
-    slope, shift = 1.0, 0.0
-    if min(n_toxic, n - n_toxic) >= 20:
-        half, z = np.empty(n, bool), np.empty(n)
-        for y in (0, 1):  # every other document of each class
-            members = np.flatnonzero(toxic == y)
-            half[members] = np.arange(len(members)) % 2 == 0
-        for side in (True, False):
-            weights, bias = fitted(np.flatnonzero(half != side))
+    half, z = np.empty(n, bool), np.zeros(n)
+    for y in (0, 1):  # every other document of each class
+        members = np.flatnonzero(toxic == y)
+        half[members] = np.arange(len(members)) % 2 == 0
+    for side in (True, False):
+        if (other := np.flatnonzero(half != side)).size:
+            weights, bias = fitted(other)
             for i in np.flatnonzero(half == side):
                 z[i] = weights[rows[i]].sum() + bias
-        slope, shift = calibrate(z, toxic.astype(float))
+    slope, shift = calibrate(z, toxic.astype(float), prior)
     weights, bias = fitted(np.arange(n))
     full = np.zeros(1 << BITS, np.float32)
     full[features] = weights * slope
     return Model(full, bias * slope + shift)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_DOCS, **options: float) -> Model:
-    """Fit on a bounded sample (at most `most` labelled documents).
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_DOCS, most_chars: int = MAX_CHARS, **options: float) -> Model:
+    """Fit on a bounded sample: at most `most` labelled documents with at most `most_chars` characters together.
 
-    Tasks turn the sample's whole texts into lists of features, whose files the driver reads one partition after
-    the other: at most `most` lists. Labels without a document, and an empty table, leave a constant model.
+    Documents are taken whole, in the order of a hash, if they still fit in. Tasks turn texts into lists of features and write them; the driver reads
+    the lists of those taken, three numbers a character at most, so its memory depends on the bounds alone. Labels without a document, and an empty
+    table, leave a constant model.
     """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for b in batches:
-            found = [np.sort(reader.present(x)).tobytes() for x in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("toxic"), pa.array(found, pa.binary())], ["toxic", "features"])
-
-    held = materialise(sample(docs, labels, most).mapInArrow(read, "toxic int, features binary"), "features")
-    found = sorted(((np.frombuffer(r["features"], np.uint32), r["toxic"]) for r in held.toLocalIterator()), key=lambda p: (len(p[0]), p[0].tobytes(), p[1]))  # the same order in every run
+            texts = b.column("text").to_pylist()
+            found = [np.sort(reader.present(x)).tobytes() for x in texts]
+            yield pa.record_batch([b.column("order"), pa.array(list(map(len, texts)), pa.int64()), b.column("toxic"), pa.array(found, pa.binary())], ["order", "chars", "toxic", "features"])
+
+    held = materialise(sample(docs, labels, most).mapInArrow(read, "order long, chars long, toxic int, features binary"), "features")
+    room, taken = most_chars, []
+    for r in held.groupBy("order").agg(F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("n")).orderBy("order").collect():  # `most` at most
+        if r["chars"] <= room:
+            room -= r["chars"]
+            taken.append((r["order"],))
+    spark = docs.sparkSession
+    chosen = held.join(F.broadcast(spark.createDataFrame(taken, "order long")), "order", "left_semi")
+    found = sorted(((np.frombuffer(r["features"], np.uint32), r["toxic"]) for r in chosen.select("features", "toxic").toLocalIterator()), key=lambda p: (len(p[0]), p[0].tobytes(), p[1]))  # the same order in every run
     discard(held)
     return learn([f for f, _ in found], np.array([y for _, y in found], np.int64), **options)
 
