@@ -230,7 +230,8 @@ def write(docs: DataFrame, definition: str, end_id: int, path: str) -> None:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ROW)
     # recipes, a fifteenth of the bytes, ride along: to write them apart first costs more than to exchange them
-    rows = rows.repartition(F.coalesce("hash", "root")).mapInArrow(once, ROW)
+    # and are dealt one by one, for any number of documents may be equal
+    rows = rows.repartition(F.coalesce("hash", F.monotonically_increasing_id().cast("string").cast("binary"))).mapInArrow(once, ROW)
     rows.write.partitionBy("kind").parquet(f"{path}/raw")
     raw = _raw(spark, path)
 

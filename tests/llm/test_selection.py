@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -175,12 +176,30 @@ def test_fit_equals_plain_gradient_descent():
     for _ in range(60_000):
         w -= rate * (z.T @ (1 / (1 + np.exp(-z @ w)) - y) / len(y) + strength * w)
     reader = toxicity.Reader()
-    model = toxicity.learn([np.sort(reader.present(t)) for t in texts], y, a, strength, epochs=3000, tolerance=1e-12)
+    model = toxicity.learn([np.sort(reader.present(t)) for t in texts], y, a, strength, (1e12, 1e12), epochs=3000, tolerance=1e-12)
     for t in [*texts, "bad tree", "other things", ""]:
         want = float(sum(w[i] * ratio[i] for i, f in enumerate(names) if f in brute_features(t)) + w[-1])
         assert model.score(t, reader) == pytest.approx(1 / (1 + math.exp(-want)), abs=1e-4)
 
 
+def test_calibration_shrinks_to_none_without_a_switch():
+    """Twice the slope is true: few scores leave it near 1, many find it, and one more never jumps."""
+    r = np.random.default_rng(5)
+    z = r.normal(0, 2, 4000)
+    y = (r.random(4000) < 1 / (1 + np.exp(-2 * z))).astype(float)
+    slopes = np.array([toxicity.calibrate(z[:n], y[:n])[0] for n in [0, 1, *range(2, 80), 4000]])
+    assert slopes[0] == 1 and abs(slopes[1] - 1) < 0.2 and slopes[-1] == pytest.approx(2, abs=0.2)
+    assert np.abs(np.diff(slopes[:-1])).max() < 0.2
+
+
+def test_a_bounded_number_of_characters_is_fitted(spark):
+    docs = spark.createDataFrame([(i, ("bad vile " if i % 2 else "good calm ") * (10_000 if i == 5 else 3)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, most_chars=2_000)
+    assert all((r.score > 0.5) == bool(r.doc_id % 2) for r in toxicity.score(docs, model).collect())
+    assert {round(r.score, 6) for r in toxicity.score(docs, toxicity.fit(docs, labels, most_chars=0)).collect()} == {0.0}
+
+
 def test_toxicity_without_labels_and_with_odd_rows(spark):
     labels = spark.createDataFrame([(None, 1), (4, None), (7, 1), (7, 0)], "doc_id long, toxic int")
     model = toxicity.fit(samples.frame(spark), labels)
@@ -310,3 +329,13 @@ def test_search_skips_blocks_and_stays_exact(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, sf_dir, name):
     assert oracle.of_frame(queries.QUERIES[name](spark, sf_dir)) == oracle.of_sql(oracle.connect(sf_dir), queries.ORACLES[name])
+
+
+def test_long_texts_full_of_places_take_linear_time(spark):
+    """Twice 40,000 places: quadratic work took a minute for the first and four for both."""
+    df = spark.createDataFrame([(1, "mit license " * 40_000), (2, "general public license; " * 40_000)], "doc_id long, text string")
+    license_scan.digest(license_scan.scan(df)).collect()
+    began = time.time()
+    found = license_scan.digest(license_scan.scan(df)).orderBy("doc_id").collect()
+    assert time.time() - began < 20
+    assert [(r.n_words, r.n_base, r.first_word, r.last_word, r.labels) for r in found] == [(80_000, 40_000, 0, 79_998, "mit"), (120_000, 40_000, 0, 119_997, "gpl")]
