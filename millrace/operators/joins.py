@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import code_number, given, join_key, name_key
+from millrace.storage import free_names
 
 #: Fixed value: the least share of a column's values that must be found.
 OVERLAP_MIN = 0.5
@@ -20,12 +21,13 @@ def companion_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]
     """
     if how == "right":
         return companion_join(right, left, [(b, a) for a, b in keys], prefix, "left", ignore_case, pair)
+    pair_name, *right_keys = free_names([*left.columns, *[f"{prefix}.{c}" for c in right.columns]], "_pair", *[f"_right_{i}" for i in range(len(keys))])
     other = right.select(
-        *[join_key(F.col(f"`{b}`"), ignore_case).alias(f"_right_{i}") for i, (_, b) in enumerate(keys)],
-        *([F.col(pair).alias("_pair")] if pair else []), *[F.col(f"`{c}`").alias(f"{prefix}.{c}") for c in right.columns])
-    on = [join_key(F.col(f"`{a}`"), ignore_case) == F.col(f"_right_{i}") for i, (a, _) in enumerate(keys)]
-    on += [F.col(pair) == F.col("_pair")] if pair else []
-    return left.join(other, on, how).drop("_pair", *[f"_right_{i}" for i in range(len(keys))])
+        *[join_key(F.col(f"`{b}`"), ignore_case).alias(name) for name, (_, b) in zip(right_keys, keys, strict=True)],
+        *([F.col(f"`{pair}`").alias(pair_name)] if pair else []), *[F.col(f"`{c}`").alias(f"{prefix}.{c}") for c in right.columns])
+    on = [join_key(F.col(f"`{a}`"), ignore_case) == F.col(name) for name, (a, _) in zip(right_keys, keys, strict=True)]
+    on += [F.col(f"`{pair}`") == F.col(pair_name)] if pair else []
+    return left.join(other, on, how).drop(pair_name, *right_keys)
 
 
 def match_stats(joined: DataFrame, witness: str) -> DataFrame:
@@ -35,8 +37,9 @@ def match_stats(joined: DataFrame, witness: str) -> DataFrame:
 
 def first_per_key(df: DataFrame, keys: list[str | Column], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order, which must be total for reruns to agree."""
+    (place,) = free_names(df.columns, "_rank")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    return df.withColumn(place, rank).filter(F.col(place) == 1).drop(place)
 
 
 def resolve(facts: DataFrame, reference: DataFrame, name: str, number: str, code: str | None = None) -> DataFrame:

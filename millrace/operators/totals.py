@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.numbers import clean_number
+from millrace.functions.numbers import bare_number
 from millrace.functions.text import blank_to_null
 
 #: Least share of rows that a total column must agree on, and tolerances.
 TOTAL_SHARE, TOLERANCE, RELATIVE = 0.95, 0.01, 1e-6
 #: Fixed value: least share of a column's values that are numbers.
-NUMERIC_SHARE = 0.9
+NUMERIC_SHARE = 0.95
 
 
 def close(a: Column, b: Column) -> Column:
@@ -61,13 +61,13 @@ def total_rows(df: DataFrame, group: list[str], order: str, measures: list[str])
 def grain(df: DataFrame, columns: list[str], group: list[str], order: str, keyed: bool = False, dated: bool = False, numeric: float = NUMERIC_SHARE) -> DataFrame:
     """Whether a table of texts holds aggregated figures: one row of evidence and the decision.
 
-    A column is a measure if `numeric` of its filled values are numbers. Totals are a total column or total rows; the table is aggregated if it has
+    A column is a measure if `numeric` of its filled values are numbers; a currency mark makes a value none. Totals are a total column or total rows; the table is aggregated if it has
     totals, as many measures as other columns or more, no key (`keyed`) and no date in every row (`dated`).
     """
     filled = lambda c: blank_to_null(F.col(f"`{c}`").cast("string"))
-    shares = df.agg(*[(F.count(clean_number(filled(c))) / F.nullif(F.count(filled(c)), F.lit(0))).alias(c) for c in columns]).first()
+    shares = df.agg(*[(F.count(bare_number(filled(c))) / F.nullif(F.count(filled(c)), F.lit(0))).alias(c) for c in columns]).first()
     measures = [c for c in columns if (shares[c] or 0) >= numeric]
-    typed = df.select(*[F.col(f"`{g}`") for g in dict.fromkeys([*group, order]) if g not in measures], *[clean_number(filled(c)).alias(c) for c in measures])
+    typed = df.select(*[F.col(f"`{g}`") for g in dict.fromkeys([*group, order]) if g not in measures], *[bare_number(filled(c)).alias(c) for c in measures])
     total = [r["measure"] for r in total_columns(typed, measures).filter("is_total").collect()] if measures else []  # a row per measure
     plain = [m for m in measures if m not in total]
     rows = total_rows(typed, group, order, plain).agg(F.count_if("is_total").alias("total_rows")) if plain else df.limit(0).agg(F.count(F.lit(1)).alias("total_rows"))

@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.dates import DAY_FIRST, MONTH_FIRST, PAIRS, any_date, pair_date
+from millrace.functions.headers import names_date, names_identifier
 from millrace.functions.numbers import EU_ONLY, US_ONLY, clean_number
 from millrace.functions.text import blank_to_null
 
 # Shares of values that make a column one of dates or numbers, of distinct values that make a code, the
-# rows beyond which same-width numbers are codes, and words of headers that name identifiers or dates.
+# rows beyond which same-width numbers are codes, and the serials of the days of 1900 to 2100.
 DATE_SHARE, NUMERIC_SHARE, CODE_SHARE, CODE_ROWS = 0.6, 0.6, 0.9, 10
-ID_HEADER, DATE_HEADER = r"(?i)(^|[^a-z])(id|no|num|number|code|key|policy)([^a-z]|$)", r"(?i)(date|day|dt([^a-z]|$))"
+SERIALS = (2, 73415)
 
 
 def evidence(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -34,7 +35,7 @@ def evidence(df: DataFrame, columns: list[str]) -> DataFrame:
     risky = v.rlike(r"\d") & ~v.rlike(r"^[0.,\s-]*$")
     pairs = {f"{name}_{order}": pair_date(v, name, pattern).isNotNull() for name in PAIRS for order, pattern in (("month_first", MONTH_FIRST), ("day_first", DAY_FIRST))}
     tests = {
-        "present": F.lit(True), "dates": day.isNotNull(), "eight_digits": v.rlike(r"^\d{8}$"), "serials": serial, "digits": digits, "leading_zero": v.rlike(r"^0\d+$"),
+        "present": F.lit(True), "dates": day.isNotNull(), "eight_digits": v.rlike(r"^\d{8}$"), "serials": serial, "day_serials": serial & v.try_cast("int").between(*SERIALS), "digits": digits, "leading_zero": v.rlike(r"^0\d+$"),
         "codes": (letters | joined) & day.isNull(), "us_numbers": us.isNotNull(), "eu_numbers": eu.isNotNull(), "us_votes": F.col("core").rlike(US_ONLY), "eu_votes": F.col("core").rlike(EU_ONLY),
         "us_fractions": us % 1 != 0, "eu_fractions": eu % 1 != 0, "us_losses": risky & us.isNull(), "eu_losses": risky & eu.isNull(), "date_losses": risky & day.isNull() & ~serial} | pairs
     width = F.when(digits, F.length(v))
@@ -49,7 +50,7 @@ def evidence(df: DataFrame, columns: list[str]) -> DataFrame:
 def decide(found: DataFrame) -> DataFrame:
     """found with kind (string, date, long or double), european, how pairs of a date read, and a note.
 
-    In this order: empty columns are strings; eight digits that are all dates are dates unless the header names an identifier; codes and leading zeros keep
+    In this order: empty columns are strings; five digits that are all serials of days are dates if the header names one; eight digits that are all dates are dates unless the header names an identifier; codes and leading zeros keep
     a column text, and so do all-different numbers of one width in more than CODE_ROWS rows; DATE_SHARE of dates make dates
     (serials count if something else parsed), NUMERIC_SHARE of numbers make numbers. A column whose type would lose a
     value that holds a digit, zeros aside, stays text.
@@ -59,11 +60,12 @@ def decide(found: DataFrame) -> DataFrame:
     found = found.withColumn("european", col("eu_votes") > col("us_votes"))
     uniform = (col("digits") == n) & (n >= 3) & (col("least_width") == col("most_width")) & (col("least_width") >= 3) & (col("distinct_values") >= CODE_SHARE * n)
     whole = (col("digits") == n) & (col("eight_digits") == n) & (col("dates") == n)
-    named = col("column_name").rlike(ID_HEADER) & ~col("column_name").rlike(DATE_HEADER)
+    dated_header = names_date(col("column_name"))
+    named = names_identifier(col("column_name")) & ~dated_header
     dated = F.when(col("dates") > col("eight_digits"), col("dates") + col("serials")).otherwise(col("dates"))
     numeric = F.when(numbers("losses") > 0, "would lose values").when(numbers("fractions") > 0, "double").otherwise("long")
     said = (
-        F.when(n == 0, "empty").when(whole & named, "named identifier").when(whole, "date")
+        F.when(n == 0, "empty").when((col("day_serials") == n) & dated_header, "date").when(whole & named, "named identifier").when(whole, "date")
         .when((col("codes") > 0) & (numbers("numbers") >= NUMERIC_SHARE * n), "codes").when((col("digits") == n) & (col("leading_zero") > 0), "leading zero")
         .when(uniform & (n > CODE_ROWS), "same width").when((dated >= DATE_SHARE * n) & (col("digits") < n), F.when(col("date_losses") > 0, "would lose values").otherwise("date"))
         .when(numbers("numbers") >= NUMERIC_SHARE * n, numeric).otherwise("text"))

@@ -311,7 +311,7 @@ def contracts_rows(spark, sf_dir):
 
 
 def grain_signals(spark, sf_dir):
-    rows = _with_totals(spark, sf_dir).select("c_mktsegment", "line", F.col("n").cast("string").alias("n"), F.concat(F.lit("$"), F.col("value").cast("string")).alias("value"))
+    rows = _with_totals(spark, sf_dir).select("c_mktsegment", "line", F.col("n").cast("string").alias("n"), F.format_number("value", 2).alias("value"))
     return totals.grain(rows, ["c_mktsegment", "line", "n", "value"], ["c_mktsegment"], "line")
 
 
