@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import threading
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -35,8 +36,10 @@ STRETCH_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+
 #: Stretches that no match of the pattern crosses: a run of other characters with one blank
 #: before it, and what is left of a run of blanks.
 STRETCH = re.compile(rf" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
-#: Stretches are remembered in two generations of this many, and so many pairs of tokens: about 70 MB in each worker while a task runs.
-GENERATION, PAIRS = 100_000, 200_000
+#: Stretches are remembered in two generations of this many, and so many pairs of tokens: about 220 MB in each worker.
+GENERATION, PAIRS = 300_000, 300_000
+#: A worker that has had no text for so many seconds gives this memory back: other work may need it.
+IDLE = 10.0
 
 
 class Encoder:
@@ -59,6 +62,7 @@ class Encoder:
             self.shorter[i] = next((ranks[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in ranks), -1)
         self.compatible = lru_cache(maxsize=PAIRS)(self._compatible)
         self.memo = Memo(self._stretch, GENERATION)
+        self.timer: threading.Timer | None = None
         self.decimal = list(map(str, range(len(self.token))))
 
     def merged(self, piece: bytes) -> list[int]:
@@ -114,8 +118,17 @@ class Encoder:
             return list(self._stretch(text))
         return list(chain.from_iterable(map(self.memo.__getitem__, STRETCH.findall(text))))
 
+    def rest(self) -> None:
+        """Forget what was remembered unless wake() comes soon."""
+        self.timer = threading.Timer(IDLE, self.forget)
+        self.timer.daemon = True
+        self.timer.start()
+
+    def wake(self) -> None:
+        if self.timer is not None:
+            self.timer.cancel()
+
     def forget(self) -> None:
-        """Give the memory of what was remembered back."""
         self.memo = Memo(self._stretch, GENERATION)
         self.compatible.cache_clear()
 
@@ -139,12 +152,13 @@ def _per_text(docs: DataFrame, rank_file: bytes, pattern: str, schema: str, of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shared.value, pattern)
+        enc.wake()
         for b in batches:
             for at in range(0, b.num_rows, 250):
                 part = b.slice(at, 250)
                 columns = of(enc, [t.as_py() or "" for t in part.column("text")])
                 yield pa.record_batch([part.column("doc_id"), *columns.values()], ["doc_id", *columns])
-        enc.forget()
+        enc.rest()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
