@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import rowclass
+from millrace.operators import headings, regions, rowclass
 
 
 def load(spark, sf_dir: str, name: str):
@@ -30,7 +31,40 @@ def row_classes(spark, sf_dir):
     return rowclass.classify(report(spark, sf_dir)).select("sheet", "row", "idx", "class", "summed")
 
 
-QUERIES = {f.__name__: f for f in (row_classes,)}
+def sheets(spark, sf_dir):
+    """All orders as a sheet per priority: a title, a table with a blank row after every hundred records, a count by status beside it, sums by year below."""
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("sheet"), "o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("price"), F.to_date("o_orderdate").alias("day"))
+    text, none = (lambda c: F.col(c).cast("string")), F.lit(None).cast("string")
+    nth = F.row_number().over(Window.partitionBy("sheet").orderBy("o_orderkey")) - 1
+    records = orders.withColumn("nth", nth.cast("long")).select("sheet", (3 + F.col("nth") + F.expr("nth div 100")).alias("row"), F.array(F.concat(F.lit("ORD-"), F.lpad(text("o_orderkey"), 9, "0")), text("o_custkey"), text("price"), text("day")).alias("own"))
+    by_status = orders.groupBy("sheet", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("sheet").orderBy("o_orderstatus")).cast("long")
+    beside = by_status.select("sheet", (2 + place).alias("row"), F.array(F.col("o_orderstatus"), text("n")).alias("beside"))
+    names = orders.select("sheet").distinct()
+    head = names.select("sheet", F.lit(2).cast("long").alias("row"), F.array(*map(F.lit, ("Order", "Customer", "Price", "Day"))).alias("own"))
+    side = names.select("sheet", F.lit(2).cast("long").alias("row"), F.array(F.lit("Status"), F.lit("Orders")).alias("beside"))
+    left, right = records.unionByName(head), beside.unionByName(side)
+    empty = lambda n: F.array(*[none] * n)
+    main = left.join(right, ["sheet", "row"], "full").select("sheet", "row", F.concat(F.coalesce("own", empty(4)), empty(2), F.coalesce("beside", empty(2))).alias("cells"))
+    title = names.select("sheet", F.lit(0).cast("long").alias("row"), F.array(F.concat(F.lit("Orders of priority "), "sheet")).alias("cells"))
+    end = records.groupBy("sheet").agg((F.max("row") + 3).alias("start"))
+    years = orders.groupBy("sheet", F.year("day").alias("year")).agg(F.sum("price").alias("total"))
+    nth_year = F.row_number().over(Window.partitionBy("sheet").orderBy("year")).cast("long")
+    below = years.withColumn("nth", nth_year).join(end, "sheet").select("sheet", (F.col("start") + F.col("nth")).alias("row"), F.array(F.concat(F.lit("Year "), text("year")), text("total")).alias("cells"))
+    foot = end.select("sheet", F.col("start").alias("row"), F.array(F.lit("Period"), F.lit("Total")).alias("cells"))
+    return title.unionByName(main).unionByName(foot).unionByName(below)
+
+
+def sheet_tables(spark, sf_dir):
+    """Every table of the sheets: where it lies and how its columns are called."""
+    found = regions.tables(sheets(spark, sf_dir))
+    name = F.concat_ws("|", "sheet", "region", "part")
+    named = headings.find(found.select(name.alias("sheet"), "row", "cells")).select(F.col("sheet").alias("name"), F.array_join("names", ",").alias("names"), "header")
+    about = found.groupBy("sheet", "region", "part").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.min("first_column").alias("first_column"))
+    return about.withColumn("name", name).join(named, "name").drop("name")
+
+
+QUERIES = {f.__name__: f for f in (row_classes, sheet_tables)}
 
 ORACLES = {
     "row_classes": """
@@ -48,4 +82,10 @@ ORACLES = {
                     WHEN n_above > 0 AND above = price OR n_subtotals > 0 AND subtotals = price THEN 'GRAND_TOTAL' WHEN kind = 'total' THEN 'UNVERIFIED_TOTAL' ELSE 'SPARSE_KEPT' END AS class,
                CASE WHEN kind IN ('total', 'grand') THEN CASE WHEN hit THEN run_rows WHEN n_subtotals > 0 AND subtotals = price THEN least(n_subtotals, CASE WHEN above = price THEN n_above ELSE n_subtotals END) WHEN above = price THEN n_above END END AS summed
         FROM t""",
+    "sheet_tables": """
+        WITH o AS (SELECT o_orderpriority AS sheet, count(*) AS n, count(DISTINCT o_orderstatus) AS statuses, count(DISTINCT year(o_orderdate)) AS years FROM orders GROUP BY 1),
+        e AS (SELECT *, 2 + n + (n - 1) // 100 AS last FROM o)
+        SELECT sheet, 2 AS region, 1 AS part, n + 1 AS rows, 2 AS first_row, last AS last_row, 0 AS first_column, 'order,customer,price,day' AS names, 0 AS header FROM e
+        UNION ALL SELECT sheet, 2, 2, statuses + 1, 2, 2 + statuses, 6, 'status,orders', 0 FROM e
+        UNION ALL SELECT sheet, 3, 1, years + 1, last + 3, last + 3 + years, 0, 'period,total', 0 FROM e""",
 }
