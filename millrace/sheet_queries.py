@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import headings, regions, rowclass
+from millrace.operators import headings, matching, regions, rowclass
 
 
 def load(spark, sf_dir: str, name: str):
@@ -64,9 +64,43 @@ def sheet_tables(spark, sf_dir):
     return about.withColumn("name", name).join(named, "name").drop("name")
 
 
-QUERIES = {f.__name__: f for f in (row_classes, sheet_tables)}
+#: Columns of the tables that are compared, as they are spelled in text: amounts with two places, days as such.
+SPELLED = {
+    "customer": {"c_custkey": "", "c_name": "", "c_nationkey": "", "c_acctbal": "decimal(18,2)", "c_mktsegment": ""}, "supplier": {"s_suppkey": "", "s_name": "", "s_nationkey": "", "s_acctbal": "decimal(18,2)"},
+    "part": {"p_partkey": "", "p_name": "", "p_brand": "", "p_type": "", "p_size": "", "p_retailprice": "decimal(18,2)"}, "nation": {"n_nationkey": "", "n_name": "", "n_regionkey": ""}, "region": {"r_regionkey": "", "r_name": ""},
+    "orders": {"o_orderkey": "", "o_custkey": "", "o_orderstatus": "", "o_totalprice": "decimal(18,2)", "o_orderdate": "date", "o_orderpriority": ""},
+    "lineitem": {"l_orderkey": "", "l_partkey": "", "l_suppkey": "", "l_linenumber": "", "l_quantity": "decimal(18,2)", "l_extendedprice": "decimal(18,2)", "l_discount": "decimal(18,2)", "l_tax": "decimal(18,2)", "l_returnflag": "", "l_linestatus": "", "l_shipdate": "date"}}
+
+
+def spelled(spark, sf_dir):
+    """All columns of seven tables as texts."""
+    return {t: load(spark, sf_dir, t).select(*[F.col(c).cast(kind or "string").cast("string").alias(c) for c, kind in columns.items()]) for t, columns in SPELLED.items()}
+
+
+def inclusion_dependencies(spark, sf_dir):
+    return matching.inclusions(spelled(spark, sf_dir))
+
+
+def suggested_keys(spark, sf_dir):
+    return matching.suggested_keys(spelled(spark, sf_dir))
+
+
+def paired_suppliers(spark, sf_dir):
+    """Each part to one supplier and each supplier to one part, the pairs of largest quantity first."""
+    pairs = load(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"))
+    return matching.assign(pairs, "l_suppkey", "l_partkey", "quantity").drop("round")
+
+
+QUERIES = {f.__name__: f for f in (row_classes, sheet_tables, inclusion_dependencies, suggested_keys, paired_suppliers)}
+
+_VALUES = " UNION ALL ".join(f"SELECT '{t}.{c}' AS \"column\", nullif(trim(lower({f'{c}::{kind}' if kind else c}::VARCHAR)), '') AS value FROM {t}" for t, columns in SPELLED.items() for c, kind in columns.items())
+_INCLUSIONS = f"""v AS ({_VALUES}), n AS (SELECT "column", value, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY 1, 2),
+        z AS (SELECT "column", count(*) AS "values", sum(n) AS filled FROM n GROUP BY 1),
+        f AS (SELECT a."column", b."column" AS other, count(*) AS found FROM n a JOIN n b USING (value) WHERE split_part(a."column", '.', 1) <> split_part(b."column", '.', 1) GROUP BY 1, 2),
+        i AS (SELECT f."column", other, z."values", found, round(found / z."values", 6) AS share, round(y."values" / y.filled, 6) AS uniqueness FROM f JOIN z ON f."column" = z."column" JOIN z y ON y."column" = other WHERE round(found / z."values", 6) >= 0.5)"""
 
 ORACLES = {
+    "inclusion_dependencies": f"WITH {_INCLUSIONS} SELECT * FROM i",
     "row_classes": """
         WITH l AS (SELECT l_returnflag || l_linestatus AS sheet, l_orderkey, l_orderkey * 16 + l_linenumber AS row, l_extendedprice::DECIMAL(18,2) AS price FROM lineitem),
         e AS (SELECT sheet, (max(l_orderkey) + 1) * 16 AS row, sum(price) AS price FROM l GROUP BY sheet),
