@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import headings, matching, regions, rowclass
+from millrace.operators import headings, loads, matching, regions, rowclass
+from millrace.storage import shared_dir
 
 
 def load(spark, sf_dir: str, name: str):
@@ -91,7 +92,19 @@ def paired_suppliers(spark, sf_dir):
     return matching.assign(pairs, "l_suppkey", "l_partkey", "quantity").drop("round")
 
 
-QUERIES = {f.__name__: f for f in (row_classes, sheet_tables, inclusion_dependencies, suggested_keys, paired_suppliers)}
+def merged_orders(spark, sf_dir):
+    """All orders loaded, then merged with revised ones (finished orders at twice the price) and as many new ones, under a contract on what comes in."""
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", price.alias("price"))
+    finished = orders.filter("o_orderstatus = 'F'").withColumn("price", (F.col("price") * 2).cast("decimal(18,2)"))
+    came = finished.unionByName(finished.withColumn("o_orderkey", -F.col("o_orderkey")))
+    path = shared_dir(spark)
+    loads.load(orders, path, "first", contract=loads.Contract(filled=("o_orderkey",)))
+    loads.merge(came, path, "second", ["o_orderkey"], contract=loads.Contract(filled=("o_orderkey", "price"), used=("o_orderstatus",)))
+    return loads.current(spark, path).select("o_orderkey", "o_orderstatus", "price", F.col("_load_id").alias("load"))
+
+
+QUERIES = {f.__name__: f for f in (row_classes, sheet_tables, inclusion_dependencies, suggested_keys, paired_suppliers, merged_orders)}
 
 _VALUES = " UNION ALL ".join(f"SELECT '{t}.{c}' AS \"column\", nullif(trim(lower({f'{c}::{kind}' if kind else c}::VARCHAR)), '') AS value FROM {t}" for t, columns in SPELLED.items() for c, kind in columns.items())
 _INCLUSIONS = f"""v AS ({_VALUES}), n AS (SELECT "column", value, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY 1, 2),
@@ -100,6 +113,10 @@ _INCLUSIONS = f"""v AS ({_VALUES}), n AS (SELECT "column", value, count(*) AS n
         i AS (SELECT f."column", other, z."values", found, round(found / z."values", 6) AS share, round(y."values" / y.filled, 6) AS uniqueness FROM f JOIN z ON f."column" = z."column" JOIN z y ON y."column" = other WHERE round(found / z."values", 6) >= 0.5)"""
 
 ORACLES = {
+    "merged_orders": """
+        WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice::DECIMAL(18,2) AS price FROM orders)
+        SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 2 * price ELSE price END::DECIMAL(18,2) AS price, CASE WHEN o_orderstatus = 'F' THEN 'second' ELSE 'first' END AS load FROM o
+        UNION ALL SELECT -o_orderkey, o_orderstatus, (2 * price)::DECIMAL(18,2), 'second' FROM o WHERE o_orderstatus = 'F'""",
     "inclusion_dependencies": f"WITH {_INCLUSIONS} SELECT * FROM i",
     "row_classes": """
         WITH l AS (SELECT l_returnflag || l_linestatus AS sheet, l_orderkey, l_orderkey * 16 + l_linenumber AS row, l_extendedprice::DECIMAL(18,2) AS price FROM lineitem),
