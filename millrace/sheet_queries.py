@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import headings, loads, matching, regions, rowclass
+from millrace.operators import headings, loads, matching, orientation, regions, rowclass
 from millrace.storage import shared_dir
 
 
@@ -65,6 +65,20 @@ def sheet_tables(spark, sf_dir):
     return about.withColumn("name", name).join(named, "name").drop("name")
 
 
+def upright_sheets(spark, sf_dir):
+    """All customers as a sheet per nation, every other sheet on its side, each turned upright."""
+    customers = load(spark, sf_dir, "customer")
+    text = lambda c: F.col(c).cast("string")
+    cells = F.array(F.concat(F.lit("CUS-"), F.lpad(text("c_custkey"), 9, "0")), F.col("c_mktsegment"), F.col("c_acctbal").cast("decimal(18,2)").cast("string"), F.concat(F.lit("account of "), "c_name"))
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).cast("long")
+    records = customers.select(text("c_nationkey").alias("sheet"), place.alias("row"), cells.alias("cells"))
+    heads = customers.select(text("c_nationkey").alias("sheet")).distinct().select("sheet", F.lit(0).cast("long").alias("row"), F.array(*map(F.lit, ("Customer", "Segment", "Balance", "Name"))).alias("cells"))
+    rows = records.unionByName(heads)
+    odd = F.col("sheet").cast("int") % 2 == 1
+    found = orientation.upright(rows.filter(~odd).unionByName(orientation.transpose(rows.filter(odd))))
+    return found.select("sheet", "row", F.array_join("cells", "|", "-").alias("cells"))
+
+
 #: Columns of the tables that are compared, as they are spelled in text: amounts with two places, days as such.
 SPELLED = {
     "customer": {"c_custkey": "", "c_name": "", "c_nationkey": "", "c_acctbal": "decimal(18,2)", "c_mktsegment": ""}, "supplier": {"s_suppkey": "", "s_name": "", "s_nationkey": "", "s_acctbal": "decimal(18,2)"},
@@ -97,14 +111,14 @@ def merged_orders(spark, sf_dir):
     price = F.col("o_totalprice").cast("decimal(18,2)")
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", price.alias("price"))
     finished = orders.filter("o_orderstatus = 'F'").withColumn("price", (F.col("price") * 2).cast("decimal(18,2)"))
-    came = finished.unionByName(finished.withColumn("o_orderkey", -F.col("o_orderkey")))
+    came = finished.unionByName(finished.withColumn("o_orderkey", -F.col("o_orderkey") - 1))
     path = shared_dir(spark)
     loads.load(orders, path, "first", contract=loads.Contract(filled=("o_orderkey",)))
     loads.merge(came, path, "second", ["o_orderkey"], contract=loads.Contract(filled=("o_orderkey", "price"), used=("o_orderstatus",)))
     return loads.current(spark, path).select("o_orderkey", "o_orderstatus", "price", F.col("_load_id").alias("load"))
 
 
-QUERIES = {f.__name__: f for f in (row_classes, sheet_tables, inclusion_dependencies, suggested_keys, paired_suppliers, merged_orders)}
+QUERIES = {f.__name__: f for f in (row_classes, sheet_tables, inclusion_dependencies, suggested_keys, paired_suppliers, merged_orders, upright_sheets)}
 
 _VALUES = " UNION ALL ".join(f"SELECT '{t}.{c}' AS \"column\", nullif(trim(lower({f'{c}::{kind}' if kind else c}::VARCHAR)), '') AS value FROM {t}" for t, columns in SPELLED.items() for c, kind in columns.items())
 _INCLUSIONS = f"""v AS ({_VALUES}), n AS (SELECT "column", value, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY 1, 2),
@@ -113,10 +127,13 @@ _INCLUSIONS = f"""v AS ({_VALUES}), n AS (SELECT "column", value, count(*) AS n
         i AS (SELECT f."column", other, z."values", found, round(found / z."values", 6) AS share, round(y."values" / y.filled, 6) AS uniqueness FROM f JOIN z ON f."column" = z."column" JOIN z y ON y."column" = other WHERE round(found / z."values", 6) >= 0.5)"""
 
 ORACLES = {
+    "upright_sheets": """
+        SELECT c_nationkey::VARCHAR AS sheet, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS row, 'CUS-' || lpad(c_custkey::VARCHAR, 9, '0') || '|' || c_mktsegment || '|' || c_acctbal::DECIMAL(18,2) || '|account of ' || c_name AS cells FROM customer
+        UNION ALL SELECT DISTINCT c_nationkey::VARCHAR, 0, 'Customer|Segment|Balance|Name' FROM customer""",
     "merged_orders": """
         WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice::DECIMAL(18,2) AS price FROM orders)
         SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 2 * price ELSE price END::DECIMAL(18,2) AS price, CASE WHEN o_orderstatus = 'F' THEN 'second' ELSE 'first' END AS load FROM o
-        UNION ALL SELECT -o_orderkey, o_orderstatus, (2 * price)::DECIMAL(18,2), 'second' FROM o WHERE o_orderstatus = 'F'""",
+        UNION ALL SELECT -o_orderkey - 1, o_orderstatus, (2 * price)::DECIMAL(18,2), 'second' FROM o WHERE o_orderstatus = 'F'""",
     "inclusion_dependencies": f"WITH {_INCLUSIONS} SELECT * FROM i",
     "row_classes": """
         WITH l AS (SELECT l_returnflag || l_linestatus AS sheet, l_orderkey, l_orderkey * 16 + l_linenumber AS row, l_extendedprice::DECIMAL(18,2) AS price FROM lineitem),
