@@ -78,7 +78,7 @@ def _measured(doc_id: Column, source: Column, text: Column) -> list[Column]:
     """What the plan needs of a document."""
     return [
         doc_id.cast("long").alias("doc_id"), source.cast("string").alias("source"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-        F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")).alias("order"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("content")]
+        F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.xxhash64(F.coalesce(text, F.lit(""))).cast("string"))).cast("binary")).alias("order"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("content")]
 
 
 def _placed(sizes: DataFrame, repeats: int, **options) -> DataFrame:
@@ -112,7 +112,7 @@ def plan(docs: DataFrame, repeats: int = 3, **options) -> DataFrame:
     size is the number of words (runs of other than ASCII white space; 0 for null texts). A copy is
     taken if its middle lies before the source's target, so a source's words miss the target by
     half a document at most; then the one copy more or less that comes nearest is settled. The order within a
-    source is that of md5(doc_id), then doc_id, size and a hash of the text: reruns agree. Rows alike in these are
+    source is that of md5(doc_id), or of the text's hash without one, then doc_id, size and a hash of the text: reruns agree. Rows alike in these are
     interchangeable. Empty documents are never taken. Null sources form a source of their own; an
     empty table gives no rows. Columns beside the three are ignored.
     """
@@ -121,12 +121,37 @@ def plan(docs: DataFrame, repeats: int = 3, **options) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "positions")
 
 
+def _in_turn(copies: DataFrame) -> DataFrame:
+    """copies(position, order, file, at, copy, ...) range-sorted by position and written, with `place`, each copy's number in the whole training order from 0."""
+    by = ["position", "order", "file", "at", "copy"]
+    held = materialise(copies.repartitionByRange(*by).sortWithinPartitions(*by), "schedule")
+    held = held.select("*", F.col("_metadata.file_name").alias("_part"), F.col("_metadata.row_index").alias("_nth"))
+    counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row per file; their names sort as the positions do
+    before = counts.select(F.col("_part").alias("_file"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return held.join(F.broadcast(before), F.col("_part") == F.col("_file")).withColumn("place", F.col("_before") + F.col("_nth")).drop("_part", "_nth", "_file", "_before")
+
+
 def schedule(planned: DataFrame) -> DataFrame:
     """One row per copy that plan() takes: doc_id, size, copy (from 1) and position, range-sorted by position."""
     copies = planned.select("doc_id", "size", F.posexplode("positions").alias("copy", "position")).withColumn("copy", F.col("copy") + 1)
     return copies.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy", "size")
 
 
+def scheduled(docs: DataFrame, repeats: int = 3, **options) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken, and position and place of its first and last copy, read from the written order.
+
+    taken counts the words of the copies that stand in the training order; a row without a copy takes none and has no place. Places count copies from 0, without
+    gaps. Nulls, repeated rows and empty tables as in plan().
+    """
+    sizes = materialise(docs.select(*_measured(F.col("doc_id"), F.col("source"), F.col("text"))), "sizes")
+    rows = materialise(_placed(sizes.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")), repeats, **options), "plan")
+    copies = _in_turn(rows.select("file", "at", "order", "size", F.posexplode("positions").alias("copy", "position")))
+    ends = copies.groupBy(F.col("file").alias("_file"), F.col("at").alias("_at")).agg(
+        F.sum("size").alias("taken"), F.min("position").alias("first_position"), F.max("position").alias("last_position"), F.min("place").alias("first_place"), F.max("place").alias("last_place"))
+    found = rows.join(small(ends) or ends, (F.col("file") == F.col("_file")) & (F.col("at") == F.col("_at")), "left")
+    return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_position", "last_position", "first_place", "last_place")
+
+
 def mix(docs: DataFrame, repeats: int = 3, position: str | None = None, **options) -> DataFrame:
     """The rows of docs with all their columns, as often as the plan takes them, in training order.
 

@@ -47,8 +47,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"), F.array_max("positions").alias("last_position"))
+    return mixing.scheduled(table(spark, sf_dir, "documents"))
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

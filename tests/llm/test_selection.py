@@ -339,3 +339,17 @@ def test_long_texts_full_of_places_take_linear_time(spark):
     found = license_scan.digest(license_scan.scan(df)).orderBy("doc_id").collect()
     assert time.time() - began < 20
     assert [(r.n_words, r.n_base, r.first_word, r.last_word, r.labels) for r in found] == [(80_000, 40_000, 0, 79_998, "mit"), (120_000, 40_000, 0, 119_997, "gpl")]
+
+
+def test_the_training_order_is_written_and_read(spark):
+    docs = samples.frame(spark).withColumns({"order": F.lit("o"), "place": F.lit(1), "copy": F.lit(2), "position": F.lit(0.5)})
+    rows = mixing.scheduled(docs).collect()
+    plan = mixing.plan(docs).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken)
+    assert sorted(map(str, map(key, rows))) == sorted(map(str, map(key, plan)))
+    copies = sum(r.copies for r in plan)
+    places = [p for r in rows if r.taken for p in {r.first_place, r.last_place}]
+    assert len(places) == len(set(places)) and min(places) == 0 and max(places) == copies - 1
+    ends = sorted((p, x) for r in rows if r.taken for p, x in ((r.first_place, r.first_position), (r.last_place, r.last_position)))
+    assert [x for _, x in ends] == sorted(x for _, x in ends)
+    assert all(r.first_place is None for r in rows if not r.taken) and mixing.scheduled(docs.limit(0)).count() == 0
