@@ -32,6 +32,11 @@ def stack(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def stack_parts(df: DataFrame, part: str, unnamed: str) -> DataFrame:
+    """Tables that lie in one, told apart by a column, as stack() would give them: source_sheet, which is `unnamed` for null, and the other columns."""
+    return df.select(F.coalesce(F.col(f"`{part}`").cast("string"), F.lit(unnamed)).alias("source_sheet"), *[F.col(f"`{c}`") for c in df.columns if c != part])
+
+
 def compare_schemas(table: list[str], incoming: list[str]) -> str:
     """identical, reordered, evolved (any name is shared) or different."""
     if table == incoming:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import headers, names, numbers
-from millrace.operators import joins, totals, typing
+from millrace.operators import joins, reshape, totals, typing
 
 
 def column(spark, f, values):
@@ -75,3 +75,14 @@ def test_joins_of_columns_that_clash_with_their_own_names(spark):
         assert found.count() == n and not any(c.startswith("__") for c in found.columns)
     assert joins.companion_join(left, right, [("k", "k")], "r", pair="_pair").select("`r._rank`").collect() == [(7,)]
     assert joins.first_per_key(right, [F.lower("k")], [F.desc("_rank")]).collect()[0]["_rank"] == 8
+
+
+def test_stacked_tables_keep_their_names_rows_and_columns(spark):
+    one = spark.createDataFrame([(1, "a"), (1, "a")], "id int, x string")
+    other = spark.createDataFrame([("b", 2)], "x string, id int")
+    stacked = reshape.stack({"p": one, "q": other})
+    assert stacked.columns == ["source_sheet", "id", "x"] and sorted(map(tuple, stacked.collect())) == [("p", 1, "a"), ("p", 1, "a"), ("q", 2, "b")]
+    with pytest.raises(ValueError, match="differ"):
+        reshape.stack({"p": one, "q": other.drop("x")})
+    held = spark.createDataFrame([(1, "a", "p"), (2, "b", None)], "id int, x string, sheet string")
+    assert sorted(map(tuple, reshape.stack_parts(held, "sheet", "none").collect())) == [("none", 2, "b"), ("p", 1, "a")]
