@@ -16,6 +16,7 @@ import base64
 import hashlib
 import re
 import threading
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -36,10 +37,10 @@ STRETCH_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+
 #: Stretches that no match of the pattern crosses: a run of other characters with one blank
 #: before it, and what is left of a run of blanks.
 STRETCH = re.compile(rf" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
-#: Stretches are remembered in two generations of this many, and so many pairs of tokens: about 220 MB in each worker.
+#: Stretches are remembered in two generations of this many, and so many pairs of tokens: about 200 MB in each worker.
 GENERATION, PAIRS = 300_000, 300_000
 #: A worker that has had no text for so many seconds gives this memory back: other work may need it.
-IDLE = 10.0
+IDLE = 3.0
 
 
 class Encoder:
@@ -53,6 +54,7 @@ class Encoder:
         for b, i in ranks.items():
             self.token[i] = b
         self.length = list(map(len, self.token))
+        self.code = "H" if len(self.token) <= 1 << 16 else "I"
         self.automaton = ahocorasick.Automaton()
         for b, i in ranks.items():
             self.automaton.add_word(b.decode("latin-1"), (len(b), i))
@@ -110,13 +112,16 @@ class Encoder:
                 last = ids[-1] if ids else -1
         return ids
 
-    def _stretch(self, stretch: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(self.piece(p.encode()) for p in self.pattern.findall(stretch)))
+    def _stretch(self, stretch: str) -> bytes:
+        """The ids of a stretch, packed: smaller than a tuple, and nothing that the garbage collector looks at."""
+        return array(self.code, chain.from_iterable(self.piece(p.encode()) for p in self.pattern.findall(stretch))).tobytes()
 
     def encode(self, text: str) -> list[int]:
         if self.pattern.pattern != STRETCH_PATTERN:
-            return list(self._stretch(text))
-        return list(chain.from_iterable(map(self.memo.__getitem__, STRETCH.findall(text))))
+            packed = self._stretch(text)
+        else:
+            packed = b"".join(map(self.memo.__getitem__, STRETCH.findall(text)))
+        return array(self.code, packed).tolist()
 
     def rest(self) -> None:
         """Forget what was remembered unless wake() comes soon."""
