@@ -27,7 +27,7 @@ BITS = 22
 #: Pseudo-documents behind each ratio, spread over the classes by their size, and the L2 penalty.
 SMOOTHING, STRENGTH = 100.0, 1e-5
 #: Strength of the belief that scores need no other slope than 1 and no shift, in calibration.
-PRIOR = (4.0, 1.0)
+PRIOR = (4.0, 0.1)
 #: Texts are read in blocks of this many characters, which overlap by the longest n-gram.
 BLOCK = 1 << 20
 
