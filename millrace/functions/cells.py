@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,28 +15,44 @@ NUMBER_LIKE = r"^-?[\d,]*\.?\d+$"
 LABEL_LENGTH = 30
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once however often body names it; inside lambdas Spark shares nothing by itself."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stripped(cell: Column) -> Column:
     """A cell without blanks around it; null if nothing is left."""
-    return F.nullif(F.regexp_replace(cell, r"^\s+|\s+$", ""), F.lit(""))
+    return let(F.regexp_replace(cell, r"^\s+|\s+$", ""), lambda text: F.when(text != "", text))
 
 
-def kind(cell: Column) -> Column:
-    """date_string, id_string, int, float or text; null for a blank cell."""
-    text = stripped(cell)
+def _kind(text: Column) -> Column:
     return (
         F.when(text.isNull(), F.lit(None).cast("string")).when(text.rlike(DATE_LIKE), "date_string").when(text.rlike(ID_LIKE), "id_string")
         .when(text.rlike(NUMBER_LIKE), F.when(F.contains(text, F.lit(".")), "float").otherwise("int")).otherwise("text"))
 
 
+def _number(text: Column) -> Column:
+    return let(F.trim(F.regexp_replace(text, r"[,%$]", "")), lambda bare: F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double")))
+
+
+def kind(cell: Column) -> Column:
+    """date_string, id_string, int, float or text; null for a blank cell."""
+    return let(stripped(cell), _kind)
+
+
 def family(kind_: Column) -> Column:
     """Whole numbers and decimals are one kind of value."""
-    return F.when(kind_.isin("int", "float"), "number").otherwise(kind_)
+    return let(kind_, lambda k: F.when(k.isin("int", "float"), "number").otherwise(k))
 
 
 def number(cell: Column) -> Column:
     """A cell as double, without thousands separators, per cent and dollar signs; null if it is no number."""
-    bare = F.regexp_replace(stripped(cell), r"[,%$]", "")
-    return F.when(F.trim(bare).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.trim(bare).try_cast("double"))
+    return _number(stripped(cell))
+
+
+def read(cells: Column) -> Column:
+    """The cells as structs of text (stripped), kind and number, each cell looked at once."""
+    return F.transform(cells, lambda c: let(stripped(c), lambda text: F.struct(text.alias("text"), _kind(text).alias("kind"), _number(text).alias("number"))))
 
 
 def filled(cells: Column) -> Column:
@@ -48,12 +66,12 @@ def fill(cells: Column) -> Column:
 
 def effective_fill(cells: Column) -> Column:
     """Filled cells; several that all hold one value, as a merged title does, count as one."""
-    return F.when((fill(cells) >= 2) & (F.size(F.array_distinct(filled(cells))) == 1), 1).otherwise(fill(cells))
+    return let(filled(cells), lambda held: F.when((F.size(held) >= 2) & (F.size(F.array_distinct(held)) == 1), 1).otherwise(F.size(held)))
 
 
 def share(cells: Column, of: Column) -> Column:
     """of / the number of filled cells, 0 without any."""
-    return F.when(fill(cells) > 0, of / fill(cells)).otherwise(F.lit(0.0))
+    return let(fill(cells), lambda n: F.when(n > 0, of / n).otherwise(F.lit(0.0)))
 
 
 def textness(cells: Column) -> Column:
@@ -67,11 +85,16 @@ def uniqueness(cells: Column) -> Column:
 def brevity(cells: Column) -> Column:
     """1 if the filled cells are short on average, 0.5 if they aren't, 0 without any. Cells count as written."""
     written = F.filter(cells, lambda c: stripped(c).isNotNull())
-    length = F.aggregate(written, F.lit(0).cast("long"), lambda a, c: a + F.length(c))
-    return F.when(F.size(written) == 0, 0.0).when(length / F.size(written) <= LABEL_LENGTH, 1.0).otherwise(0.5)
+    length = lambda held: F.aggregate(held, F.lit(0).cast("long"), lambda a, c: a + F.length(c))
+    return let(written, lambda held: F.when(F.size(held) == 0, 0.0).when(length(held) / F.size(held) <= LABEL_LENGTH, 1.0).otherwise(0.5))
+
+
+def unlike(pairs: Column) -> Column:
+    """Share of the pairs (own, below: kinds), of those filled in both, that differ; 0 without any."""
+    both = F.filter(pairs, lambda p: p["own"].isNotNull() & p["below"].isNotNull())
+    return let(both, lambda held: F.when(F.size(held) > 0, F.size(F.filter(held, lambda p: p["own"] != p["below"])) / F.size(held)).otherwise(F.lit(0.0)))
 
 
 def contrast(cells: Column, profile: Column) -> Column:
     """Share of the places filled in both where a line's kind differs from the profile's (an array of kinds)."""
-    pairs = F.filter(F.arrays_zip(F.transform(cells, kind).alias("own"), profile.alias("below")), lambda p: p["own"].isNotNull() & p["below"].isNotNull())
-    return F.when(F.size(pairs) > 0, F.size(F.filter(pairs, lambda p: p["own"] != p["below"])) / F.size(pairs)).otherwise(F.lit(0.0))
+    return unlike(F.arrays_zip(F.transform(cells, kind).alias("own"), profile.alias("below")))

@@ -60,15 +60,15 @@ def scores(rows: DataFrame) -> DataFrame:
     """sheet, idx, cells, score, contrast and textness of each of the first DEPTH rows of rows(sheet, idx, cells) that has another below it."""
     cells = rows.select("sheet", "idx", F.posexplode(F.transform("cells", C.kind)).alias("col", "kind"))
     kinds = _below(cells, ["col"], F.col("kind"), "kind").groupBy("sheet", "at", "col").agg(F.max_by("kind", F.struct("n", (-F.col("first")).alias("early"))).alias("kind"))
-    profile = kinds.groupBy("sheet", "at").agg(F.map_from_entries(F.collect_list(F.struct("col", "kind"))).alias("profile"))  # as many as the sheet is wide
+    profile = kinds.groupBy("sheet", "at").agg(F.collect_list(F.struct("col", "kind")).alias("profile"))  # as many as the sheet is wide
     fills = _below(rows.select("sheet", "idx", C.effective_fill(F.col("cells")).alias("fill")), [], F.col("fill"), "fill").groupBy("sheet", "at").agg(F.max_by("fill", F.struct("n", "fill")).alias("modal"))
     first = rows.filter(F.col("idx") < DEPTH).select("sheet", "idx", "cells")
     for t, n in ((profile, "p"), (fills, "f")):
         other = t.select(F.col("sheet").alias(f"_{n}s"), F.col("at").alias(f"_{n}at"), t.columns[-1])
         first = first.join(small(other), F.col("sheet").eqNullSafe(F.col(f"_{n}s")) & (F.col("idx") == F.col(f"_{n}at")))
     line = F.col("cells")
-    below = F.transform(line, lambda c, i: F.try_element_at(F.col("profile"), i))
-    parts = {"contrast": C.contrast(line, below), "textness": C.textness(line), "uniqueness": C.uniqueness(line), "fill": F.least(C.fill(line) / F.col("modal"), F.lit(1.0)), "brevity": C.brevity(line)}
+    contrast = C.let(F.transform(line, C.kind), lambda own: C.unlike(F.transform("profile", lambda p: F.struct(F.get(own, p["col"]).alias("own"), p["kind"].alias("below")))))
+    parts = {"contrast": contrast, "textness": C.textness(line), "uniqueness": C.uniqueness(line), "fill": F.least(C.fill(line) / F.col("modal"), F.lit(1.0)), "brevity": C.brevity(line)}
     return first.select("sheet", "idx", "cells", F.round(sum(WEIGHTS[k] * v for k, v in parts.items()), 9).alias("score"), parts["contrast"].alias("contrast"), parts["textness"].alias("textness"))
 
 

@@ -20,12 +20,12 @@ MARGIN, CLEAR, AMONG, PIVOT_COLUMNS, PIVOT_SHARE = 0.3, 0.65, 3, 3, 0.9
 
 def transpose(rows: DataFrame) -> DataFrame:
     """rows with rows and columns swapped: sheet, row (the old column) and cells (by the old row, in order). Columns without a value become blank rows."""
-    cells = rows.select("sheet", F.col("row").alias("_old"), F.posexplode("cells").alias("row", "cell"))
-    heights = rows.groupBy("sheet").agg(F.sort_array(F.collect_list("row")).alias("_rows"), F.max(F.size("cells")).alias("_width"))  # a record is as wide as the sheet was high
-    turned = cells.groupBy("sheet", "row").agg(F.map_from_entries(F.collect_list(F.struct("_old", "cell"))).alias("_cells"))
-    other = heights.withColumnRenamed("sheet", "_sheet")
-    turned = turned.join(small(other), F.col("sheet").eqNullSafe(F.col("_sheet")))
-    return turned.select("sheet", F.col("row").cast("long").alias("row"), F.transform("_rows", lambda r: F.try_element_at(F.col("_cells"), r)).alias("cells"))
+    width = rows.groupBy("sheet").agg(F.max(F.size("cells")).alias("_width"))
+    full = _with(rows, width, "sheet", "inner").filter("_width > 0")  # short rows get as many cells as the others, so a record's are just sorted
+    places = F.sequence(F.lit(0), F.col("_width") - 1)
+    cells = full.select("sheet", F.col("row").alias("_old"), F.xxhash64("cells").alias("_line"), F.posexplode(F.transform(places, lambda i: F.get("cells", i))).alias("row", "cell"))
+    turned = cells.groupBy("sheet", "row").agg(F.array_sort(F.collect_list(F.struct("_old", "_line", "cell"))).alias("_cells"))  # a record is as wide as the sheet was high
+    return turned.select("sheet", F.col("row").cast("long").alias("row"), F.transform("_cells", lambda c: c["cell"]).alias("cells"))
 
 
 def _side(table: DataFrame, name: str) -> DataFrame:
@@ -48,23 +48,27 @@ def scores(rows: DataFrame) -> DataFrame:
     start = rows.groupBy("sheet").agg(F.coalesce(F.min(F.when(C.effective_fill(line) > 1, F.col("row"))), F.min("row")).alias("start"))
     body = _with(rows, start, "s").filter("row >= start").withColumn("head", F.col("row") == F.col("start"))
     families = F.array_compact(F.transform(line, lambda c: C.family(C.kind(c))))
-    commonest = lambda kinds: F.array_max(F.transform(F.array_distinct(kinds), lambda k: F.size(F.filter(kinds, lambda x: x == k)))) / F.size(kinds)
+    commonest = lambda found: C.let(found, lambda kinds: F.array_max(F.transform(F.array_distinct(kinds), lambda k: F.size(F.filter(kinds, lambda x: x == k)))) / F.size(kinds))
     per_row = body.groupBy("sheet").agg(
         F.avg(F.when(~F.col("head"), commonest(families))).alias("rows_alike"), F.max(F.when(F.col("head"), C.uniqueness(line))).alias("first_row"),
         F.max(F.when(F.col("head"), line)).alias("labels"), (F.count(F.lit(1)) - 1).alias("records"), F.max(F.size(line)).alias("fields"))
     cells = body.select("sheet", "head", F.posexplode(F.transform(line, C.stripped)).alias("col", "cell")).filter("cell IS NOT NULL").withColumn("kind", C.family(C.kind(F.col("cell"))))
     counts = cells.groupBy("sheet", "col", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("head")).alias("below"))
     columns = counts.groupBy("sheet", "col").agg((F.max("n") / F.sum("n")).alias("alike"), F.sum(F.when(F.col("kind") == "number", F.col("below")).otherwise(0)).alias("numbers"), F.sum("below").alias("below"))
-    across = columns.groupBy("sheet").agg(F.avg(F.when(F.col("col") > 0, F.col("alike"))).alias("columns_alike"), F.map_from_entries(F.collect_list(F.struct("col", F.struct("numbers", "below").alias("n")))).alias("held"))
+    across = columns.groupBy("sheet").agg(F.avg(F.when(F.col("col") > 0, F.col("alike"))).alias("columns_alike"), F.collect_list(F.struct("col", "numbers", "below")).alias("held"))  # as many as the sheet is wide
     values = cells.filter("col = 0").groupBy("sheet", "cell").agg(F.count(F.lit(1)).alias("n")).groupBy("sheet").agg((F.count(F.lit(1)) / F.sum("n")).alias("first_column"))
     found = _with(_with(per_row, across, "a"), values, "v")
     kinds = F.transform("labels", C.kind)
-    tail = F.col("fields") - F.array_max(F.concat(F.array(F.lit(0)), F.transform(kinds, lambda k, i: F.when(k.eqNullSafe(F.element_at(kinds, -1)), 0).otherwise(i + 1))))
+    found = materialise(found.withColumns({"kinds": kinds, "fields": F.col("fields").cast("int")}), "lines")
+    kinds, last = F.col("kinds"), F.col("last")
+    found = found.withColumn("last", F.try_element_at(kinds, F.lit(-1)))
+    unlike = F.array_max(F.concat(F.array(F.lit(0)), F.transform(kinds, lambda k, i: F.when(k.eqNullSafe(last), 0).otherwise(i + 1))))
+    found = found.withColumn("tail", F.col("fields") - unlike)
+    tail, lead = F.col("tail"), F.greatest(F.col("fields") - F.col("tail"), F.lit(0))
     heads = F.transform(F.slice("labels", F.greatest(F.col("fields") - tail + 1, F.lit(1)), F.greatest(tail, F.lit(0))), C.stripped)
-    held = F.transform(F.sequence(F.col("fields") - tail, F.col("fields") - 1), lambda c: F.try_element_at(F.col("held"), c))
-    total = lambda f: F.aggregate(held, F.lit(0).cast("long"), lambda a, h: a + F.coalesce(h[f], F.lit(0)))
-    pivot = (tail >= PIVOT_COLUMNS) & (tail < F.col("fields")) & (F.size(F.array_distinct(heads)) == tail) & F.exists(F.slice(kinds, 1, F.greatest(F.col("fields") - tail, F.lit(0))), lambda k: ~k.eqNullSafe(F.element_at(kinds, -1)))
-    pivot = pivot & (total("numbers") == total("below")) & (total("below") >= PIVOT_SHARE * tail * F.col("records")) & (F.size("labels") == F.col("fields")) & F.element_at(kinds, -1).isNotNull()
+    total = lambda f: F.aggregate(F.filter(F.coalesce("held", F.array().cast("array<struct<col:int,numbers:bigint,below:bigint>>")), lambda h: h["col"] >= F.col("fields") - tail), F.lit(0).cast("long"), lambda a, h: a + F.coalesce(h[f], F.lit(0)))
+    pivot = (tail >= PIVOT_COLUMNS) & (tail < F.col("fields")) & (F.size(F.array_distinct(heads)) == tail) & F.exists(F.slice(kinds, 1, lead), lambda k: ~k.eqNullSafe(last))
+    pivot = pivot & (total("numbers") == total("below")) & (total("below") >= PIVOT_SHARE * tail * F.col("records")) & (F.size("labels") == F.col("fields")) & last.isNotNull()
     return found.select(
         "sheet", (F.coalesce("columns_alike", F.lit(0.0)) + F.coalesce("first_row", F.lit(0.0))).alias("row_score"), (F.coalesce("rows_alike", F.lit(0.0)) + F.coalesce("first_column", F.lit(0.0))).alias("column_score"),
         "records", "fields", F.coalesce(F.when(F.size("labels") == F.col("fields"), pivot), F.lit(False)).alias("pivot"))

@@ -51,3 +51,12 @@ def test_transpose_twice_and_ragged_rows(spark):
     assert sorted((r.sheet or "", r.row, r.cells) for r in once.collect()) == [("", 0, [None]), ("", 1, ["q"]), ("a", 0, ["x", "1"]), ("a", 1, ["y", None]), ("a", 2, ["z", None])]
     assert sorted((r.sheet or "", r.cells) for r in orientation.transpose(once).collect()) == [("", [None, "q"]), ("a", ["1", None, None]), ("a", ["x", "y", "z"])]
     assert orientation.upright(df.filter(F.lit(False))).collect() == []
+
+
+def test_transpose_of_rows_alike_in_number_and_of_many(spark):
+    twice = spark.createDataFrame([("s", 1, ["a", "b"]), ("s", 1, ["c", "d"]), ("s", 2, ["e"])], SCHEMA)
+    found = [r.cells for r in orientation.transpose(twice).orderBy("row").collect()]
+    assert sorted(zip(*[cells[:2] for cells in found], strict=True)) == [("a", "b"), ("c", "d")] and [cells[2] for cells in found] == ["e", None]
+    high = spark.range(20_000).select(F.lit("s").alias("sheet"), F.col("id").alias("row"), F.array(F.col("id").cast("string"), F.lit("x")).alias("cells"))
+    first, second = (r.cells for r in orientation.transpose(high).orderBy("row").collect())
+    assert first == [str(i) for i in range(20_000)] and second == ["x"] * 20_000
