@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import cells as C
 from millrace.operators.numbering import numbered
-from millrace.storage import materialise, small
+from millrace.storage import materialise, small, spread
 
 # Least share of the usual fill for a record, tolerances of sums, what makes a restated header, share of records under a group label.
 SPARSE_RATIO, TOLERANCE, RELATIVE = 0.6, 0.01, 1e-9
@@ -25,38 +25,49 @@ FOOTER_WORDS = r"(?i)(end of report|confidential|for queries|generated on|prepar
 DROPPED = ("FOOTER", "SUBTOTAL", "GRAND_TOTAL", "REPEATED_HEADER", "UNVERIFIED_TOTAL", "GROUP_LABEL")
 
 
-def profile(rows: DataFrame) -> DataFrame:
-    """sheet and profile (array of kinds by column, null for an empty one): the most frequent kind of each column, of equals the one met first."""
-    cells = rows.select("sheet", "row", F.posexplode(F.transform("cells", C.kind)).alias("col", "kind"))
+def _read(rows: DataFrame) -> DataFrame:
+    """rows with texts, kinds and numbers of their cells."""
+    return rows.withColumn("_read", C.read(F.col("cells"))).select(*rows.columns, F.col("_read.text").alias("texts"), F.col("_read.kind").alias("kinds"), F.col("_read.number").alias("numbers"))
+
+
+def _profile(rows: DataFrame) -> DataFrame:
+    cells = rows.select("sheet", "row", F.posexplode("kinds").alias("col", "kind"))
     counts = cells.groupBy("sheet", "col", "kind").agg(F.when(F.col("kind").isNotNull(), F.count(F.lit(1))).otherwise(0).alias("n"), F.min("row").alias("first"))
     best = counts.groupBy("sheet", "col").agg(F.max_by("kind", F.struct("n", (-F.col("first")).alias("early"))).alias("kind"))
     return best.groupBy("sheet").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "kind"))), lambda p: p["kind"]).alias("profile"))  # as long as the sheet is wide
 
 
+def profile(rows: DataFrame) -> DataFrame:
+    """sheet and profile (array of kinds by column, null for an empty one): the most frequent kind of each column, of equals the one met first."""
+    return _profile(_read(rows))
+
+
 def usual_fill(rows: DataFrame) -> DataFrame:
     """sheet and modal: how many cells most rows of the sheet fill, of equally frequent numbers the larger; merged titles count as one."""
     counts = rows.select("sheet", C.effective_fill(F.col("cells")).alias("fill")).filter("fill > 0").groupBy("sheet", "fill").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy("sheet").agg(F.max_by("fill", F.struct("n", "fill")).alias("modal"))
 
 
-def _folded(cells: Column) -> Column:
-    return F.transform(C.filled(cells), F.lower)
-
-
 def _join(rows: DataFrame, per_sheet: DataFrame) -> DataFrame:
     """rows with the columns of per_sheet; a sheet without a row there keeps nulls."""
     other = per_sheet.withColumnRenamed("sheet", "_sheet")
     return rows.join(small(other), F.col("sheet").eqNullSafe(F.col("_sheet")), "left").drop("_sheet")
 
 
+def _fill() -> Column:
+    return F.size(F.array_compact("texts"))
+
+
 def _first_class(header: Column) -> Column:
     """The class by fill and header alone; SPARSE_KEPT is what arithmetic has yet to decide."""
-    cells, fill = F.col("cells"), C.fill(F.col("cells"))
-    pairs = F.filter(F.arrays_zip(F.transform(cells, C.stripped).alias("own"), F.transform(header, C.stripped).alias("label")), lambda p: p["own"].isNotNull() & p["label"].isNotNull())
-    echoes = (F.size(pairs) >= 2) & F.forall(pairs, lambda p: F.lower(p["own"]) == F.lower(p["label"]))
-    repeats = header.isNotNull() & (fill > 0) & (_folded(cells) == _folded(header))
-    restates = (fill >= 2) & (C.contrast(cells, F.col("profile")) >= HEADER_CONTRAST) & (C.textness(cells) >= HEADER_TEXTNESS)
-    numeric = F.exists(cells, lambda c: C.number(c).isNotNull())
+    fill, folded = F.col("fill"), lambda texts: F.transform(F.array_compact(texts), F.lower)
+    labels = F.transform(header, C.stripped)
+    pairs = F.filter(F.arrays_zip(F.col("texts").alias("own"), labels.alias("label")), lambda p: p["own"].isNotNull() & p["label"].isNotNull())
+    echoes = C.let(pairs, lambda held: (F.size(held) >= 2) & F.forall(held, lambda p: F.lower(p["own"]) == F.lower(p["label"])))
+    repeats = header.isNotNull() & (fill > 0) & (folded("texts") == folded(labels))
+    contrast = C.unlike(F.arrays_zip(F.col("kinds").alias("own"), F.col("profile").alias("below")))
+    restates = (fill >= 2) & (F.size(F.filter("kinds", lambda k: k == "text")) / fill >= HEADER_TEXTNESS) & (contrast >= HEADER_CONTRAST)
+    numeric = F.exists("numbers", lambda n: n.isNotNull())
     least = F.greatest(F.col("modal") * SPARSE_RATIO, F.when(F.size("profile") > 1, 2).otherwise(1))
     return (
         F.when(repeats | F.coalesce(header.isNotNull() & echoes, F.lit(False)) | restates, "REPEATED_HEADER").when(fill >= least, "DATA")
@@ -65,7 +76,7 @@ def _first_class(header: Column) -> Column:
 
 def _numbers(rows: DataFrame, *extra: str) -> DataFrame:
     """sheet, idx, extra, col and value of every number."""
-    return rows.select("sheet", "idx", *extra, F.posexplode(F.transform("cells", C.number)).alias("col", "value")).filter("value IS NOT NULL")
+    return rows.select("sheet", "idx", *extra, F.posexplode("numbers").alias("col", "value")).filter("value IS NOT NULL")
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -108,7 +119,7 @@ def _dense_total(rows: DataFrame) -> DataFrame:
     none, over two rows or more.
     """
     kept = rows.filter(F.col("class").isin("DATA", "SPARSE_KEPT"))
-    labels = F.size(F.filter("cells", lambda c: C.stripped(c).isNotNull() & C.number(c).isNull()))
+    labels = _fill() - F.size(F.array_compact("numbers"))
     last = kept.groupBy("sheet").agg(F.max("idx").alias("last"), F.max_by("class", "idx").alias("last_class"), F.count(F.lit(1)).alias("kept")).filter("kept >= 2 AND last_class = 'DATA'")
     sides = _join(kept.withColumn("labels", labels), last.select("sheet", "last")).filter("last IS NOT NULL").withColumn("is_last", F.col("idx") == F.col("last"))
     names = sides.groupBy("sheet").agg(F.max("last").alias("last"), F.max(F.when(F.col("is_last"), F.col("labels"))).alias("own"), F.min(F.when(~F.col("is_last"), F.col("labels"))).alias("least"), F.count_if(~F.col("is_last")).alias("above"))
@@ -132,11 +143,12 @@ def classify(rows: DataFrame, headers: DataFrame | None = None, levels: int = 1)
     (records between them don't matter) is a subtotal of the next, level says which. Blank rows belong to no table and are left out. Null sheets are one
     sheet; rows equal in sheet and row keep their own idx in any order. An empty table gives no rows. Sums are of doubles.
     """
-    rows = rows.select("sheet", "row", "cells").filter(C.fill(F.col("cells")) > 0)
-    evidence = usual_fill(rows).join(profile(rows).withColumnRenamed("sheet", "_p"), F.col("sheet").eqNullSafe(F.col("_p"))).drop("_p")
+    rows = materialise(_read(spread(rows.select("sheet", "row", "cells"))).withColumn("fill", _fill()), "cells").filter("fill > 0")  # all that looks at texts
+    evidence = usual_fill(rows.select("sheet", F.col("texts").alias("cells"))).join(_profile(rows).withColumnRenamed("sheet", "_p"), F.col("sheet").eqNullSafe(F.col("_p"))).drop("_p")
     rows = _join(rows, evidence)
     rows = _join(rows, headers.select("sheet", "header")) if headers is not None else rows.withColumn("header", F.lit(None).cast("array<string>"))
-    rows = rows.select("sheet", "row", "cells", _first_class(F.col("header")).alias("class")).withColumn("is_data", (F.col("class") == "DATA").cast("int"))
+    rows = rows.select("sheet", "row", "cells", "texts", "numbers", _first_class(F.col("header")).alias("class"))
+    rows = materialise(rows.withColumn("is_data", (F.col("class") == "DATA").cast("int")), "first")  # the range sort would work it out twice
     rows = numbered(rows, ["sheet"], ["row"], nth="idx", sums={"ahead": "is_data"}).drop("is_data")
     nothing = {"summed": F.lit(None).cast("long"), "column": F.lit(None).cast("int"), "level": F.lit(0)}
     rows = materialise(rows.withColumns(nothing), "classes")
@@ -168,29 +180,29 @@ def classify(rows: DataFrame, headers: DataFrame | None = None, levels: int = 1)
 
 def _labels(rows: DataFrame) -> DataFrame:
     """rows with what is left decided by wording and place: unverified totals, group labels, footers."""
-    cell = lambda at: C.stripped(F.get("cells", at))
-    lead = F.get(C.filled(F.col("cells")), F.lit(0))
+    filled = F.array_compact("texts")
+    lead = F.get(filled, F.lit(0))
     rows = rows.withColumn("class", F.when((F.col("class") == "SPARSE_KEPT") & lead.rlike(TOTAL_WORDS), "UNVERIFIED_TOTAL").otherwise(F.col("class")))
-    first = F.array_position(F.transform("cells", lambda c: C.stripped(c).isNotNull()), True) - 1
+    first = F.array_position(F.transform("texts", lambda c: c.isNotNull()), True) - 1
     data = rows.filter("class = 'DATA'")
-    about = data.groupBy("sheet").agg(F.count(F.lit(1)).alias("records"), F.count_if(cell(F.lit(0)).isNull()).alias("blank"), F.min(first).cast("int").alias("key"), F.max("idx").alias("last_record"))
+    about = data.groupBy("sheet").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.get("texts", F.lit(0)).isNull()).alias("blank"), F.min(first).cast("int").alias("key"), F.max("idx").alias("last_record"))
     rows = _join(rows, about)
-    numeric = F.exists("cells", lambda c: C.number(c).isNotNull())
+    numeric = F.exists("numbers", lambda c: c.isNotNull())
     trailing = (F.col("class") == "SPARSE_KEPT") & (F.col("idx") > F.col("last_record")) & ~numeric
-    alone = (F.size(C.filled(F.col("cells"))) == 1) & cell(F.lit(0)).isNotNull() & (F.col("blank") / F.col("records") >= GROUP_BLANK_SHARE)
+    alone = (F.size(filled) == 1) & F.get("texts", F.lit(0)).isNotNull() & (F.col("blank") / F.col("records") >= GROUP_BLANK_SHARE)
     rows = rows.withColumn("class", F.when(trailing, "FOOTER").otherwise(F.col("class")))
 
     # The records next to each footer: records are numbered, and `ahead` says how many stand above a row
-    keyed = C.stripped(F.get("cells", F.col("key"))).isNotNull() & C.number(F.get("cells", F.col("key"))).isNull()
+    keyed = F.get("texts", F.col("key")).isNotNull() & F.get("numbers", F.col("key")).isNull()
     footers = rows.filter((F.col("class") == "FOOTER") & ~trailing).select("sheet", "idx", "ahead", "key")
     sides = footers.select("sheet", "idx", F.explode(F.array(F.struct((F.col("ahead") - 1).alias("number"), F.lit(True).alias("above")), F.struct(F.col("ahead").alias("number"), F.lit(False).alias("above")))).alias("s")).select("sheet", "idx", "s.*")
-    records = rows.filter("class = 'DATA'").select(F.col("sheet").alias("_s"), F.col("ahead").alias("_n"), F.col("idx").alias("_at"), keyed.alias("_keyed"), cell(F.lit(0)).isNull().alias("_blank"))
+    records = rows.filter("class = 'DATA'").select(F.col("sheet").alias("_s"), F.col("ahead").alias("_n"), F.col("idx").alias("_at"), keyed.alias("_keyed"), F.get("texts", F.lit(0)).isNull().alias("_blank"))
     beside = sides.join(records, F.col("sheet").eqNullSafe(F.col("_s")) & (F.col("number") == F.col("_n")))
     beside = beside.groupBy("sheet", "idx").agg(F.bool_and("_keyed").alias("_both"), F.count(F.lit(1)).alias("_sides"), F.bool_or(~F.col("above") & (F.col("_at") == F.col("idx") + 1) & F.col("_blank")).alias("_heads"))
     beside = beside.select(F.col("sheet").alias("_f"), F.col("idx").alias("_fi"), (F.col("_both") & (F.col("_sides") == 2)).alias("_between"), "_heads")
     rows = rows.join(small(beside), F.col("sheet").eqNullSafe(F.col("_f")) & (F.col("idx") == F.col("_fi")), "left")
     footer = F.col("class") == "FOOTER"
-    only_key = (F.size(C.filled(F.col("cells"))) == 1) & keyed & ~lead.rlike(FOOTER_WORDS) & ~lead.rlike(TOTAL_WORDS)
+    only_key = (F.size(filled) == 1) & keyed & ~lead.rlike(FOOTER_WORDS) & ~lead.rlike(TOTAL_WORDS)
     class_ = F.when(footer & ~trailing & alone & F.coalesce("_heads", F.lit(False)), "GROUP_LABEL").when(footer & ~trailing & F.coalesce("_between", F.lit(False)) & only_key, "SPARSE_KEPT").otherwise(F.col("class"))
     return rows.select("sheet", "row", "cells", "idx", class_.alias("class"), "level", "summed", "column")
 

@@ -30,6 +30,11 @@ def materialise(df: DataFrame, name: str = "part") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly over as many partitions as a shuffle has: few rows that cost much to read shouldn't lie in one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def small(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if a count finds it within the bounds, else df."""
     wide = sum((F.octet_length(F.col(f"`{f.name}`").cast("string")) for f in df.schema if f.dataType.typeName() in ("string", "binary", "array", "map", "struct")), F.lit(0))

@@ -96,3 +96,11 @@ def test_one_long_sheet_over_many_partitions(spark):
         F.array(F.concat(F.lit("Zone "), "id"), F.lit("agency"), (F.col("id") % 8 + 1).cast("string"), F.concat(F.lit("POL-"), F.lpad(F.col("id").cast("string"), 5, "0")))).alias("cells"))
     found = rowclass.classify(body).groupBy("class").count().collect()
     assert {r["class"]: r["count"] for r in found} == {"DATA": 3500, "SUBTOTAL": 500}
+
+
+def test_a_cell_is_stripped_once_however_often_it_is_looked_at(spark):
+    from millrace.functions import cells as C
+
+    for function, times in ((C.kind, 1), (C.read, 2), (C.effective_fill, 1), (C.brevity, 1)):  # read strips a cell, then marks off its number
+        assert str(function(F.col("cells"))).count("regexp_replace") == times, function
+    assert str(C.contrast(F.col("cells"), F.col("profile"))).count("regexp_replace") == 1
