@@ -17,34 +17,52 @@ from millrace.functions.text import blank_to_null
 # rows beyond which same-width numbers are codes, and the serials of the days of 1900 to 2100.
 DATE_SHARE, NUMERIC_SHARE, CODE_SHARE, CODE_ROWS = 0.6, 0.6, 0.9, 10
 SERIALS = (2, 73415)
+# Texts that stand for themselves alone, since what they are depends on their very digits: whatever is shaped like a date, powers of
+# ten, and numbers so long that a double may round them. Of all others only places of digits, zeros, letters and marks count.
+ITSELF = (
+    r"^(?:\d{1,4}([-/.])\d{1,2}\1\d{1,4}(?:[ T][\d:]+)?|(?:\d{1,2} [A-Z][a-z]{2,8}|[A-Z][a-z]{2,8} \d{1,2},?) \d{4}|(?:19\d\d|20\d\d|2100)(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])"
+    r"|[^A-Za-z]*[Ee][^A-DF-Za-df-z]*|(?=[\s\S]{16})[^A-Za-z]*[.,][^A-Za-z]*|(?=[\s\S]{300})[^A-Za-z]*)$")
+_CAPITALS = "ABCDFGHIJKLMNOPQRSTUVWXYZ"
+_ALIKE = "23456789" + _CAPITALS[1:] + _CAPITALS.lower()[1:], "1" * 8 + "A" * 24 + "a" * 24
+
+
+def alike(v: Column) -> Column:
+    """A text of which every count of evidence() says what it says of v: digits are 1 or 0, letters but for E are A or a, where no more matters."""
+    return F.when(v.rlike(ITSELF), v).otherwise(F.translate(v, *_ALIKE))
 
 
 def evidence(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column: counts of what its filled values look like.
 
-    Values are counted first, in the tasks and then by one exchange, so that each distinct value of a column is parsed
-    once however often it stands there. Columns without values, of an empty table too, have counts of zero.
+    Values are counted first, in the tasks and then by one exchange; then those that are alike() are counted together, so that a column of
+    keys or amounts is parsed in as many texts as it has shapes, not values. Columns without values, of an empty table too, have counts of zero.
     """
     values = F.array(*[F.struct(F.lit(i).alias("at"), blank_to_null(F.col(f"`{c}`").cast("string")).alias("v")) for i, c in enumerate(columns)])
-    counted = df.select(F.explode(values).alias("p")).select("p.at", "p.v").filter("v IS NOT NULL").groupBy("at", "v").agg(F.count(F.lit(1)).alias("n"))
+    each = df.select(F.explode(values).alias("p")).select("p.at", "p.v").filter("v IS NOT NULL").groupBy("at", "v").agg(F.count(F.lit(1)).alias("n"))
+    day_serial = F.col("v").rlike(r"^\d{5}$") & F.col("v").try_cast("int").between(*SERIALS)
+    shapes = each.groupBy("at", alike(F.col("v")).alias("v"), day_serial.alias("day_serial")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values"))
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "at int, column_name string")
+    every = names.join(tally(shapes), "at", "left").drop("at")
+    return every.fillna(0, [c for c, kind in every.dtypes if kind == "bigint"])
+
+
+def tally(counted: DataFrame) -> DataFrame:
+    """The counts of evidence() of counted(at, v, day_serial, n, values): a text v that stands n times in column `at`, for so many distinct values, and whether they are the serials of days."""
     v, core, serial = F.col("v"), F.regexp_replace("v", r"[^\d.,-]", ""), F.col("v").rlike(r"^\d{5}$")
-    read = counted.select("at", "v", "n", core.alias("core"), any_date(v, serials=False).alias("day"), clean_number(v).alias("us"), clean_number(v, european=True).alias("eu"))
+    read = counted.select("at", "v", "day_serial", "n", "values", core.alias("core"), any_date(v, serials=False).alias("day"), clean_number(v).alias("us"), clean_number(v, european=True).alias("eu"))
     day, us, eu, digits = F.col("day"), F.col("us"), F.col("eu"), v.rlike(r"^\d+$")
     letters = v.rlike("[A-Za-z]") & v.rlike(r"\d") & ~v.rlike(r"^[+-]?[\d.]+[eE][+-]?\d+$")
     joined = v.rlike(r"^\d+(?:[-/ ]\d+)+$") & ~v.rlike(r"^\d{1,3}(?: \d{3})+$")
     risky = v.rlike(r"\d") & ~v.rlike(r"^[0.,\s-]*$")
     pairs = {f"{name}_{order}": pair_date(v, name, pattern).isNotNull() for name in PAIRS for order, pattern in (("month_first", MONTH_FIRST), ("day_first", DAY_FIRST))}
     tests = {
-        "present": F.lit(True), "dates": day.isNotNull(), "eight_digits": v.rlike(r"^\d{8}$"), "serials": serial, "day_serials": serial & v.try_cast("int").between(*SERIALS), "digits": digits, "leading_zero": v.rlike(r"^0\d+$"),
+        "present": F.lit(True), "dates": day.isNotNull(), "eight_digits": v.rlike(r"^\d{8}$"), "serials": serial, "day_serials": F.col("day_serial"), "digits": digits, "leading_zero": v.rlike(r"^0\d+$"),
         "codes": (letters | joined) & day.isNull(), "us_numbers": us.isNotNull(), "eu_numbers": eu.isNotNull(), "us_votes": F.col("core").rlike(US_ONLY), "eu_votes": F.col("core").rlike(EU_ONLY),
         "us_fractions": us % 1 != 0, "eu_fractions": eu % 1 != 0, "us_losses": risky & us.isNull(), "eu_losses": risky & eu.isNull(), "date_losses": risky & day.isNull() & ~serial} | pairs
     width = F.when(digits, F.length(v))
-    found = read.groupBy("at").agg(
+    return read.groupBy("at").agg(
         *[F.sum(F.when(held, F.col("n")).otherwise(0)).alias(k) for k, held in tests.items()],
-        F.min(width).alias("least_width"), F.max(width).alias("most_width"), F.count(F.lit(1)).alias("distinct_values"))
-    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "at int, column_name string")
-    every = names.join(found, "at", "left").drop("at")
-    return every.fillna(0, [*tests, "distinct_values"])
+        F.min(width).alias("least_width"), F.max(width).alias("most_width"), F.sum("values").alias("distinct_values"))
 
 
 def decide(found: DataFrame) -> DataFrame:

@@ -86,3 +86,25 @@ def test_stacked_tables_keep_their_names_rows_and_columns(spark):
         reshape.stack({"p": one, "q": other.drop("x")})
     held = spark.createDataFrame([(1, "a", "p"), (2, "b", None)], "id int, x string, sheet string")
     assert sorted(map(tuple, reshape.stack_parts(held, "sheet", "none").collect())) == [("none", 2, "b"), ("p", 1, "a")]
+
+
+ODD = [
+    "5", "05", "0", "00000", "00001", "00002", "45000", "73415", "73416", "08085", "20240131", "20240231", "18991231", "21001231", "21011231", "98765432", "1,234.50", "1,000.00", "1.234,50", "1.234", "1,234", "-3.25", "(250)", "250-", "--5", "1,23", "12%",
+    "0.0", "-0.00", "0,0", "10.0000", "1.25e1", "1.25e2", "2E3", "e", "E5", "9e999", "9007199254740993.5", "123456789012.345", "9" * 309, "9" * 18, "0.00000000000000000007", "2024-02-30", "2024-2-3", "0000-00-00", "2024-02-03 10:11:12",
+    "2024-02-03T25:00:00", "2024/13/1", "31.12.2024", "32.12.2024", "13/02/2024", "02/13/2024", "13-13-2024", "3 Mar 2024", "3 Mai 2024", "March 3 2024", "Mar 3, 2024", "3 Sept 2024", "12AB", "Texas 7", "59808-1658", "10 000", "555 12 99", "n/a", "Ünal 5", "٣٤", "$1 234", "1 e 5", "a\n7", "1\n2"]
+
+
+def test_texts_that_are_alike_count_alike(spark):
+    rows = spark.createDataFrame(list(enumerate(ODD)), "at int, v string")
+    serial = F.col("v").rlike(r"^\d{5}$") & F.col("v").try_cast("int").between(*typing.SERIALS)
+    plain = rows.select("at", "v", serial.alias("day_serial"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("values"))
+    plain_counts, counts = (sorted(map(tuple, typing.tally(t).collect())) for t in (plain, plain.withColumn("v", typing.alike(F.col("v")))))
+    assert [(ODD[a[0]], a) for a in plain_counts] == [(ODD[b[0]], b) for b in counts] and len(counts) == len(ODD)
+
+
+def test_keys_and_amounts_are_parsed_by_shape(spark):
+    rows = spark.range(20000).select(F.col("id").cast("string").alias("key"), F.concat("id", F.lit(".5")).alias("amount"), F.concat(F.lit("C-"), "id").alias("account"), F.lpad("id", 5, "0").alias("zip"))
+    assert rows.select(F.explode(F.array(*[typing.alike(F.col(c)) for c in rows.columns]))).distinct().count() < 200
+    found = {r.column_name: r for r in typing.evidence(rows, rows.columns).collect()}
+    assert [(found[c].present, found[c].distinct_values) for c in rows.columns] == [(20000, 20000)] * 4
+    assert (found["zip"].serials, found["zip"].day_serials, found["key"].us_fractions, found["amount"].us_fractions, found["account"].codes) == (20000, 19998, 0, 20000, 20000)
