@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.cells import let
 from millrace.functions.text import strip
 
 # Currency marks, words for true and false, and month names by their first three letters.
@@ -72,14 +73,22 @@ def clean_number(c: Column, european: bool | Column = False) -> Column:
 
     `european` reads 1.234,5. Groups of other than three digits aren't numbers.
     """
-    text = strip(c.cast("string"))
+    return any_number(strip(c.cast("string")), european)
+
+
+def any_number(text: Column, european: bool | Column = False) -> Column:
+    """clean_number of a text already stripped, which is looked at many times; give it a column, not an expression."""
     bracketed = F.startswith(text, F.lit("(")) & F.endswith(text, F.lit(")"))
     negated = bracketed | text.rlike(r"\d\s*-$")
-    text = F.when(bracketed, F.substring(text, F.lit(2), F.length(text) - 2)).when(negated, F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
-    text = F.regexp_replace(text, DRESS, "")
-    text = F.when(european if isinstance(european, Column) else F.lit(european), F.translate(text, ",.", ".,")).otherwise(text)
-    value = F.when(text.rlike(rf"^[+-]?{_DIGITS}$"), F.replace(text, F.lit(","), F.lit("")).try_cast("double"))
-    return F.when(negated, F.when(~text.rlike("^[+-]"), -value)).otherwise(value)  # a number has one sign
+    bare = F.when(bracketed, F.substring(text, F.lit(2), F.length(text) - 2)).when(negated, F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    bare = F.regexp_replace(bare, DRESS, "")
+    bare = F.when(european if isinstance(european, Column) else F.lit(european), F.translate(bare, ",.", ".,")).otherwise(bare)
+
+    def value(held: Column) -> Column:
+        number = F.when(held.rlike(rf"^[+-]?{_DIGITS}$"), F.replace(held, F.lit(","), F.lit("")).try_cast("double"))
+        return F.when(negated, F.when(~held.rlike("^[+-]"), -number)).otherwise(number)  # a number has one sign
+
+    return let(bare, value)
 
 
 def bare_number(c: Column) -> Column:

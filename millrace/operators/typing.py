@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.dates import DAY_FIRST, MONTH_FIRST, PAIRS, any_date, pair_date
 from millrace.functions.headers import names_date, names_identifier
-from millrace.functions.numbers import EU_ONLY, US_ONLY, clean_number
+from millrace.functions.numbers import EU_ONLY, US_ONLY, any_number
 from millrace.functions.text import blank_to_null
 
 # Shares of values that make a column one of dates or numbers, of distinct values that make a code, the
@@ -49,7 +49,7 @@ def evidence(df: DataFrame, columns: list[str]) -> DataFrame:
 def tally(counted: DataFrame) -> DataFrame:
     """The counts of evidence() of counted(at, v, day_serial, n, values): a text v that stands n times in column `at`, for so many distinct values, and whether they are the serials of days."""
     v, core, serial = F.col("v"), F.regexp_replace("v", r"[^\d.,-]", ""), F.col("v").rlike(r"^\d{5}$")
-    read = counted.select("at", "v", "day_serial", "n", "values", core.alias("core"), any_date(v, serials=False).alias("day"), clean_number(v).alias("us"), clean_number(v, european=True).alias("eu"))
+    read = counted.select("at", "v", "day_serial", "n", "values", core.alias("core"), any_date(v, serials=False).alias("day"), any_number(v).alias("us"), any_number(v, european=True).alias("eu"))
     day, us, eu, digits = F.col("day"), F.col("us"), F.col("eu"), v.rlike(r"^\d+$")
     letters = v.rlike("[A-Za-z]") & v.rlike(r"\d") & ~v.rlike(r"^[+-]?[\d.]+[eE][+-]?\d+$")
     joined = v.rlike(r"^\d+(?:[-/ ]\d+)+$") & ~v.rlike(r"^\d{1,3}(?: \d{3})+$")
@@ -103,7 +103,7 @@ def typed(df: DataFrame, decided: DataFrame) -> DataFrame:
             return text
         if rule["kind"] == "date":
             return any_date(text, {name: rule[name] for name in PAIRS}).alias(c)
-        return clean_number(text, rule["european"]).cast(rule["kind"]).alias(c)
+        return any_number(text, rule["european"]).cast(rule["kind"]).alias(c)
 
     # stripped in a projection of its own, which stays one since the next looks at each text many times
     stripped = df.select(*[blank_to_null(F.col(f"`{c}`").cast("string")).alias(c) if c in rules else F.col(f"`{c}`") for c in df.columns])

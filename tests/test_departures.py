@@ -108,3 +108,11 @@ def test_keys_and_amounts_are_parsed_by_shape(spark):
     found = {r.column_name: r for r in typing.evidence(rows, rows.columns).collect()}
     assert [(found[c].present, found[c].distinct_values) for c in rows.columns] == [(20000, 20000)] * 4
     assert (found["zip"].serials, found["zip"].day_serials, found["key"].us_fractions, found["amount"].us_fractions, found["account"].codes) == (20000, 19998, 0, 20000, 20000)
+
+
+def test_typed_columns_strip_each_text_once(spark):
+    rows = spark.createDataFrame([(" 1.5 ", "(2,500)"), ("3", "7-"), (" ", None)], "a string, b string")
+    out = typing.typed(rows, typing.decide(typing.evidence(rows, ["a", "b"])))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"^\s+|\s+$") == 2 and plan.count(numbers.DRESS) == 2
+    assert out.dtypes == [("a", "double"), ("b", "bigint")] and sorted(map(tuple, out.collect()), key=str) == [(1.5, -2500), (3.0, -7), (None, None)]
