@@ -10,6 +10,8 @@ from millrace.storage import materialise, small
 
 #: Fixed value: the least share of a column's values that another one must hold.
 OVERLAP_MIN = 0.5
+#: Columns whose bits a word of a set of columns holds.
+WORD = 62
 
 
 def assign(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
@@ -39,28 +41,40 @@ def assign(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
     return chosen.select(a.alias(left), b.alias(right), F.col("s").alias(score), "round")
 
 
+def counted(tables: dict[str, DataFrame]) -> DataFrame:
+    """at (place of a column among those of all tables), text and n: how often each text stands in each column, as written."""
+    every, at = None, 0
+    for table in tables.values():
+        cells = F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"`{c}`").cast("string").alias("text")) for i, c in enumerate(table.columns, at)])
+        part = table.select(F.explode(cells).alias("p")).select("p.*").filter("text IS NOT NULL").groupBy("at", "text").agg(F.count(F.lit(1)).alias("n"))
+        every, at = part if every is None else every.unionByName(part), at + len(table.columns)
+    return every
+
+
 def inclusions(tables: dict[str, DataFrame], least: float = OVERLAP_MIN) -> DataFrame:
     """Pairs of columns of different tables of which the second holds at least the share `least` of the first's values.
 
     Gives column and other (table.column), values (distinct ones of the first), found, share and uniqueness (distinct values of the other per filled row, 1: a join
-    multiplies nothing). Values are compared as cleaned texts; blank ones count as none. Values are counted per column first; then each distinct value is sent
-    once, with the columns that hold it, and values held by the same columns are counted together, so pairs are made of sets of columns, never of rows.
+    multiplies nothing). Values are compared as cleaned texts; blank ones count as none. Texts are counted per column as written and then cleaned, each once; a value
+    is sent once, with a bit for each column that holds it, and values held by the same columns are counted together, so pairs are made of sets of columns, never of rows.
     """
-    every = None
-    for name, table in tables.items():
-        cells = F.array(*[F.struct(F.lit(f"{name}.{c}").alias("column"), join_key(F.col(f"`{c}`").cast("string")).alias("value")) for c in table.columns])
-        part = table.select(F.explode(cells).alias("p")).select("p.*").filter("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-        every = part if every is None else every.unionByName(part)
-    every = materialise(every, "values")
-    sizes = every.groupBy("column").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("filled"))  # a row per column
-    sets = every.groupBy("value").agg(F.array_sort(F.collect_list("column")).alias("columns"))  # as many as there are columns
-    sets = sets.groupBy("columns").agg(F.count(F.lit(1)).alias("n"))
-    pairs = sets.select("n", "columns", F.explode("columns").alias("column")).select("n", "column", F.explode("columns").alias("other"))
-    of = lambda c: F.substring_index(c, ".", 1)
-    found = pairs.filter(of(F.col("column")) != of(F.col("other"))).groupBy("column", "other").agg(F.sum("n").alias("found"))
-    theirs = sizes.select(F.col("column").alias("other"), F.round(F.col("values") / F.col("filled"), 6).alias("uniqueness"))
-    found = found.join(F.broadcast(sizes.select("column", "values")), "column").join(F.broadcast(theirs), "other")
-    return found.withColumn("share", F.round(F.col("found") / F.col("values"), 6)).filter(F.col("share") >= least).select("column", "other", "values", "found", "share", "uniqueness")
+    names = [(t, c) for t, table in tables.items() for c in table.columns]
+    held = materialise(counted(tables).select("at", join_key(F.col("text")).alias("value"), "n").filter("value IS NOT NULL"), "values")
+    filled = held.groupBy("at").agg(F.sum("n").alias("filled"))  # a row per column
+    words = [f"word{w}" for w in range(-(-len(names) // WORD))]
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at") % WORD)
+    marked = [F.bit_or(F.when(F.col("at").between(w * WORD, (w + 1) * WORD - 1), bit).otherwise(F.lit(0).cast("long"))).alias(word) for w, word in enumerate(words)]
+    sets = held.groupBy("value").agg(*marked).groupBy(*words).agg(F.count(F.lit(1)).alias("n"))
+    holds = F.array(*[F.call_function("shiftright", F.col(words[i // WORD]), F.lit(i % WORD)).bitwiseAND(F.lit(1)) == 1 for i in range(len(names))])
+    columns = F.filter(F.transform(holds, lambda held, i: F.when(held, i)), lambda i: i.isNotNull())  # as many as there are columns
+    sets = materialise(sets.select("n", columns.alias("columns")), "sets")
+    single = sets.select("n", "columns", F.explode("columns").alias("at"))
+    sizes = single.groupBy("at").agg(F.sum("n").alias("values"))
+    table_of, name_of = F.array(*[F.lit(t) for t, _ in names]), F.array(*[F.lit(f"{t}.{c}") for t, c in names])
+    pairs = single.select("n", "at", F.explode("columns").alias("to")).filter(F.get(table_of, F.col("at")) != F.get(table_of, F.col("to"))).groupBy("at", "to").agg(F.sum("n").alias("found"))
+    theirs = sizes.join(F.broadcast(filled), "at").select(F.col("at").alias("to"), F.round(F.col("values") / F.col("filled"), 6).alias("uniqueness"))
+    found = pairs.join(F.broadcast(sizes), "at").join(F.broadcast(theirs), "to").withColumn("share", F.round(F.col("found") / F.col("values"), 6)).filter(F.col("share") >= least)
+    return found.select(F.get(name_of, F.col("at")).alias("column"), F.get(name_of, F.col("to")).alias("other"), "values", "found", "share", "uniqueness")
 
 
 def suggested_keys(tables: dict[str, DataFrame], least: float = OVERLAP_MIN) -> DataFrame:

@@ -49,3 +49,18 @@ def test_the_values_find_keys_whose_names_disagree(spark):
         ("brokers.region", "other.area.code"): (2, 1, 0.5, 1.0), ("other.area.code", "brokers.region"): (2, 1, 0.5, 0.666667)}
     keys = {(r.column, r.other) for r in matching.suggested_keys(tables).collect()}
     assert keys == {("other.account", "brokers.account"), ("brokers.account", "txn.producer"), ("brokers.region", "other.area.code"), ("other.area.code", "brokers.region")}
+
+
+def test_many_columns_are_counted_as_written_and_cleaned_once(spark):
+    r = random.Random(5)
+    wide = {t: [[r.choice(["a", " A ", "b", "B  c", "b c", "", " ", None, "7", "x"]) if r.random() < 0.7 else f"{t}{r.randrange(9)}" for _ in range(70)] for _ in range(6)] for t in ("one", "two")}
+    tables = {t: spark.createDataFrame(rows, ", ".join(f"{t}{i} string" for i in range(70))) for t, rows in wide.items()}
+    assert "regexp_replace" not in matching.counted(tables)._jdf.queryExecution().optimizedPlan().toString()
+    columns = {f"{t}.{t}{i}": [k for row in rows if (k := " ".join((row[i] or "").split()).lower())] for t, rows in wide.items() for i in range(70)}
+    want = {}
+    for a, mine in columns.items():
+        for b, theirs in columns.items():
+            found = len({*mine} & {*theirs})
+            if a[:3] != b[:3] and found and round(found / len({*mine}), 6) >= 0.5:
+                want[a, b] = (len({*mine}), found, round(found / len({*mine}), 6), round(len({*theirs}) / len(theirs), 6))
+    assert {(x.column, x.other): (x["values"], x.found, x.share, x.uniqueness) for x in matching.inclusions(tables).collect()} == want
