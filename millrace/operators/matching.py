@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import join_key
-from millrace.storage import materialise, small
+from millrace.storage import dealt, materialise, small
 
 #: Fixed value: the least share of a column's values that another one must hold.
 OVERLAP_MIN = 0.5
@@ -19,17 +19,18 @@ def assign(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
 
     Best is the highest score, of equals the smaller left, then the smaller right; that is what a loop over the sorted pairs would choose. In each round all pairs
     that are the best of both their sides are taken at once, and whatever shares a side with them leaves. Pairs with a null are none, of
-    repeated ones the best counts. An empty table gives no rows. Rounds are as many as the longest chain of pairs that each wait for a better one.
+    repeated ones the best counts. An empty table gives no rows. Pairs are dealt to tasks by their number, which is counted first. Rounds are as many as the longest chain of pairs that each wait for a better one.
     """
     a, b = F.col("a"), F.col("b")
-    open_ = pairs.select(F.col(left).alias("a"), F.col(right).alias("b"), F.col(score).alias("s")).dropna().groupBy("a", "b").agg(F.max("s").alias("s"))
-    open_ = materialise(open_, "pairs")
+    open_ = pairs.select(F.col(left).alias("a"), F.col(right).alias("b"), F.col(score).alias("s")).dropna()
+    open_ = materialise(open_, "given")
+    open_ = materialise(dealt(open_, open_.count(), "a", "b").groupBy("a", "b").agg(F.max("s").alias("s")), "pairs")
     chosen, number = None, 0
-    while not open_.isEmpty():
+    while left_open := open_.count():
         number += 1
         rank = F.struct((-F.col("s")).alias("s"), "a", "b")
-        mine = open_.groupBy("a").agg(F.min(rank).alias("p")).select("p.*")
-        theirs = open_.groupBy("b").agg(F.min(rank).alias("p")).select("p.*")
+        mine = dealt(open_, left_open, "a").groupBy("a").agg(F.min(rank).alias("p")).select("p.*")
+        theirs = dealt(open_, left_open, "b").groupBy("b").agg(F.min(rank).alias("p")).select("p.*")
         best = materialise(mine.intersect(theirs).select("a", "b", (-F.col("s")).alias("s"), F.lit(number).alias("round")), f"best-{number}")
         chosen = best if chosen is None else chosen.unionByName(best)
         for side in ("a", "b"):

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import headings, loads, matching, orientation, regions, rowclass
-from millrace.storage import shared_dir
+from millrace.storage import dealt, shared_dir
 
 
 def load(spark, sf_dir: str, name: str):
@@ -102,7 +102,8 @@ def suggested_keys(spark, sf_dir):
 
 def paired_suppliers(spark, sf_dir):
     """Each part to one supplier and each supplier to one part, the pairs of largest quantity first."""
-    pairs = load(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"))
+    lines = load(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_quantity")
+    pairs = dealt(lines, lines.count(), "l_suppkey", "l_partkey").groupBy("l_suppkey", "l_partkey").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"))
     return matching.assign(pairs, "l_suppkey", "l_partkey", "quantity").drop("round")
 
 

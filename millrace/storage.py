@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: A lookup table with at most this many rows and bytes may be broadcast; both are counted first.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
+#: Rows that a task of an exchange over a counted table takes, whatever the table's size.
+TASK_ROWS = 500_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir. In local mode it may be unset; elsewhere that is an error."""
@@ -35,6 +38,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df of so many rows, those alike in keys together, over as many partitions as keep each near TASK_ROWS, but no fewer than a shuffle has."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS)), *keys)
+
+
 def small(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if a count finds it within the bounds, else df."""
     wide = sum((F.octet_length(F.col(f"`{f.name}`").cast("string")) for f in df.schema if f.dataType.typeName() in ("string", "binary", "array", "map", "struct")), F.lit(0))

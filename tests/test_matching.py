@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from millrace import storage
 from millrace.operators import matching
 
 
@@ -64,3 +65,12 @@ def test_many_columns_are_counted_as_written_and_cleaned_once(spark):
             if a[:3] != b[:3] and found and round(found / len({*mine}), 6) >= 0.5:
                 want[a, b] = (len({*mine}), found, round(found / len({*mine}), 6), round(len({*theirs}) / len(theirs), 6))
     assert {(x.column, x.other): (x["values"], x.found, x.share, x.uniqueness) for x in matching.inclusions(tables).collect()} == want
+
+
+def test_tasks_hold_a_share_of_the_pairs_however_many_there_are(spark, monkeypatch):
+    monkeypatch.setattr(storage, "TASK_ROWS", 10)
+    r = random.Random(9)
+    pairs = [(r.randrange(25), r.randrange(20), r.randrange(50)) for _ in range(300)]
+    df = spark.createDataFrame(pairs, "a int, b int, s int")
+    assert storage.dealt(df, len(pairs), "a", "b").rdd.getNumPartitions() == 30 and storage.dealt(df, 1, "a").rdd.getNumPartitions() == 8
+    assert {x.a: (x.b, x.s) for x in matching.assign(df, "a", "b", "s").collect()} == loop(pairs)
