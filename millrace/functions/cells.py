@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What a date, an identifier and a number look like; the first that fits decides, everything else is text.
 DATE_LIKE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?)?$"
 ID_LIKE = r"^[A-Za-z]{1,5}[-_]?\d{2,}$"
 NUMBER_LIKE = r"^-?[\d,]*\.?\d+$"
-# Fixed value: a text longer than this on average is prose, not a label.
-LABEL_LENGTH = 30
+# Fixed value: what a number is without separators, per cent and dollar signs.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# A text longer than this on average is prose, not a label; a longer cell is a note.
+LABEL_LENGTH, NOTE_LENGTH = 30, 80
+#: The letters of marked(), by kind; of a text that is a number all the same; of a blank cell.
+LETTERS = {"date_string": "d", "id_string": "i", "int": "n", "float": "f", "text": "t"}
+NUMBER_TEXT, BLANK = "m", "."
+#: The kind that a letter stands for.
+KINDS = {letter: kind for kind, letter in LETTERS.items()} | {NUMBER_TEXT: "text"}
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -22,7 +29,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def stripped(cell: Column) -> Column:
     """A cell without blanks around it; null if nothing is left."""
-    return let(F.regexp_replace(cell, r"^\s+|\s+$", ""), lambda text: F.when(text != "", text))
+    bare = (F.substring(cell, 1, 1) > " ") & F.substring(cell, -1, 1).between("!", "~")  # most cells: nothing to strip
+    return F.when(cell.isNull() | bare, cell).otherwise(let(F.regexp_replace(cell, r"^\s+|\s+$", ""), lambda text: F.when(text != "", text)))
 
 
 def _kind(text: Column) -> Column:
@@ -32,7 +40,7 @@ def _kind(text: Column) -> Column:
 
 
 def _number(text: Column) -> Column:
-    return let(F.trim(F.regexp_replace(text, r"[,%$]", "")), lambda bare: F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double")))
+    return let(F.trim(F.regexp_replace(text, r"[,%$]", "")), lambda bare: F.when(bare.rlike(NUMBER), bare.try_cast("double")))
 
 
 def kind(cell: Column) -> Column:
@@ -55,6 +63,35 @@ def read(cells: Column) -> Column:
     return F.transform(cells, lambda c: let(stripped(c), lambda text: F.struct(text.alias("text"), _kind(text).alias("kind"), _number(text).alias("number"))))
 
 
+def _letter(text: Column) -> Column:
+    number = F.trim(F.regexp_replace(text, r"[,%$]", "")).rlike(NUMBER)  # without let(), whose arrays cost more than a second regular expression
+    letter = (
+        F.when(text.isNull(), BLANK).when(text.rlike(DATE_LIKE), LETTERS["date_string"]).when(text.rlike(ID_LIKE), LETTERS["id_string"])
+        .when(text.rlike(NUMBER_LIKE), F.when(F.contains(text, F.lit(".")), LETTERS["float"]).otherwise(LETTERS["int"])).when(number, NUMBER_TEXT).otherwise(LETTERS["text"]))
+    return F.when(F.startswith(text, F.lit("--")) | (F.length(text) > NOTE_LENGTH), F.upper(letter)).otherwise(letter)
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    """rows(cells) with texts (the cells stripped), marks (one string: a letter per cell for its kind, a capital if the cell is a note) and fill (the effective one); each cell is looked at once."""
+    rows = rows.withColumn("texts", F.transform("cells", stripped))
+    return rows.select("*", F.array_join(F.transform("texts", _letter), "").alias("marks"), _effective(F.array_compact("texts")).alias("fill"))
+
+
+def filled_marks(marks: Column) -> Column:
+    """How many cells aren't blank by their marks, joined to one string."""
+    return F.length(F.translate(marks, BLANK, ""))
+
+
+def letters(marks: Column) -> Column:
+    """The marks as an array."""
+    return F.regexp_extract_all(marks, F.lit("."), F.lit(0))
+
+
+def marked_kind(mark: Column) -> Column:
+    """The kind that a mark stands for; null for a blank cell."""
+    return F.get(F.array(*map(F.lit, KINDS.values())), F.instr(F.lit("".join(KINDS)), F.lower(mark)) - 1)
+
+
 def filled(cells: Column) -> Column:
     """The stripped cells of a line that aren't blank."""
     return F.array_compact(F.transform(cells, stripped))
@@ -64,9 +101,18 @@ def fill(cells: Column) -> Column:
     return F.size(filled(cells))
 
 
+def _effective(held: Column) -> Column:
+    return F.when((F.size(held) >= 2) & (F.size(F.array_distinct(held)) == 1), 1).otherwise(F.size(held))
+
+
 def effective_fill(cells: Column) -> Column:
     """Filled cells; several that all hold one value, as a merged title does, count as one."""
-    return let(filled(cells), lambda held: F.when((F.size(held) >= 2) & (F.size(F.array_distinct(held)) == 1), 1).otherwise(F.size(held)))
+    return let(filled(cells), _effective)
+
+
+def effective_texts(texts: Column) -> Column:
+    """effective_fill() of cells that are stripped already."""
+    return _effective(F.array_compact(texts))
 
 
 def share(cells: Column, of: Column) -> Column:

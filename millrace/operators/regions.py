@@ -1,19 +1,20 @@
 """Tables inside sheets: runs of rows that belong together, then runs of columns inside them.
 
 Sheets are rows of cells, rows(sheet, row, cells: array<string>). Blank rows cut a sheet into runs; a run belongs to the table above it if both fill the
-same columns with the same kinds of values. What this needs of a run is small - its last rows' kinds, how many cells its rows fill - and is made by
-aggregates; one pass over the runs of a sheet, in order and with a state of constant size, decides. Columns are cut in the same way, from one row per
-column. Rows themselves are only ever counted, joined and sliced.
+same columns with the same kinds of values. Each cell is read once, to a letter; rows whose letters are alike are counted together, and all else follows from
+these counts. What is needed of a run is small - its last rows' kinds, how many cells its rows fill; one pass over the runs of a sheet, in order and
+with a state of constant size, decides. Columns are cut in the same way, from one row per column. Rows themselves are only ever counted, joined and sliced.
 """
 
 from __future__ import annotations
 
 from collections import Counter, deque
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import cells as C
@@ -21,17 +22,24 @@ from millrace.operators.numbering import numbered
 from millrace.storage import materialise, small
 
 # Least shares of common columns and of equal kinds, of common rows of two blocks side by side; the widest gap inside a table; rows of
-# decoration; rows that a block's kinds are taken from; the least rows of a table; a list without a second column; notes.
+# decoration; rows that a block's kinds are taken from; the least rows of a table; a list without a second column.
 PROFILE_MATCH, COVERAGE_MATCH, EXTENT_MATCH, GUTTER = 0.7, 0.7, 0.75, 1
 JUNK_ROWS, PROFILE_ROWS, TABLE_ROWS = 2, 5, 2
-LIST_ROWS, LIST_SHARE, NOTE_LENGTH = 10, 0.9, 80
+LIST_ROWS, LIST_SHARE = 10, 0.9
 
 
-def _profile(lines: list[list[str | None]]) -> dict[int, str]:
-    """The most frequent kind of each column filled in the lines, of equals the first met."""
+@lru_cache(10_000)
+def _kinds(marks: str) -> list[str | None]:
+    """The kinds of a line of marks."""
+    return [C.KINDS.get(mark.lower()) for mark in marks]
+
+
+@lru_cache(10_000)
+def _profile(lines: tuple[str, ...]) -> dict[int, str]:
+    """The most frequent kind of each column filled in the lines of marks, of equals the first met. Runs of a table are mostly alike, so it is kept."""
     columns: dict[int, Counter] = {}
     for line in lines:
-        for at, kind in enumerate(line):
+        for at, kind in enumerate(_kinds(line)):
             if kind is not None:
                 columns.setdefault(at, Counter())[kind] += 1
     return {at: kinds.most_common(1)[0][0] for at, kinds in columns.items()}
@@ -56,15 +64,16 @@ class Block:
     def add(self, run: dict[str, Any]) -> None:
         tail = run["tail"]
         if not self.rows:
-            self.first = run["first_kinds"]
+            self.first = run["first_marks"]
             tail = tail[1:] if len(tail) == run["rows"] else tail
         self.tail.extend(tail)
         self.rows += run["rows"]
-        self.fills.update({f["fill"]: f["n"] for f in run["fills"]})
+        for fill, n in run["fills"].items():
+            self.fills[fill] += n
 
     def profile(self) -> dict[int, str]:
         """Of the last rows but for the first, which may be a header; of the first if there is no other."""
-        return _profile(list(self.tail) if self.rows > 1 else [self.first])
+        return _profile(tuple(self.tail) if self.rows > 1 else (self.first,))
 
 
 def _heads(line: list[str | None], profile: dict[int, str]) -> bool:
@@ -78,7 +87,7 @@ def _heads(line: list[str | None], profile: dict[int, str]) -> bool:
 def continues(above: Block, below: Block) -> bool:
     """Whether a run of rows belongs to the table above it."""
     one, other = above.profile(), below.profile()
-    if above.rows == 1 and above.labels and _heads(above.first, other):
+    if above.rows == 1 and above.labels and _heads(_kinds(above.first), other):
         return True
     if _modal(below.fills) < _modal(above.fills) and below.rows <= JUNK_ROWS and other.keys() <= one.keys():
         return True
@@ -91,7 +100,7 @@ def _number_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sheet, block, region = None, None, 0
     for b in batches:
         out = []
-        for run in b.to_pylist():
+        for run in b.to_pylist(maps_as_pydicts="strict"):
             new = Block(run)
             if block is None or sheet != (run["sheet"],):
                 sheet, region, block = (run["sheet"],), 1, new
@@ -103,25 +112,50 @@ def _number_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column("sheet"), b.column("run"), pa.array(out, pa.int64())], ["sheet", "run", "region"])
 
 
-def row_regions(rows: DataFrame) -> DataFrame:
-    """rows(sheet, row, cells) that aren't blank, with idx (place among them, from 0) and region (from 1): runs of rows that are one table."""
-    rows = rows.select("sheet", "row", "cells").filter(C.fill(F.col("cells")) > 0)
-    rows = numbered(rows, ["sheet"], ["row"], nth="idx").withColumn("run", F.col("row") - F.col("idx"))
-    lines = rows.select("sheet", "run", "idx", C.effective_fill(F.col("cells")).alias("fill"), F.transform("cells", C.kind).alias("kinds"),
-                        ((C.fill(F.col("cells")) >= 2) & (C.textness(F.col("cells")) == 1) & (C.brevity(F.col("cells")) == 1)).alias("labels"))
-    spans = lines.groupBy("sheet", "run").agg(F.count(F.lit(1)).alias("rows"), F.min("idx").alias("first"), F.max("idx").alias("last"))
-    fills = lines.groupBy("sheet", "run", "fill").agg(F.count(F.lit(1)).alias("n")).groupBy("sheet", "run").agg(F.collect_list(F.struct("fill", "n")).alias("fills"))  # as many as the sheet is wide
-    edge = spans.select(F.col("sheet").alias("_s"), F.col("run").alias("_r"), "first", "last")
-    close = lines.join(small(edge), F.col("sheet").eqNullSafe(F.col("_s")) & (F.col("run") == F.col("_r"))).filter((F.col("idx") == F.col("first")) | (F.col("idx") > F.col("last") - PROFILE_ROWS - 1))
-    tails = close.groupBy("sheet", "run").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("idx") > F.col("last") - PROFILE_ROWS - 1, F.struct("idx", "kinds")))), lambda x: x["kinds"]).alias("tail"),  # six rows at most
-        F.min_by("kinds", "idx").alias("first_kinds"), F.min_by("labels", "idx").alias("labels"))
-    both = lambda t, name: t.select(F.col("sheet").alias(f"_{name}"), F.col("run").alias(f"_{name}_run"), *[c for c in t.columns if c not in ("sheet", "run")])
-    on = lambda name: F.col("sheet").eqNullSafe(F.col(f"_{name}")) & (F.col("run") == F.col(f"_{name}_run"))
-    runs = spans.join(both(fills, "f"), on("f")).join(both(tails, "t"), on("t")).select("sheet", "run", "first", "rows", "fills", "tail", "first_kinds", "labels")
-    runs = runs.repartition("sheet").sortWithinPartitions("sheet", "first")  # one record per run of rows
+def _on(side: str, *keys: str) -> Column:
+    return F.expr(" AND ".join(f"{k} <=> _{side}_{k}" for k in keys))
+
+
+def _side(df: DataFrame, side: str, *keys: str) -> DataFrame:
+    """df with its keys renamed for a join by _on()."""
+    return df.withColumnsRenamed({k: f"_{side}_{k}" for k in keys})
+
+
+def read(rows: DataFrame) -> DataFrame:
+    """rows(sheet, row, cells) that aren't blank: cells stripped, marks (a letter per cell), fill (the effective one), and whether a row is labels alone."""
+    lines = C.marked(rows.select("sheet", "row", "cells"))
+    labels = (C.filled_marks(F.col("marks")) >= 2) & ~F.lower("marks").rlike(f"[^{C.LETTERS['text']}{C.NUMBER_TEXT}{C.BLANK}]")
+    lines = materialise(lines.select("sheet", "row", F.col("texts").alias("cells"), "marks", "fill", F.when(labels, C.brevity(F.col("cells")) == 1).otherwise(F.lit(False)).alias("labels")), "read")
+    return lines.filter("fill > 0")
+
+
+def row_regions(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows(sheet, row, cells): the rows of read() with idx (place among them, from 0) and run; the region (from 1) of each run: runs of rows that are one table; patterns of each run.
+
+    A pattern is how often rows with the same marks, fill and labels occur in a run, with the first and last idx; one each for every
+    remainder of idx by the number of rows that end a run, so that the rows which do are among the last ones.
+    """
+    rows, ending = numbered(read(rows), ["sheet"], ["row"], nth="idx").withColumn("run", F.col("row") - F.col("idx")), PROFILE_ROWS + 1
+    patterns = rows.groupBy("sheet", "run", (F.col("idx") % ending).alias("turn"), "marks", "fill", "labels").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first"), F.max("idx").alias("last"))
+    patterns = materialise(patterns, "patterns")
+    turns = patterns.groupBy("sheet", "run", "turn").agg(F.sum("n").alias("rows"), F.max(F.struct("last", "marks")).alias("tail"), F.min(F.struct("first", "marks", "labels")).alias("head"))
+    spans = turns.groupBy("sheet", "run").agg(F.sum("rows").alias("rows"), F.min("head").alias("head"), F.array_sort(F.collect_list("tail")).alias("tail"))  # six rows at most
+    fills = patterns.groupBy("sheet", "run", "fill").agg(F.sum("n").alias("n")).groupBy("sheet", "run").agg(F.map_from_entries(F.collect_list(F.struct("fill", "n"))).alias("fills"))  # as many as the sheet is wide
+    ends = F.transform(F.filter("tail", lambda t: t["last"] > F.element_at("tail", -1)["last"] - ending), lambda t: t["marks"])
+    runs = spans.join(_side(fills, "f", "sheet", "run"), _on("f", "sheet", "run")).select(
+        "sheet", "run", F.col("head.first").alias("first"), "rows", "fills", ends.alias("tail"), F.col("head.marks").alias("first_marks"), F.col("head.labels").alias("labels"))
+    runs = runs.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sheet").sortWithinPartitions("sheet", "first")  # one record per run of rows
     found = materialise(runs.mapInArrow(_number_runs, f"sheet {rows.schema['sheet'].dataType.simpleString()}, run long, region long"), "regions")
-    return rows.join(small(both(found, "g")), on("g")).select("sheet", "row", "cells", "idx", "region")
+    return rows, found, patterns
+
+
+def with_region(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with the region of their run: that of most runs of their sheet but for the others, so that a long table doesn't cost a lookup row per run."""
+    usual = found.groupBy("sheet", "region").agg(F.count(F.lit(1)).alias("n")).groupBy("sheet").agg(F.max_by("region", F.struct("n", "region")).alias("_usual"))
+    usual = small(_side(usual, "u", "sheet"))
+    other = found.join(usual, _on("u", "sheet")).filter(F.col("region") != F.col("_usual")).select("sheet", "run", F.col("region").alias("_other"))
+    placed = rows.join(usual, _on("u", "sheet")).join(small(_side(other, "o", "sheet", "run")), _on("o", "sheet", "run"), "left")
+    return placed.select(*rows.columns, F.coalesce("_other", "_usual").alias("region"))
 
 
 def _cut_columns(columns: list[dict], pairs: list[dict], labels: list[dict]) -> list[tuple[int, int]]:
@@ -156,23 +190,26 @@ def _cut_columns(columns: list[dict], pairs: list[dict], labels: list[dict]) ->
     return [(c["col"], number) for number, part in enumerate(parts, 1) for c in part]
 
 
-def column_parts(rows: DataFrame) -> DataFrame:
-    """(sheet, region, part, columns) of row_regions(): the columns of each table, ascending; blank ones between them are left out."""
+def column_parts(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(sheet, region, part, columns) of the regions in patterns(sheet, region, marks, first, last): the columns of each table, ascending; blank ones between them are left out.
+
+    rows(sheet, idx, cells, marks) are those that the patterns count.
+    """
     keys = ["sheet", "region"]
-    filled = rows.select(*keys, "idx", F.posexplode(F.transform("cells", C.stripped)).alias("col", "cell")).filter("cell IS NOT NULL")
-    columns = filled.groupBy(*keys, "col").agg(F.min("idx").alias("first"), F.max("idx").alias("last"))
+    patterns = patterns.groupBy(*keys, "marks").agg(F.min("first").alias("first"), F.max("last").alias("last")).withColumn("letters", C.letters(F.col("marks")))
+    columns = patterns.select(*keys, "first", "last", F.posexplode("letters").alias("col", "mark")).filter(F.col("mark") != C.BLANK).groupBy(*keys, "col").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     columns = columns.groupBy(*keys).agg(F.collect_list(F.struct("col", "first", "last")).alias("columns"))  # as many as the sheet is wide
-    texts = F.array_compact(F.transform("cells", lambda c, i: F.when(C.stripped(c).isNotNull() & C.number(c).isNull(), i)))
+    no_number = lambda mark: F.lower(mark).isin(*[C.LETTERS[k] for k in ("date_string", "id_string", "text")])
+    texts = F.array_compact(F.transform("letters", lambda mark, i: F.when(no_number(mark), i)))
     beside = F.transform(F.slice("at", 1, F.greatest(F.size("at") - 1, F.lit(0))), lambda c, i: F.struct(c.alias("left"), F.get("at", i + 1).alias("right")))
-    pairs = rows.select(*keys, "idx", texts.alias("at")).select(*keys, "idx", F.explode(beside).alias("p")).groupBy(*keys, "p.left", "p.right").agg(F.min("idx").alias("idx"))
-    heads = pairs.select(F.col("sheet").alias("_s"), F.col("idx").alias("_i")).distinct()
+    pairs = patterns.select(*keys, "first", texts.alias("at")).select(*keys, "first", F.explode(beside).alias("p")).groupBy(*keys, "p.left", "p.right").agg(F.min("first").alias("idx"))
+    heads = pairs.select(*keys, F.col("idx").alias("_h_idx")).distinct().withColumnRenamed("sheet", "_h_sheet")
     label = F.regexp_replace(F.lower("cell"), "[^a-z0-9]", "")
-    labels = filled.filter(C.number(F.col("cell")).isNull()).join(small(heads), F.col("sheet").eqNullSafe(F.col("_s")) & (F.col("idx") == F.col("_i")), "left_semi")
+    lines = rows.select("sheet", "idx", "cells", "marks").join(small(heads), _on("h", "sheet", "idx")).select(*keys, "idx", F.posexplode(F.arrays_zip("cells", C.letters(F.col("marks")).alias("mark"))).alias("col", "c"))
+    labels = lines.select(*keys, "idx", "col", F.col("c.cells").alias("cell"), F.col("c.mark").alias("mark")).filter(no_number(F.col("mark")))
     labels = labels.groupBy(*keys).agg(F.collect_list(F.struct("idx", "col", label.alias("label"))).alias("labels"))  # a few rows
     pairs = pairs.groupBy(*keys).agg(F.collect_list(F.struct("left", "right", "idx")).alias("pairs"))
-    side = lambda t, n: t.select(F.col("sheet").alias(f"_{n}s"), F.col("region").alias(f"_{n}r"), t.columns[-1])
-    on = lambda n: F.col("sheet").eqNullSafe(F.col(f"_{n}s")) & (F.col("region") == F.col(f"_{n}r"))
-    facts = columns.join(side(pairs, "p"), on("p"), "left").join(side(labels, "l"), on("l"), "left").select(*keys, "columns", "pairs", "labels")
+    facts = columns.join(_side(pairs, "p", *keys), _on("p", *keys), "left").join(_side(labels, "l", *keys), _on("l", *keys), "left").select(*keys, "columns", "pairs", "labels")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,23 +227,23 @@ def tables(rows: DataFrame) -> DataFrame:
     region counts the tables of a sheet from above, part those side by side from the left, both from 1. Blank rows, and rows that are blank in a
     table's columns, are left out. What can't be a table is too: fewer than two rows, titles and notes (rows that mostly fill one cell, unless they
     are ten or more values of one kind that isn't text; long sentences and comments under the first row). Null sheets are one sheet; an empty table gives no rows.
-    Rows that share a sheet and a number stand one after the other.
+    Rows that share a sheet and a number stand one after the other. marks and fill, of the cells, spare headings.find() another look at them.
     """
-    found = materialise(row_regions(rows), "rows")
-    parts = column_parts(found).select(F.col("sheet").alias("_s"), F.col("region").alias("_r"), "part", "columns")
-    cut = found.join(small(parts), F.col("sheet").eqNullSafe(F.col("_s")) & (F.col("region") == F.col("_r")))
-    cut = cut.select("sheet", "region", "part", "row", "idx", F.get("columns", F.lit(0)).alias("first_column"), F.transform("columns", lambda c: C.stripped(F.get("cells", c))).alias("cells"))
-    cut = materialise(cut.filter(C.fill(F.col("cells")) > 0), "tables")
     keys = ["sheet", "region", "part"]
-    size = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("height"), F.min("idx").alias("_top"), F.max(C.fill(F.col("cells"))).alias("most"))
-    fills = cut.select(*keys, C.effective_fill(F.col("cells")).alias("fill")).groupBy(*keys, "fill").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.max_by("fill", F.struct("n", "fill")).alias("modal"))
-    cells = cut.select(*keys, "idx", F.explode("cells").alias("cell")).filter("cell IS NOT NULL")
-    kinds = cells.groupBy(*keys, C.kind(F.col("cell")).alias("kind")).agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.max_by("kind", "n").alias("kind"), F.max("n").alias("n"), F.sum("n").alias("all"))
-    on = lambda n: F.expr(" AND ".join(f"{k} <=> _{n}_{k}" for k in keys))
-    side = lambda t, n: t.select(*[F.col(k).alias(f"_{n}_{k}") for k in keys], *[c for c in t.columns if c not in keys])
-    note = F.startswith("cell", F.lit("--")) | (F.length("cell") > NOTE_LENGTH)
-    notes = cells.join(small(side(size.select(*keys, "_top"), "z")), on("z")).filter("idx > _top").groupBy(*keys).agg(F.bool_and(note).alias("only_notes"))
-    about = size.join(side(fills, "f"), on("f")).join(side(kinds, "k"), on("k")).join(side(notes, "n"), on("n"), "left")
+    lines, found, patterns = row_regions(rows)
+    parts = materialise(column_parts(lines, patterns.join(small(_side(found, "r", "sheet", "run")), _on("r", "sheet", "run"))), "parts")
+    cut = with_region(lines, found).join(small(_side(parts, "p", "sheet", "region")), _on("p", "sheet", "region"))
+    own = F.rpad(F.array_join(F.transform("columns", lambda c: F.substring(F.col("marks"), c + 1, F.lit(1))), ""), F.size("columns"), F.lit(C.BLANK))
+    cut = cut.select(*keys, "row", "idx", F.col("fill").alias("whole"), C.filled_marks(F.col("marks")).alias("held"), F.get("columns", F.lit(0)).alias("first_column"), F.transform("columns", lambda c: F.get("cells", c)).alias("cells"), own.alias("marks"))
+    fill = F.when(C.filled_marks(F.col("marks")) == F.col("held"), F.col("whole")).otherwise(C.effective_texts(F.col("cells")))
+    cut = materialise(cut.withColumn("fill", fill).drop("whole", "held"), "tables").filter("fill > 0")
+    patterns = materialise(cut.groupBy(*keys, "marks", "fill").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first"), F.max("idx").alias("last")), "kinds")
+    size = patterns.groupBy(*keys).agg(F.sum("n").alias("height"), F.min("first").alias("_top"), F.max(C.filled_marks(F.col("marks"))).alias("most"))
+    fills = patterns.groupBy(*keys, "fill").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.max_by("fill", F.struct("n", "fill")).alias("modal"))
+    kinds = patterns.select(*keys, "n", F.explode(C.letters(F.col("marks"))).alias("mark")).filter(F.col("mark") != C.BLANK).groupBy(*keys, C.marked_kind(F.col("mark")).alias("kind")).agg(F.sum("n").alias("n"))
+    kinds = kinds.groupBy(*keys).agg(F.max_by("kind", "n").alias("kind"), F.max("n").alias("n"), F.sum("n").alias("all"))
+    notes = patterns.join(small(_side(size.select(*keys, "_top"), "z", *keys)), _on("z", *keys)).filter("last > _top").groupBy(*keys).agg(F.bool_and(~F.col("marks").rlike("[a-z]")).alias("only_notes"))
+    about = size.join(_side(fills, "f", *keys), _on("f", *keys)).join(_side(kinds, "k", *keys), _on("k", *keys)).join(_side(notes, "n", *keys), _on("n", *keys), "left")
     listed = (F.col("most") == 1) & (F.col("all") >= LIST_ROWS) & (F.col("kind") != "text") & (F.col("n") >= LIST_SHARE * F.col("all"))
     good = about.filter((F.col("height") >= TABLE_ROWS) & ~F.coalesce("only_notes", F.lit(False)) & ((F.col("modal") >= 2) | listed)).select(*keys)
-    return cut.drop("idx").join(small(side(good, "g")), on("g"), "left_semi")
+    return cut.drop("idx").join(small(_side(good, "g", *keys)), _on("g", *keys), "left_semi")

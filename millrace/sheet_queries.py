@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import headings, loads, matching, orientation, regions, rowclass
-from millrace.storage import dealt, shared_dir
+from millrace.operators.numbering import numbered
+from millrace.storage import dealt, materialise, shared_dir, small
 
 
 def load(spark, sf_dir: str, name: str):
@@ -36,19 +37,22 @@ def sheets(spark, sf_dir):
     """All orders as a sheet per priority: a title, a table with a blank row after every hundred records, a count by status beside it, sums by year below."""
     orders = load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("sheet"), "o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("price"), F.to_date("o_orderdate").alias("day"))
     text, none = (lambda c: F.col(c).cast("string")), F.lit(None).cast("string")
-    nth = F.row_number().over(Window.partitionBy("sheet").orderBy("o_orderkey")) - 1
-    records = orders.withColumn("nth", nth.cast("long")).select("sheet", (3 + F.col("nth") + F.expr("nth div 100")).alias("row"), F.array(F.concat(F.lit("ORD-"), F.lpad(text("o_orderkey"), 9, "0")), text("o_custkey"), text("price"), text("day")).alias("own"))
+    at = lambda nth: 3 + nth + F.floor(nth / 100)
+    records = numbered(orders, ["sheet"], ["o_orderkey"]).select("sheet", at(F.col("nth")).alias("row"), F.array(F.concat(F.lit("ORD-"), F.lpad(text("o_orderkey"), 9, "0")), text("o_custkey"), text("price"), text("day")).alias("own"))
     by_status = orders.groupBy("sheet", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("sheet").orderBy("o_orderstatus")).cast("long")
     beside = by_status.select("sheet", (2 + place).alias("row"), F.array(F.col("o_orderstatus"), text("n")).alias("beside"))
     names = orders.select("sheet").distinct()
     head = names.select("sheet", F.lit(2).cast("long").alias("row"), F.array(*map(F.lit, ("Order", "Customer", "Price", "Day"))).alias("own"))
     side = names.select("sheet", F.lit(2).cast("long").alias("row"), F.array(F.lit("Status"), F.lit("Orders")).alias("beside"))
-    left, right = records.unionByName(head), beside.unionByName(side)
+    left, right = records.unionByName(head), small(materialise(beside.unionByName(side), "beside").withColumnsRenamed({"sheet": "_sheet", "row": "_row"}))
     empty = lambda n: F.array(*[none] * n)
-    main = left.join(right, ["sheet", "row"], "full").select("sheet", "row", F.concat(F.coalesce("own", empty(4)), empty(2), F.coalesce("beside", empty(2))).alias("cells"))
+    met = left.join(right, F.expr("sheet <=> _sheet AND row = _row"), "left")
+    # what stands beside no record; both sides are one row for each row number, so a full join of all orders isn't needed
+    alone = right.join(met.filter("beside IS NOT NULL").select("sheet", "row"), F.expr("_sheet <=> sheet AND _row = row"), "left_anti").select(F.col("_sheet").alias("sheet"), F.col("_row").alias("row"), F.lit(None).cast("array<string>").alias("own"), "beside")
+    main = met.select("sheet", "row", "own", "beside").unionByName(alone).select("sheet", "row", F.concat(F.coalesce("own", empty(4)), empty(2), F.coalesce("beside", empty(2))).alias("cells"))
     title = names.select("sheet", F.lit(0).cast("long").alias("row"), F.array(F.concat(F.lit("Orders of priority "), "sheet")).alias("cells"))
-    end = records.groupBy("sheet").agg((F.max("row") + 3).alias("start"))
+    end = orders.groupBy("sheet").agg((at(F.count(F.lit(1)) - 1) + 3).alias("start"))
     years = orders.groupBy("sheet", F.year("day").alias("year")).agg(F.sum("price").alias("total"))
     nth_year = F.row_number().over(Window.partitionBy("sheet").orderBy("year")).cast("long")
     below = years.withColumn("nth", nth_year).join(end, "sheet").select("sheet", (F.col("start") + F.col("nth")).alias("row"), F.array(F.concat(F.lit("Year "), text("year")), text("total")).alias("cells"))
@@ -60,7 +64,7 @@ def sheet_tables(spark, sf_dir):
     """Every table of the sheets: where it lies and how its columns are called."""
     found = regions.tables(sheets(spark, sf_dir))
     name = F.concat_ws("|", "sheet", "region", "part")
-    named = headings.find(found.select(name.alias("sheet"), "row", "cells")).select(F.col("sheet").alias("name"), F.array_join("names", ",").alias("names"), "header")
+    named = headings.find(found.select(name.alias("sheet"), "row", "cells", "marks", "fill"), marked=True).select(F.col("sheet").alias("name"), F.array_join("names", ",").alias("names"), "header")
     about = found.groupBy("sheet", "region", "part").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.min("first_column").alias("first_column"))
     return about.withColumn("name", name).join(named, "name").drop("name")
 
