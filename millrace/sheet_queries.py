@@ -77,7 +77,7 @@ def upright_sheets(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).cast("long")
     records = customers.select(text("c_nationkey").alias("sheet"), place.alias("row"), cells.alias("cells"))
     heads = customers.select(text("c_nationkey").alias("sheet")).distinct().select("sheet", F.lit(0).cast("long").alias("row"), F.array(*map(F.lit, ("Customer", "Segment", "Balance", "Name"))).alias("cells"))
-    rows = records.unionByName(heads)
+    rows = materialise(records.unionByName(heads), "sheets")
     odd = F.col("sheet").cast("int") % 2 == 1
     found = orientation.upright(rows.filter(~odd).unionByName(orientation.transpose(rows.filter(odd))))
     return found.select("sheet", "row", F.array_join("cells", "|", "-").alias("cells"))

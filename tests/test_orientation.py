@@ -60,3 +60,11 @@ def test_transpose_of_rows_alike_in_number_and_of_many(spark):
     high = spark.range(20_000).select(F.lit("s").alias("sheet"), F.col("id").alias("row"), F.array(F.col("id").cast("string"), F.lit("x")).alias("cells"))
     first, second = (r.cells for r in orientation.transpose(high).orderBy("row").collect())
     assert first == [str(i) for i in range(20_000)] and second == ["x"] * 20_000
+
+
+def test_nothing_is_worked_out_of_a_whole_line_for_each_of_its_cells(spark):
+    wide = spark.range(3).select(F.lit("s").alias("sheet"), F.col("id").alias("row"), F.transform(F.sequence(F.lit(0), F.lit(4999)), lambda i: i.cast("string")).alias("cells"))
+    above = orientation.transpose(wide)._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "xxhash64" not in above
+    found = orientation.transpose(wide).orderBy("row").collect()
+    assert [r.cells for r in found] == [[str(i)] * 3 for i in range(5000)]
