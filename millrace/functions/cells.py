@@ -40,7 +40,8 @@ def _kind(text: Column) -> Column:
 
 
 def _number(text: Column) -> Column:
-    return let(F.trim(F.regexp_replace(text, r"[,%$]", "")), lambda bare: F.when(bare.rlike(NUMBER), bare.try_cast("double")))
+    signed = let(F.trim(F.regexp_replace(text, r"[,%$]", "")), lambda bare: F.when(bare.rlike(NUMBER), bare.try_cast("double")))
+    return F.when(text.rlike(NUMBER), text.try_cast("double")).when(text.rlike(r"[,%$]"), signed)  # most cells have none of them
 
 
 def kind(cell: Column) -> Column:
@@ -63,6 +64,11 @@ def read(cells: Column) -> Column:
     return F.transform(cells, lambda c: let(stripped(c), lambda text: F.struct(text.alias("text"), _kind(text).alias("kind"), _number(text).alias("number"))))
 
 
+def numbers(texts: Column) -> Column:
+    """The numbers of stripped cells, as number() of each."""
+    return F.transform(texts, _number)
+
+
 def _letter(text: Column) -> Column:
     number = F.trim(F.regexp_replace(text, r"[,%$]", "")).rlike(NUMBER)  # without let(), whose arrays cost more than a second regular expression
     letter = (

@@ -30,7 +30,7 @@ def report(spark, sf_dir):
 
 
 def row_classes(spark, sf_dir):
-    return rowclass.classify(report(spark, sf_dir)).select("sheet", "row", "idx", "class", "summed")
+    return rowclass.classify(report(spark, sf_dir), cells=False).select("sheet", "row", "idx", "class", "summed")
 
 
 def sheets(spark, sf_dir):

@@ -104,3 +104,14 @@ def test_a_cell_is_stripped_once_however_often_it_is_looked_at(spark):
     for function, times in ((C.kind, 1), (C.read, 2), (C.effective_fill, 1), (C.brevity, 1)):  # read strips a cell, then marks off its number
         assert str(function(F.col("cells"))).count("regexp_replace") == times, function
     assert str(C.contrast(F.col("cells"), F.col("profile"))).count("regexp_replace") == 1
+
+
+def test_rows_are_put_in_order_once_and_values_only_where_a_run_is_broken(spark, monkeypatch):
+    calls, numbered = [], rowclass.numbered
+    monkeypatch.setattr(rowclass, "numbered", lambda df, *rest, **named: calls.append(df.columns) or numbered(df, *rest, **named))
+    for name, times in (("nested", 1), ("run broken by a gap", 2)):
+        body, want = CASES[name]
+        calls.clear()
+        found = rowclass.classify(spark.createDataFrame([("s", i, c) for i, c in enumerate(body)], SCHEMA), cells=False).orderBy("idx").collect()
+        assert [r["class"] for r in found] == want and len(calls) == times
+        assert "cells" not in calls[0]
